@@ -35,12 +35,20 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors."""
+    """df as a table in the shared folder: cuts lineage, survives lost executors.
+
+    A writer takes some partitions one after another, for fewer and larger files.
+    """
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    few(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
 def components(edges: DataFrame, tag: str = "cc", rounds: int = 40) -> DataFrame:
     """Edges (a, b) of longs to (node, label): label is the smallest node of its component.
 

@@ -62,7 +62,7 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
         blobs = blobs.withColumn("todo", now)
     todo = blobs.hint("shuffle_hash")
     found = F.concat(*(F.when(F.array_contains("todo", n), spans(F.col("text"), rule, i)).otherwise(F.array().cast("array<struct<s:int,r:int,e:int,kind:string>>")) for i, (n, rule) in enumerate(zip(names, RULES, strict=True))))
-    d.join(todo, ["doc_id", "blob"]).select("blob", F.col("todo").alias("rules"), found.alias("findings")).write.mode("append").parquet(ledger)
+    common.few(d.join(todo, ["doc_id", "blob"]).select("blob", F.col("todo").alias("rules"), found.alias("findings"))).write.mode("append").parquet(ledger)
     current = F.create_map(*[F.lit(x) for kind, version, *_ in RULES for x in (kind, f"{kind}:{version}")])
     own = F.filter("findings", lambda x: F.array_contains("rules", current[x.kind]))  # not what older rule versions found
     known = spark.read.schema(schema).parquet(ledger).where(F.size("findings") > 0).select("blob", own.alias("findings")).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
