@@ -20,6 +20,8 @@ WORDS, NUMERATOR = 5, 75
 BANDS, ROWS, BITS = 32, 4, 256
 #: Pairs whose sketches say less are not confirmed: five deviations below the limit.
 LEAST_ESTIMATE = 0.5
+#: Members of a bucket that are compared at once.
+CHUNK = 1024
 _M = (1 << 64) - 1
 
 
@@ -121,6 +123,102 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(estimate("sa", "sb") >= LEAST_ESTIMATE).select("a", "b").distinct()
 
 
+def groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
+    """Runs of equal values of a sorted stream's column."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        g = b.column(by).to_numpy(zero_copy_only=False)
+        if held and held[-1].column(by)[0].as_py() != g[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        start = 0
+        for end in [*(np.nonzero(g[1:] != g[:-1])[0] + 1).tolist(), len(g)]:
+            held.append(b.slice(start, end - start))
+            start = end
+            if end < len(g):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def alike(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of one bucket that are of two components, meet first in this band and have like sketches; likeliest first."""
+    col = {n: t.column(n).to_numpy() for n in ("band", "chunk", "b", "label")}
+    if (col["label"] == col["label"][0]).all():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sk = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(t), -1).view(np.uint64)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+    most = int(BITS / 2 * (1 - np.exp(-4.0 * BANDS * ROWS * (1 - LEAST_ESTIMATE) / BITS)))
+    two, band, got = len(np.unique(col["chunk"])) > 1, int(col["band"][0]), []
+    for at in range(0, len(t), 256):
+        part = slice(at, at + 256)
+        apart = sum(np.bitwise_count(sk[part, None, i] ^ sk[None, :, i]).astype(np.int16) for i in range(sk.shape[1]))
+        ok = (apart <= most) & (col["label"][part, None] != col["label"][None, :]) & (np.arange(len(t))[part, None] < np.arange(len(t))[None, :]) & (col["b"][part, None] != col["b"][None, :])
+        if two:
+            ok &= col["chunk"][part, None] != col["chunk"][None, :]
+        i, j = np.nonzero(ok)
+        for s in range(0, len(i), 65536):
+            x, y = i[s : s + 65536] + at, j[s : s + 65536]
+            fresh = (bands[x] == bands[y]).argmax(1) == band
+            got.append(np.stack([apart[x - at, y], x, y], 1)[fresh])
+    p = np.concatenate(got) if got else np.zeros((0, 3), np.int64)
+    p = p[np.argsort(p[:, 0], kind="stable")]
+    return p[:, 1], p[:, 2]
+
+
+def across(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components, as a forest of each bucket.
+
+    A task compares a bucket's sketches in memory and passes on members that have a like one; these come together
+    once more with their texts, and a task confirms like pairs on whole sets. Neither gives out pairs that fail or
+    that join nothing, so no more rows come out than go in. A bucket of more than CHUNK members is held chunk
+    against chunk.
+    """
+    placed = members.select("key", "band", "b").join(labels.withColumnRenamed("node", "b"), "b", "left").select("key", "band", "b", F.coalesce("label", "b").alias("label"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("lo <> hi").select("key", "chunks")
+    rows = placed.join(mixed, "key").join(reps.select(F.col("doc_id").alias("b"), "sketch", "bands"), "b").withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("g"), "band", "chunk", "b", "label", "sketch", "bands")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, "g"):
+            some = np.unique(np.concatenate(alike(t)))
+            if len(some):
+                yield from t.take(pa.array(some)).combine_chunks().to_batches()
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, "g"):
+            label, ids, root = t.column("label").to_pylist(), t.column("b").to_pylist(), {}
+            sets = [shingles(x) for x in t.column("text").to_pylist()]
+            out = []
+
+            def find(x: int) -> int:
+                while (y := root.get(x, x)) != x:
+                    root[x] = root.get(y, y)
+                    x = y
+                return x
+
+            for i, j in zip(*(x.tolist() for x in alike(t)), strict=True):
+                u, w = find(label[i]), find(label[j])
+                if u != w:
+                    x, y = sets[i], sets[j]
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    both = int((y[at] == x).sum())
+                    if 100 * both >= NUMERATOR * (len(x) + len(y) - both):
+                        root[max(u, w)] = min(u, w)
+                        out.append((ids[i], ids[j]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    few = common.written(rows.repartition(n, "g").sortWithinPartitions("g", "b").mapInArrow(needed, rows.schema), "minhash-needed")
+    whole = few.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+    return whole.repartition(n, "g").sortWithinPartitions("g", "b", "text").mapInArrow(linked, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have 100 * common >= 75 * all."""
     named = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
@@ -145,8 +243,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to (doc_id, n_shingles, component_id, kept).
 
     Equal sets are one class; only its first document is compared. In round one each member of a band bucket is
-    held against the bucket's first only, a row a member; in round two, pairs of a bucket that are still in
-    different components. Both rounds drop pairs by sketch and confirm the rest on whole sets.
+    held against the bucket's first only, a row a member; in round two, members of a bucket that are still in
+    different components are compared in memory. Both rounds drop pairs by sketch and confirm the rest on whole
+    sets.
     Texts without words (null, empty) link with nothing. Repeated rows of one doc_id give a row each, and a link
     of any of its texts is a link of the id; rows without doc_id are dropped; other columns are ignored; an empty
     table gives no rows.
@@ -156,22 +255,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sig = sig.where("doc_id is not null")
     classes = sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = common.written(sig.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n_shingles > 0").select("doc_id", "sketch", "bands"), "minhash-reps")
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
+    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     first = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    members = common.written(rows.join(first, "key").select("key", "a", F.col("doc_id").alias("b")), "minhash-members")
+    members = common.written(rows.join(first, "key").select("key", "band", "a", F.col("doc_id").alias("b")), "minhash-members")
     sketches = reps.select("doc_id", "sketch")
     tried = common.written(likely(members.where("a <> b").select("a", "b").distinct(), sketches), "minhash-pairs")
     involved = members.select(F.col("b").alias("doc_id")).distinct()
-    texts = d.join(involved.hint("shuffle_hash"), "doc_id", "left_semi")
+    texts = common.written(d.join(involved.hint("shuffle_hash"), "doc_id", "left_semi"), "minhash-texts")
     links = common.written(confirmed(tried, texts), "minhash-links")
     labels = common.components(links, "minhash-cc")
-    placed = members.select("key", "b").join(labels.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("label", "b").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    placed = placed.join(mixed, "key")
-    left = placed.select("key", F.col("b").alias("a"), F.col("label").alias("la"))
-    more = left.join(placed, "key").where("a < b and la <> label").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    late = common.written(confirmed(common.written(likely(more, sketches), "minhash-more"), texts), "minhash-late")
-    labels = common.components(links.union(late), "minhash-cc")
+    late = common.written(across(members, labels, reps, texts).distinct(), "minhash-late")
+    if late.limit(1).count():
+        labels = common.components(links.union(late), "minhash-cc")
     rep = sig.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = rep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
