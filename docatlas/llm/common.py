@@ -44,9 +44,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def writers(spark: SparkSession) -> int:
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
 def few(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    return df.coalesce(writers(df.sparkSession))
 
 
 def components(edges: DataFrame, tag: str = "cc", rounds: int = 40) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embeddings, fingerprints, langid, minhash, mixing, packing, pii, quality, secrets, sstable
-from .common import table
+from .common import few, table
 from .tokens import vocabulary_path
 
 #: crc32 of the id as text, which tells held-out rows.
@@ -60,8 +60,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def _few(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose result is written in fewer and larger files."""
+    return lambda spark, sf_dir: few(query(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_quality_classifier, op4_document_fingerprints, op5_token_shards, op6_pii, op7_source_mixing, op8_embedding_near_dedup, op9_packing, op10_secret_scan)}
+    return {f.__name__: _few(f) for f in (op1_language_id, op2_minhash_near_dedup, op3_quality_classifier, op4_document_fingerprints, op5_token_shards, op6_pii, op7_source_mixing, op8_embedding_near_dedup, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -213,8 +213,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         start += len(ids)
                 yield pa.RecordBatch.from_pydict(rows, pa.schema([(k, pa.int64()) for k in rows]))
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(common.writers(manifest.sparkSession)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
