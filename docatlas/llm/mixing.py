@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows of the fit at most (by hash of the id), hash buckets of words and of word ends, what a word's evidence counts (words of a text are not independent).
-MAX_ROWS, WORD_BUCKETS, END_BUCKETS, EVIDENCE = 20_000, 8192, 512, 0.25
+#: Labelled rows of the fit at most (by hash of the id), hash buckets of words and of word ends, what a word's evidence counts (words of a text are not
+#: independent), and the least log-ratio to the first domain at which a bucket counts at all.
+MAX_ROWS, WORD_BUCKETS, END_BUCKETS, EVIDENCE, LEAST = 20_000, 16384, 512, 0.5, 0.5
 #: Steps at most, the largest relative error of a domain's tokens that ends them, and the pull of rates to 1.
 STEPS, CLOSE, PULL = 24, 1e-3, 1e-4
 TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
@@ -32,8 +33,12 @@ def words(docs: DataFrame, *more: str) -> DataFrame:
     return w.select("doc_id", *more, F.pmod(F.xxhash64("w"), F.lit(WORD_BUCKETS)).cast("int").alias("x"), end.alias("y"))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, names: list[str]) -> tuple[list[list[float]], list[float]]:
-    """Log-likelihoods of the buckets and log-priors, a list a domain; naive Bayes with one added count."""
+def fit(docs: DataFrame, labelled: DataFrame, names: list[str]) -> tuple[list[list[float]], list[tuple[float, float]], list[float]]:
+    """What each bucket speaks for each domain but the first (a list a domain), how far and from what mean it is read, and log-priors.
+
+    Log-ratios of naive Bayes with one added count; a text's sum of them is read as a linear discriminant between
+    the means that it has in the two domains, as buckets hold words of both.
+    """
     import math
 
     some = labelled.where(F.col("domain").isin(names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
@@ -48,17 +53,23 @@ def fit(docs: DataFrame, labelled: DataFrame, names: list[str]) -> tuple[list[li
     for d in names:
         a, b = sum(counts[d][:WORD_BUCKETS]), sum(counts[d][WORD_BUCKETS:])
         logs.append([math.log(c / a) for c in counts[d][:WORD_BUCKETS]] + [math.log(c / b) for c in counts[d][WORD_BUCKETS:]])
-    return logs, [math.log((sizes.get(d, 0) + 1) / n) for d in names]
+    gains, lines = [], [(0.0, 0.0)]
+    for row in logs[1:]:
+        gain = [x - z if abs(x - z) >= LEAST else 0.0 for x, z in zip(row, logs[0], strict=True)]
+        own, other = (sum(math.exp(p) * g for p, g in zip(side, gain, strict=True)) for side in (row, logs[0]))
+        spread = sum(math.exp(p) * g * g for p, g in zip(logs[0], gain, strict=True)) - other**2 / 2
+        lines.append((EVIDENCE * (own - other) / max(spread, 1e-9), (own + other) / 2))
+        gains.append(gain)
+    return gains, lines, [math.log((sizes.get(d, 0) + 1) / n) for d in names]
 
 
-def posteriors(docs: DataFrame, model: tuple[list[list[float]], list[float]], names: list[str]) -> DataFrame:
+def posteriors(docs: DataFrame, model: tuple, names: list[str]) -> DataFrame:
     """(doc_id, tokens, p): words of each whole text and its posterior over names; the prior where there is no word."""
-    logs, prior = model
-    base = logs[0]
+    gains, lines, prior = model
     w = words(docs, "row_id")
-    gain = [F.sum(sum(F.get(F.lit([a - b for a, b in zip(row[lo:hi], base[lo:hi], strict=True)]), F.col(c)) for c, lo, hi in (("x", 0, WORD_BUCKETS), ("y", WORD_BUCKETS, None)))).alias(f"g{i}") for i, row in enumerate(logs) if i]
+    gain = [F.sum(sum(F.get(F.lit(row[lo:hi]), F.col(c)) for c, lo, hi in (("x", 0, WORD_BUCKETS), ("y", WORD_BUCKETS, None)))).alias(f"g{i}") for i, row in enumerate(gains, 1)]
     sums = w.groupBy("doc_id", "row_id").agg(F.count("*").alias("tokens"), *gain)
-    z = [F.lit(prior[0]), *(F.lit(prior[i]) + F.lit(EVIDENCE) * F.col(f"g{i}") for i in range(1, len(names)))]
+    z = [F.lit(prior[0]), *(F.lit(prior[i]) + F.lit(lines[i][0]) * (F.col(f"g{i}") - F.lit(lines[i][1]) * F.col("tokens")) for i in range(1, len(names)))]
     top = F.greatest(*z) if len(z) > 1 else z[0]
     e = F.array(*(F.exp(x - top) for x in z))
     total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
@@ -68,7 +79,7 @@ def posteriors(docs: DataFrame, model: tuple[list[list[float]], list[float]], na
 def rates(soft: DataFrame, weights: list[float], budget: float | None = None) -> tuple[Column, list[float], list[float]]:
     """The rate of each row of soft (tokens, p) as a column, the domain tokens it gives and the targets.
 
-    budget: tokens wanted in all; by default the most that needs no domain's documents more than once.
+    budget: tokens wanted in all; by default those at which the domain of the largest target is used just once.
     Errors are scaled by each domain's share, which leaves a problem whose largest curvature is about 1.
     """
     k = len(weights)
@@ -78,7 +89,8 @@ def rates(soft: DataFrame, weights: list[float], budget: float | None = None) ->
     share = [max(h / total, 1e-6) for h in have]
     scale = sum(weights)
     if budget is None:
-        budget = min((h / (w / scale) for h, w in zip(have, weights, strict=True) if w > 0), default=total)
+        w, h = max(zip(weights, have, strict=True))
+        budget = h / (w / scale) if w > 0 and h > 0 else total
     target = [w / scale * budget for w in weights]
     rate, now = F.lit(1.0), have
     for _ in range(STEPS):
