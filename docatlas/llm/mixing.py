@@ -54,13 +54,13 @@ def fit(docs: DataFrame, labelled: DataFrame, names: list[str]) -> tuple[list[li
         a, b = sum(counts[d][:WORD_BUCKETS]), sum(counts[d][WORD_BUCKETS:])
         logs.append([math.log(c / a) for c in counts[d][:WORD_BUCKETS]] + [math.log(c / b) for c in counts[d][WORD_BUCKETS:]])
     gains, lines = [], [(0.0, 0.0)]
-    for row in logs[1:]:
-        gain = [x - z if abs(x - z) >= LEAST else 0.0 for x, z in zip(row, logs[0], strict=True)]
+    for name, row in zip(names[1:], logs[1:], strict=True):
+        gain = [0.0] * len(row) if not sizes.get(name) else [x - z if abs(x - z) >= LEAST else 0.0 for x, z in zip(row, logs[0], strict=True)]
         own, other = (sum(math.exp(p) * g for p, g in zip(side, gain, strict=True)) for side in (row, logs[0]))
         spread = sum(math.exp(p) * g * g for p, g in zip(logs[0], gain, strict=True)) - other**2 / 2
         lines.append((EVIDENCE * (own - other) / max(spread, 1e-9), (own + other) / 2))
         gains.append(gain)
-    return gains, lines, [math.log((sizes.get(d, 0) + 1) / n) for d in names]
+    return gains, lines, [math.log((sizes.get(d, 0) + (1 if not sizes else 1e-6)) / n) for d in names]
 
 
 def posteriors(docs: DataFrame, model: tuple, names: list[str]) -> DataFrame:
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
 
     copies is rate rounded up or down by a hash of the document, so that its mean is the rate. Null and empty texts
     have one empty word and the prior as posterior. Repeated rows of equal text are one row; without labels all posteriors are
-    equal; domains of no target weigh nothing; other columns are ignored; an empty table gives no rows.
+    equal, and a domain without any has next to none; domains of no target weigh nothing; other columns are ignored; an empty table gives no rows.
     """
     names = sorted(targets)
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row_id", F.xxhash64("text"))

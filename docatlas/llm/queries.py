@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embeddings, fingerprints, langid, minhash, mixing, packing, pii, quality, secrets, sstable
 from .common import few, table
 from .tokens import vocabulary_path
 
-#: crc32 of the id as text, which tells held-out rows.
-_crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+def _crc() -> Column:
+    """crc32 of the id as text, which tells held-out rows."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = _crc % 4 == 2
+    held = _crc() % 4 == 2
     found = langid.detect(docs, langid.fit(docs.where(~held)))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
@@ -27,7 +28,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _crc % 5 == 0
+    held = _crc() % 5 == 0
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held))
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")
 
