@@ -96,9 +96,10 @@ def is_junk(text: Column) -> Column:
     solid = F.regexp_replace(text, r"\s", "")
     share = lambda pattern, of: F.length(F.regexp_replace(of, pattern, "")) / F.greatest(F.lit(1), F.length(of))
     run = (n >= 12) & text.rlike(r"(\S)\1{7,}")
-    chars = F.array_sort(F.split(F.lower(solid), ""))
-    top = F.aggregate(chars, F.struct(F.lit("").alias("c"), F.lit(0).alias("n"), F.lit(0).alias("top")), lambda a, c: F.struct(c.alias("c"), F.when(a.c == c, a.n + 1).otherwise(1).alias("n"), F.greatest(a.top, F.when(a.c == c, a.n + 1).otherwise(1)).alias("top")), lambda a: a.top)
-    dominant = (n >= 20) & (n < 4000) & (top > 0.6 * F.length(solid))
+    chars = F.array_sort(F.split(solid, ""))
+    middle = F.get(chars, F.floor(F.size(chars) / 2).cast("int"))  # a character of more than half of them stands in the middle
+    often = F.length(solid) - F.length(F.replace(solid, middle, F.lit("")))
+    dominant = (n >= 20) & (F.length(solid) > 0) & (F.ascii(middle) < 128) & (often > 0.6 * F.length(solid))
     head = F.substring(text, 1, 100)
     base64 = (share(r"[^A-Za-z0-9+/=]", text) > 0.9) & ((n - F.length(F.replace(text, F.lit(" "), F.lit("")))) < 0.05 * n) & (F.length(solid) > 60) & head.rlike("[a-z]") & head.rlike("[A-Z]") & head.rlike("[0-9]")
     hexed = ((n >= 20) & (F.regexp_count(text, F.lit("0x")) >= 3)) | ((n >= 30) & (share("[^0-9a-fA-F]", solid) > 0.85))

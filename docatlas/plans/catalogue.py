@@ -80,7 +80,7 @@ SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS final_rank, sc
     "exact_match_union": "SELECT doc_id FROM {documents} WHERE lower(text) LIKE '%for the%' UNION SELECT doc_id FROM {documents} WHERE lower(source) LIKE '%src1%'",
     "intersect_lists": "SELECT doc_id FROM {documents} WHERE doc_id % 3 = 0 INTERSECT SELECT doc_id FROM {labels}",
     "upsert_latest_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) x WHERE rn = 1",
-    "insert_ignore": "SELECT min(event_id) AS event_id, user_id FROM {events} WHERE user_id NOT IN (SELECT c_custkey FROM {customer} WHERE c_custkey % 2 = 0) GROUP BY user_id",
+    "insert_ignore": "SELECT min(event_id) AS event_id, user_id FROM {events} e LEFT ANTI JOIN (SELECT c_custkey FROM {customer} WHERE c_custkey % 2 = 0) c ON c.c_custkey = e.user_id GROUP BY user_id",
     "fuzzy_title": "SELECT p_partkey, p_name FROM {part} WHERE levenshtein(lower(p_name), 'part 12') <= 2 OR levenshtein(lower(p_type), 'type1') <= 1 OR levenshtein(lower(p_brand), 'brand#12') <= 1",
     "downloads_by_type": "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS decimal(28, 8))) AS double) AS total FROM {events} GROUP BY event_type ORDER BY n DESC",
     "first_per_group": "SELECT conv_id, min(turn) AS turn, count(*) AS turns FROM {conversations} GROUP BY conv_id",
