@@ -35,6 +35,21 @@ def sliding(text: str, least: int = 350, overlap: int = 1) -> list[str]:
     return [*out, " ".join(held)] if held else out
 
 
+def with_dots(sentences: list[str]) -> list[str]:
+    """Up to three dots that stand alone, or before a sentence's own text, go to the sentence before; the first has none."""
+    out, dots = [], ""
+    for i in range(len(sentences) - 1, -1, -1):
+        s, dots = sentences[i] + dots, ""
+        bare = s.strip()
+        n = len(bare) - len(bare.lstrip("."))
+        if i and 0 < n <= 3:
+            dots, s = bare[:n], bare[n:].lstrip()
+            if not s:
+                continue
+        out.append(s)
+    return out[::-1]
+
+
 def _udf(fn):
     """An Arrow UDF made where a session is there, not where the module is read."""
     return F.pandas_udf(lambda s: s.map(fn), T.ArrayType(T.StringType()), F.PandasUDFType.SCALAR)
@@ -46,3 +61,7 @@ def bounded_udf(sentences: Column) -> Column:
 
 def sliding_udf(text: Column) -> Column:
     return _udf(lambda x: sliding(x) if x else [])(text)
+
+
+def with_dots_udf(sentences: Column) -> Column:
+    return _udf(lambda x: with_dots(list(x)) if x is not None else [])(sentences)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docatlas.functions import chunks, text as T
+from docatlas.functions import chunks, cleaning, identifiers, text as T
+from docatlas.operators import graph
 from docatlas.streaming import events as E
 
 
@@ -14,10 +15,38 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _of(column, *more, name: str = "documents", key: str = "doc_id"):
-    return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet").select(key, column(), *more)
+    return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet").select(key, column(), *(m() for m in more))
 
 
+def _distances(spark: SparkSession, d: str) -> DataFrame:
+    """Steps from each customer to one region, over customers, nations and regions as nodes."""
+    customer, nation = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("customer", "nation"))
+    node = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    up = nation.select(node("n", "n_nationkey").alias("src"), node("r", "n_regionkey").alias("dst"))
+    edges = customer.select(node("c", "c_custkey").alias("src"), node("n", "c_nationkey").alias("dst")).unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    pairs = customer.select(node("c", "c_custkey").alias("source"), F.concat(F.lit("r"), (F.col("c_custkey") % 5).cast("string")).alias("target"))
+    return graph.distances(pairs, edges)
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    said = spark.read.parquet(f"{d}/conversations.parquet").withColumn("people", cleaning.people(F.col("text")))
+    return said.select("conv_id", "turn", "people", cleaning.terms(F.col("text"), F.col("people")).alias("terms"))
+
+
+#: A file name, a volume's folder and a name with a digest for each document.
+_FILE = lambda: F.concat(F.lit("d."), F.get(F.array(*map(F.lit, ("pdf", "CBZ", "txt", "zip", "bin"))), (F.col("doc_id") % 5).cast("int")))
+_VOLUME = lambda: F.concat(F.get(F.array(*map(F.lit, ("39015t", "32044", "ark+=13960=", "x+"))), (F.col("doc_id") % 4).cast("int")), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+
 QUERIES = {
+    "mime_decode": _of(lambda: cleaning.mime_decoded(F.replace("text", F.lit(" "), F.lit("=20"))).alias("bare")),
+    "mime_cleanup": _of(lambda: cleaning.mime_cleaned(F.replace("text", F.lit(" t"), F.lit("=20=t"))).alias("bare")),
+    "glue_removed": _of(lambda: cleaning.unglued(F.replace("text", F.lit(", "), F.lit(","))).alias("bare")),
+    "names_and_terms": _names,
+    "ellipsis_merge": lambda spark, d: _docs(spark, d).select("doc_id", F.posexplode(chunks.with_dots_udf(T.sentences(F.col("text")))).alias("ordinal", "sentence")),
+    "media_types": _of(lambda: identifiers.media_type(_FILE()).alias("media"), lambda: identifiers.content_kind(_FILE()).alias("kind")),
+    "volume_ids": _of(lambda: identifiers.volume_id(_VOLUME()).alias("volume"), lambda: identifiers.page_url("https://viewer.example/pt", identifiers.volume_id(_VOLUME()), F.lit(1)).alias("url")),
+    "digest_in_name": _of(lambda: identifiers.md5_in(F.concat(F.lit("scan-"), F.upper(F.md5(F.col("doc_id").cast("string").cast("binary"))), F.lit(".pdf"))).alias("digest")),
+    "graph_distance": _distances,
     "word_count": _of(lambda: T.word_count(F.col("text")).cast("long").alias("words")),
     "words_only": _of(lambda: T.words_only(F.col("text")).alias("bare")),
     "collapse_blanks": _of(lambda: T.collapse_blanks(F.col("text")).alias("bare")),
@@ -41,6 +70,11 @@ QUERIES = {
 }
 
 ORACLES = {
+    "mime_decode": "SELECT doc_id, array_to_string(list_transform(string_split(replace(text, ' ', '=20'), '='), lambda p, i: CASE WHEN i = 1 THEN p WHEN regexp_matches(p, '^[0-9A-Fa-f]{2}') THEN concat(CASE WHEN TRY_CAST(concat('0x', substring(p, 1, 2)) AS int) IN (10, 13) THEN ' ' WHEN TRY_CAST(concat('0x', substring(p, 1, 2)) AS int) BETWEEN 32 AND 126 THEN chr(TRY_CAST(concat('0x', substring(p, 1, 2)) AS int)) ELSE '' END, substring(p, 3)) ELSE concat('=', p) END), '') AS bare FROM documents",
+    "media_types": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/x-cbz' WHEN 2 THEN 'text/plain' WHEN 3 THEN 'application/zip' ELSE 'application/octet-stream' END AS media, CASE doc_id % 5 WHEN 0 THEN 'book' WHEN 1 THEN 'comic' WHEN 2 THEN 'book' WHEN 3 THEN 'archive' ELSE 'unknown' END AS kind FROM documents",
+    "volume_ids": "SELECT doc_id, volume, CASE WHEN volume NOT LIKE 'ark%' THEN concat('https://viewer.example/pt?id=', volume, '&seq=1') END AS url FROM (SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'mdp.390150' WHEN 1 THEN 'hvd.32044' WHEN 2 THEN 'ark+=13960=' ELSE 'x.' END, lpad(CAST(doc_id AS varchar), 8, '0')) AS volume FROM documents) x",
+    "digest_in_name": "SELECT doc_id, md5(CAST(doc_id AS varchar)) AS digest FROM documents",
+    "graph_distance": "SELECT concat('c', c_custkey) AS source, concat('r', c_custkey % 5) AS target, CASE WHEN n_regionkey = c_custkey % 5 THEN 2 ELSE -1 END AS distance FROM customer JOIN nation ON n_nationkey = c_nationkey",
     "word_count": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS bigint) AS words FROM documents",
     "words_only": "SELECT doc_id, array_to_string(regexp_extract_all(text, '[a-zA-Z]{2,}'), ' ') AS bare FROM documents",
     "collapse_blanks": r"SELECT doc_id, trim(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ') AS bare FROM documents",
