@@ -62,8 +62,9 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
 def packed(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, text) to pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    Each task packs what it reads in groups of at most about GROUP tokens, so nothing is shuffled and memory does
-    not grow with the table; a sequence's number tells its task and its place there. A null text is empty and has
+    Each partition of docs is packed in groups of at most about GROUP tokens, so nothing is shuffled and memory does
+    not grow with the table; a sequence's number tells its partition and its place there. The partition is read as a
+    column, as one task takes several partitions where a coalesce follows. A null text is empty and has
     the end id alone. Repeated rows are documents of their own; rows without an id are dropped; other columns are
     ignored; an empty table gives no pieces.
     """
@@ -71,10 +72,8 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        base, enc = TaskContext.get().partitionId() << 36, tokens.encoder(vocabulary)
-        used, held, group = 0, 0, []
+        enc = tokens.encoder(vocabulary)
+        base, used, held, group = 0, 0, 0, []
 
         def flush() -> pa.RecordBatch:
             nonlocal used, held
@@ -87,6 +86,8 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
         for b in batches:
+            if b.num_rows:
+                base = b.column("part")[0].as_py() << 36
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = np.append(enc.encode(text), np.uint16(end_id))
                 group.append((doc, ids))
@@ -96,4 +97,4 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
         if group:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.spark_partition_id().cast("long").alias("part")).where("doc_id is not null").mapInArrow(run, ", ".join(f"{n} long" for n in names))

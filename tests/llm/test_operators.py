@@ -186,6 +186,17 @@ def test_packing(docs, empty):
     assert packing.packed(empty, tokens.vocabulary_path()).count() == 0
 
 
+def test_packing_of_more_partitions_than_writers(spark):
+    many = spark.createDataFrame([(i, prose("en", 30 + i)) for i in range(64)], "doc_id long, text string").repartition(8)
+    rows = packing.packed(many, tokens.vocabulary_path()).coalesce(3).collect()
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= packing.LENGTH and len({q >> 36 for q in at}) == 8
+    assert {r.doc_id for r in rows} == set(range(64))
+
+
 def test_packing_balances_costs():
     pieces = packing.pack([1000] * 40 + [300] * 40 + [9000])
     cost = {}
