@@ -1,12 +1,15 @@
 """Mixing to target weights with soft membership, in SQL functions only.
 
 A classifier learned from labelled documents gives each document a posterior over domains. Nonnegative rates of
-documents then bring the expected tokens of each domain to its target: least squares, by projected gradient steps
+documents then bring the expected tokens of each domain to its target: those nearest to 1 that do, by Newton steps
 whose sums over all documents Spark takes.
 """
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,8 @@ from . import common
 #: Labelled rows of the fit at most (by hash of the id), hash buckets of words and of word ends, what a word's evidence counts (words of a text are not
 #: independent), and the least log-ratio to the first domain at which a bucket counts at all.
 MAX_ROWS, WORD_BUCKETS, END_BUCKETS, EVIDENCE, LEAST = 20_000, 16384, 512, 0.5, 0.5
-#: Steps at most, the largest relative error of a domain's tokens that ends them, and the pull of rates to 1.
+#: Steps at most, the largest relative error of a domain's tokens that ends them, and the pull of rates to 1: it damps steps, and
+#: decides where no rates meet all targets.
 STEPS, CLOSE, PULL = 24, 1e-3, 1e-4
 TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
 
@@ -80,27 +84,66 @@ def rates(soft: DataFrame, weights: list[float], budget: float | None = None) ->
     """The rate of each row of soft (tokens, p) as a column, the domain tokens it gives and the targets.
 
     budget: tokens wanted in all; by default those at which the domain of the largest target is used just once.
-    Errors are scaled by each domain's share, which leaves a problem whose largest curvature is about 1.
+    The nonnegative rates nearest to 1 that meet the targets are max(0, 1 + level . p), with levels that minimise a
+    convex function of as many variables as domains; its slope and curvature are sums over all rows. Where the steps
+    do not close on the targets, the rates are those of least squares with PULL, and a warning tells what they give.
     """
     k = len(weights)
-    took = lambda r: [x or 0.0 for x in soft.agg(*(F.sum(F.col("tokens") * F.get("p", F.lit(i)) * r) for i in range(k))).first()]
-    have = took(F.lit(1.0))
-    total = sum(have) or 1.0
-    share = [max(h / total, 1e-6) for h in have]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    p = [F.get("p", F.lit(i)) for i in range(k)]
+
+    def rate(level: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) + sum(x * float(v) for x, v in zip(p, level, strict=True)))
+
+    def took(level: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the tokens times squared rates, domain tokens and curvature at a level."""
+        r = rate(level)
+        n, live = F.col("tokens") * r, F.when(r > 0, F.col("tokens")).otherwise(0)
+        row = soft.agg(F.sum(n * r / 2), *(F.sum(n * x) for x in p), *(F.sum(live * p[i] * p[j]) for i, j in pairs)).first()
+        half, *sums = [float(x or 0.0) for x in row]
+        curve = np.zeros((k, k))
+        for (i, j), x in zip(pairs, sums[k:], strict=True):
+            curve[i, j] = curve[j, i] = x
+        return half, np.array(sums[:k]), curve
+
+    start = took(np.zeros(k))
+    have = start[1]
+    total = float(have.sum()) or 1.0
+    if not have.any():
+        return F.lit(1.0), have.tolist(), [0.0] * k
     scale = sum(weights)
     if budget is None:
-        w, h = max(zip(weights, have, strict=True))
+        w, h = max(zip(weights, have.tolist(), strict=True))
         budget = h / (w / scale) if w > 0 and h > 0 else total
-    target = [w / scale * budget for w in weights]
-    rate, now = F.lit(1.0), have
-    for _ in range(STEPS):
-        error = [(a - b) / total / s for a, b, s in zip(now, target, share, strict=True)]
-        if max(abs(a - b) / max(b, 1e-3 * total) for a, b in zip(now, target, strict=True)) <= CLOSE:
-            break
-        slope = sum(F.get("p", F.lit(i)) * float(e) for i, e in enumerate(error))
-        rate = F.greatest(F.lit(0.0), rate * (1 - PULL) + PULL - slope)
-        now = took(rate)
-    return rate, now, target
+    target = np.array([w / scale * budget for w in weights])
+    damp = PULL * np.maximum(have, 1e-6 * total)
+
+    def off(now: np.ndarray) -> float:
+        return float((abs(now - target) / np.maximum(target, 1e-3 * total)).max())
+
+    def solved(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Newton steps, damped more after one that did not lead down."""
+        level, (half, now, curve), more = np.zeros(k), start, 1.0
+        height = lambda half, level: half - level @ target + (pull * level**2).sum() / 2
+        for _ in range(STEPS):
+            slope = target - now - pull * level
+            if off(now) <= CLOSE or (abs(slope) <= 1e-9 * total).all():
+                break
+            step = np.linalg.solve(curve + np.diag(np.maximum(pull, more * damp)), slope)
+            tried = level + step
+            got = took(tried)
+            if height(got[0], tried) <= height(half, level):
+                level, (half, now, curve), more = tried, got, max(1.0, more / 100)
+            else:
+                more *= 30
+        return level, now
+
+    level, now = solved(np.zeros(k))
+    if off(now) > CLOSE:
+        level, now = solved(damp)
+        if off(now) > CLOSE:
+            warnings.warn(f"mixing: rates give {now.tolist()} tokens of the domains, targets are {target.tolist()}", stacklevel=2)
+    return rate(level), now.tolist(), target.tolist()
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
@@ -108,7 +151,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
 
     copies is rate rounded up or down by a hash of the document, so that its mean is the rate. Null and empty texts
     have one empty word and the prior as posterior. Repeated rows of equal text are one row; without labels all posteriors are
-    equal, and a domain without any has next to none; domains of no target weigh nothing; other columns are ignored; an empty table gives no rows.
+    equal, and a domain without any has next to none; targets that the rates do not reach are told by a warning; domains of no target weigh nothing; other columns are ignored; an empty table gives no rows.
     """
     names = sorted(targets)
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row_id", F.xxhash64("text"))

@@ -279,6 +279,23 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty, labels, {"a": 1.0}).count() == 0
 
 
+def test_mixing_of_overlapping_domains(spark):
+    kinds = [(0.96, 0.035, 0.005)] * 40 + [(0.98, 0.01, 0.01)] * 35 + [(0.05, 0.55, 0.40)] * 12 + [(0.05, 0.40, 0.55)] * 13
+    soft = spark.createDataFrame([(100 + i, list(p)) for i, p in enumerate(kinds)], "tokens long, p array<double>")
+    rate, now, target = mixing.rates(soft, [0.96, 0.03, 0.01])
+    rows = soft.withColumn("rate", rate).collect()
+    got = [sum(r.tokens * r.p[i] * r.rate for r in rows) for i in range(3)]
+    assert np.allclose(got, now, rtol=1e-6) and min(r.rate for r in rows) >= 0
+    assert max(abs(a / b - 1) for a, b in zip(got, target, strict=True)) <= mixing.CLOSE
+
+
+def test_mixing_tells_of_targets_out_of_reach(spark):
+    soft = spark.createDataFrame([(10, [0.5, 0.5])] * 20, "tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="mixing"):
+        _, now, target = mixing.rates(soft, [0.9, 0.1])
+    assert np.isfinite(now).all() and abs(now[0] - now[1]) < 1e-6 < abs(now[1] - target[1])
+
+
 def test_vectors(spark):
     g = np.random.default_rng(1)
     base = g.standard_normal((6, 16))
