@@ -18,6 +18,12 @@ def _of(column, *more, name: str = "documents", key: str = "doc_id"):
     return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet").select(key, column(), *(m() for m in more))
 
 
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of every whole text, with its place."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    return _docs(spark, d).select("doc_id", F.posexplode(words).alias("ordinal", "word"))
+
+
 def _distances(spark: SparkSession, d: str) -> DataFrame:
     """Steps from each customer to one region, over customers, nations and regions as nodes."""
     customer, nation = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("customer", "nation"))
@@ -65,8 +71,8 @@ QUERIES = {
     "chunk_sliding_350": lambda spark, d: _docs(spark, d).select("doc_id", F.posexplode(chunks.sliding_udf(F.col("text"))).alias("chunk", "text")),
     "tumbling_twin": lambda spark, d: E.windowed(spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))),
     "session_window_twin": lambda spark, d: E.sessions(spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))),
-    "lemma_lookup": _of(lambda: T.lemma_forms(F.element_at(F.split("text", " "), 1)).alias("forms"), name="benchmark", key="item_id"),
-    "dsl_fields": _of(lambda: T.dsl_parsed(F.concat(F.element_at(F.split("text", " "), 1), F.lit(".uc"))).alias("t"), name="benchmark", key="item_id"),
+    "lemma_lookup": lambda spark, d: _words(spark, d).select("doc_id", "ordinal", T.lemma_forms(F.col("word")).alias("forms")),
+    "dsl_fields": lambda spark, d: _words(spark, d).select("doc_id", "ordinal", T.dsl_parsed(F.col("word")).alias("t")),
 }
 
 ORACLES = {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docatlas.functions import chunks, text as T
 from docatlas.operators import merge
+from docatlas.plans import texts
 
 
 def one(spark, column):
@@ -60,3 +61,11 @@ def test_merges(spark):
     assert sorted(map(tuple, merge.latest(new, ["k"], ["v"]).collect())) == [(2, "c"), (3, "d")]
     tiers = spark.createDataFrame([(1, 7, 1), (2, 7, 3), (2, 7, 9)], "tier int, doc_id long, rank int")
     assert abs(merge.fused(tiers).first().score - (1 / 62 + 1 / 64)) < 1e-12
+
+
+def test_words_of_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "Running  hello.uqo\nlist.c"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    forms = {(r.doc_id, r.ordinal): r.forms for r in texts.QUERIES["lemma_lookup"](spark, str(tmp_path)).collect()}
+    assert sorted(forms) == [(1, 0), (1, 1), (1, 2)] and "run" in forms[1, 0] and forms[1, 2][0] == "list.c"
+    fields = {(r.doc_id, r.ordinal): tuple(r.t) for r in texts.QUERIES["dsl_fields"](spark, str(tmp_path)).collect()}
+    assert fields == {(1, 0): ("Running", 0, ""), (1, 1): ("hello", 33, ""), (1, 2): ("list", 0, ",")}
