@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Labels that a title takes, in the order in which they are looked for.
-TITLE_LABELS = ("IMAGE", "MEMORANDUM", "REPORT", "EMAIL", "LETTER", "COURT", "ORDER", "MOTION", "SUBPOENA", "CASE ID", "FBI", "TRANSCRIPT", "AFFIDAVIT", "WARRANT")
+# Words that are looked for, in this order, and the labels that a title takes from them.
+TITLE_LABELS = (
+    ("IMAGE", "Image"), ("MEMORANDUM", "Memorandum"), ("REPORT", "Report"), ("EMAIL", "Email"), ("LETTER", "Letter"), ("COURT", "Court Document"), ("ORDER", "Court Order"),
+    ("MOTION", "Motion"), ("SUBPOENA", "Subpoena"), ("CASE ID", "Case File"), ("FBI", "FBI Document"), ("TRANSCRIPT", "Transcript"), ("AFFIDAVIT", "Affidavit"), ("WARRANT", "Warrant"),
+)
 # Extensions of each kind of file.
 KINDS = {"Pdf": ("pdf",), "Spreadsheet": ("xlsx", "xls", "csv"), "Video": ("mp4", "mov", "avi", "mkv", "wmv"), "Audio": ("mp3", "wav", "m4a", "flac")}
 # Bits of a word's flags and the suffix codes that set them.
@@ -55,7 +58,7 @@ def natural_key(name: Column) -> Column:
 
 def title(text: Column, file_name: Column) -> Column:
     head = F.lower(F.substring(text, 1, 2000))
-    found = F.coalesce(*(F.when(F.contains(head, F.lit(k.lower())), F.initcap(F.lit(k.lower()))) for k in TITLE_LABELS))
+    found = F.coalesce(*(F.when(F.contains(head, F.lit(k.lower())), F.lit(label)) for k, label in TITLE_LABELS))
     return F.when(found.isNull(), file_name).otherwise(F.concat(found, F.lit(" - "), file_name))
 
 

@@ -39,8 +39,9 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
     return said.select("conv_id", "turn", "people", cleaning.terms(F.col("text"), F.col("people")).alias("terms"))
 
 
-#: A file name, a volume's folder and a name with a digest for each document.
+#: A file name, the name that catalogue.DOC gives, and a volume's folder for each document.
 _FILE = lambda: F.concat(F.lit("d."), F.get(F.array(*map(F.lit, ("pdf", "CBZ", "txt", "zip", "bin"))), (F.col("doc_id") % 5).cast("int")))
+_NAME = lambda: F.concat(F.lit("DOC"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("."), F.get(F.array(*map(F.lit, ("pdf", "xlsx", "csv", "mp4", "txt"))), (F.col("doc_id") % 5).cast("int")))
 _VOLUME = lambda: F.concat(F.get(F.array(*map(F.lit, ("39015t", "32044", "ark+=13960=", "x+"))), (F.col("doc_id") % 4).cast("int")), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
 
 QUERIES = {
@@ -64,6 +65,7 @@ QUERIES = {
     "bit_xor_checksum": lambda spark, d: _docs(spark, d).groupBy("source").agg(F.bit_xor(F.col("n_chars")).alias("sum")),
     "vocabulary_index": lambda spark, d: _docs(spark, d).select("doc_id", F.explode(F.split(F.lower("text"), r"[ \n]")).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")),
     "date_deduce": _of(lambda: T.deduced_date(F.col("text")).alias("day"), name="conversations", key="conv_id"),
+    "title_cascade": _of(lambda: T.title(F.col("text"), _NAME()).alias("title")),
     "junk_flags": _of(lambda: T.is_junk(F.col("text")).alias("junk")),
     "sentence_split": lambda spark, d: _docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("ordinal", "sentence")),
     "fts_lexeme_and": lambda spark, d: _docs(spark, d).where(T.matches(F.col("text"), F.lit("thing with"))).select("doc_id"),

@@ -69,3 +69,16 @@ def test_words_of_whole_texts(spark, tmp_path):
     assert sorted(forms) == [(1, 0), (1, 1), (1, 2)] and "run" in forms[1, 0] and forms[1, 2][0] == "list.c"
     fields = {(r.doc_id, r.ordinal): tuple(r.t) for r in texts.QUERIES["dsl_fields"](spark, str(tmp_path)).collect()}
     assert fields == {(1, 0): ("Running", 0, ""), (1, 1): ("hello", 33, ""), (1, 2): ("list", 0, ",")}
+
+
+@pytest.mark.parametrize(
+    "said,label",
+    [("an Image of the memorandum", "Image"), ("MEMORANDUM report", "Memorandum"), ("report email", "Report"), ("e email letter", "Email"), ("letter to court", "Letter"), ("court order", "Court Document"), ("order motion", "Court Order"), ("motion subpoena", "Motion"), ("subpoena case id", "Subpoena"), ("Case ID fbi", "Case File"), ("fbi transcript", "FBI Document"), ("transcript affidavit", "Transcript"), ("affidavit warrant", "Affidavit"), ("a warrant", "Warrant"), ("x" * 2000 + "image", None), (None, None)],
+)
+def test_title_cascade(spark, said, label):
+    assert one(spark, T.title(F.lit(said).cast("string"), F.lit("a.pdf"))) == (f"{label} - a.pdf" if label else "a.pdf")
+
+
+def test_title_cascade_is_registered(spark, tmp_path):
+    spark.createDataFrame([(5, "the FBI wrote"), (8, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.title for r in texts.QUERIES["title_cascade"](spark, str(tmp_path)).collect()} == {5: "FBI Document - DOC00000005.pdf", 8: "DOC00000008.mp4"}
