@@ -79,6 +79,12 @@ SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS final_rank, sc
     "list_append": "WITH a AS (SELECT doc_id, 'a' AS origin FROM {documents} WHERE doc_id % 3 = 0), b AS (SELECT doc_id, 'b' AS origin FROM {documents} WHERE doc_id % 2 = 0) SELECT * FROM a UNION ALL SELECT b.doc_id, b.origin FROM b LEFT ANTI JOIN a ON a.doc_id = b.doc_id",
     "exact_match_union": "SELECT doc_id FROM {documents} WHERE lower(text) LIKE '%for the%' UNION SELECT doc_id FROM {documents} WHERE lower(source) LIKE '%src1%'",
     "intersect_lists": "SELECT doc_id FROM {documents} WHERE doc_id % 3 = 0 INTERSECT SELECT doc_id FROM {labels}",
+    "list_merge_whole": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY pr, source) AS rn FROM (SELECT doc_id, source, 1 AS pr FROM {documents} UNION ALL SELECT doc_id, CAST(quality AS string), 2 FROM {labels}) u) x WHERE rn = 1",
+    "list_xor_whole": "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {embeddings} e ON d.doc_id = e.vec_id UNION ALL SELECT e.vec_id FROM {embeddings} e LEFT ANTI JOIN {documents} d ON e.vec_id = d.doc_id",
+    "list_trim_whole": "WITH a AS (SELECT doc_id FROM {documents} UNION ALL SELECT doc_id FROM {documents}) SELECT a.doc_id FROM a LEFT ANTI JOIN {labels} b ON a.doc_id = b.doc_id",
+    "list_append_whole": "SELECT doc_id, 'a' AS origin FROM {documents} UNION ALL SELECT b.vec_id, 'b' FROM {embeddings} b LEFT ANTI JOIN {documents} a ON b.vec_id = a.doc_id",
+    "intersect_lists_whole": "SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FROM {labels}",
+    "insert_ignore_whole": "SELECT min(event_id) AS event_id, user_id FROM {events} e LEFT ANTI JOIN {customer} c ON c.c_custkey = e.user_id GROUP BY user_id",
     "upsert_latest_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) x WHERE rn = 1",
     "insert_ignore": "SELECT min(event_id) AS event_id, user_id FROM {events} e LEFT ANTI JOIN (SELECT c_custkey FROM {customer} WHERE c_custkey % 2 = 0) c ON c.c_custkey = e.user_id GROUP BY user_id",
     "fuzzy_title": "SELECT p_partkey, p_name FROM {part} WHERE levenshtein(lower(p_name), 'part 12') <= 2 OR levenshtein(lower(p_type), 'type1') <= 1 OR levenshtein(lower(p_brand), 'brand#12') <= 1",
