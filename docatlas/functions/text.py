@@ -94,7 +94,7 @@ def query_hash(query: Column, exact: bool, names_only: bool, datasets: list[str]
 
 
 def is_junk(text: Column) -> Column:
-    """Runs, one dominant character, base64, hex dumps and unbroken blobs; short texts never are."""
+    """Runs, one dominant character, base64, hex dumps, binary noise and unbroken blobs; short texts never are."""
     n = F.length(text)
     solid = F.regexp_replace(text, r"\s", "")
     share = lambda pattern, of: F.length(F.regexp_replace(of, pattern, "")) / F.greatest(F.lit(1), F.length(of))
@@ -106,9 +106,11 @@ def is_junk(text: Column) -> Column:
     head = F.substring(text, 1, 100)
     base64 = (share(r"[^A-Za-z0-9+/=]", text) > 0.9) & ((n - F.length(F.replace(text, F.lit(" "), F.lit("")))) < 0.05 * n) & (F.length(solid) > 60) & head.rlike("[a-z]") & head.rlike("[A-Z]") & head.rlike("[0-9]")
     hexed = ((n >= 20) & (F.regexp_count(text, F.lit("0x")) >= 3)) | ((n >= 30) & (share("[^0-9a-fA-F]", solid) > 0.85))
+    shown = F.regexp_replace(text, r"[\s\p{Z}\x85]", "")
+    noise = (n >= 30) & (F.length(shown) > 0) & (share(r"""[\p{L}\p{Nd}.,;:!?'"\-()\[\]/@#$&*_]""", shown) > 0.5)
     kept = F.regexp_replace(text, r"\[redact[^\]]*\]", "")
     blob = (n >= 200) & (F.regexp_count(kept, F.lit(r"\s")) < 0.03 * F.length(kept))
-    return F.coalesce((n > 10) & (run | dominant | base64 | hexed | blob), F.lit(False))
+    return F.coalesce((n > 10) & (run | dominant | base64 | hexed | noise | blob), F.lit(False))
 
 
 def lexemes(text: Column, stop_words: list[str] = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with")) -> Column:

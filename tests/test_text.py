@@ -82,3 +82,8 @@ def test_title_cascade(spark, said, label):
 def test_title_cascade_is_registered(spark, tmp_path):
     spark.createDataFrame([(5, "the FBI wrote"), (8, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.title for r in texts.QUERIES["title_cascade"](spark, str(tmp_path)).collect()} == {5: "FBI Document - DOC00000005.pdf", 8: "DOC00000008.mp4"}
+
+
+@pytest.mark.parametrize("said,junk", [("\x01\x02~^\x03|<\x04 ab" * 4, True), ("~^|" * 9 + "~^", False), ("~^|<" * 5 + "abcdefghijklmnopqrst" + "1.", False), ("Grüße, 'quoted' [text] (of) letters & signs #1 @2 $3", False)])
+def test_junk_of_binary_noise(spark, said, junk):
+    assert one(spark, T.is_junk(F.lit(said))) is junk
