@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embeddings, fingerprints, langid, minhash, mixing, packing, pii, quality, secrets, sstable
-from .common import few, table
+from .common import table
 from .tokens import vocabulary_path
 
 def _crc() -> Column:
@@ -46,7 +46,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), mixing.domains(table(spark, sf_dir, "labels"))).drop("row_id")
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.domains(table(spark, sf_dir, "labels")))
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +61,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-def _few(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A query whose result is written in fewer and larger files."""
-    return lambda spark, sf_dir: few(query(spark, sf_dir))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _few(f) for f in (op1_language_id, op2_minhash_near_dedup, op3_quality_classifier, op4_document_fingerprints, op5_token_shards, op6_pii, op7_source_mixing, op8_embedding_near_dedup, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_quality_classifier, op4_document_fingerprints, op5_token_shards, op6_pii, op7_source_mixing, op8_embedding_near_dedup, op9_packing, op10_secret_scan)}
 
 
 _LINKED = """e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
