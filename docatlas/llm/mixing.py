@@ -1,8 +1,8 @@
 """Mixing to target weights with soft membership, in SQL functions only.
 
 A classifier learned from labelled documents gives each document a posterior over domains. Nonnegative rates of
-documents then bring the expected tokens of each domain to its target: those nearest to 1 that do, by Newton steps
-whose sums over all documents Spark takes.
+documents then bring the expected tokens of each domain to its target: those nearest to 1 that do, by projected
+Newton steps whose sums over all documents Spark takes.
 """
 
 from __future__ import annotations
@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows of the fit at most (by hash of the id), hash buckets of words and of word ends, what a word's evidence counts (words of a text are not
-#: independent), and the least log-ratio to the first domain at which a bucket counts at all.
-MAX_ROWS, WORD_BUCKETS, END_BUCKETS, EVIDENCE, LEAST = 20_000, 16384, 512, 0.5, 0.5
+#: Labelled rows of the fit at most (by hash of the id): one half of them shows the markers, the other fits the posterior.
+MAX_ROWS = 20_000
+#: Markers of a domain at most, rows that must hold one, least log-ratios to the other domains of the two grades of markers, letters of a stem.
+MARKERS, LEAST, GRADES, STEM = 400, 4, (1.5, 4.0), 5
+#: Ridge on standardised features, and the log-odds of a domain of which no row is labelled.
+RIDGE, UNSEEN = 1e-2, -14.0
 #: Steps at most, the largest relative error of a domain's tokens that ends them, and the pull of rates to 1: it damps steps, and
 #: decides where no rates meet all targets.
 STEPS, CLOSE, PULL = 24, 1e-3, 1e-4
 TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
+#: What is counted of a text's shape, by the word.
+SHAPES = {"capitals": "[A-Z]{2,}", "signs": r"[#$%&*@^~<>{}\[\]\\=+_`]+", "bangs": "!+", "bars": r"\|", "digits": "[0-9]+", "lines": "\n"}
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -30,54 +35,102 @@ def domains(labels: DataFrame) -> DataFrame:
     return worst.select("doc_id", F.when(F.col("t") > 0, "toxic").when(F.col("q") < 1, "low").otherwise("clean").alias("domain"))
 
 
-def words(docs: DataFrame, *more: str) -> DataFrame:
-    """A row a word, with its two buckets."""
-    w = docs.select("doc_id", *more, F.explode(F.split("text", r"[ \n]")).alias("w"))
-    end = F.pmod(F.xxhash64(F.right("w", F.lit(2))), F.lit(END_BUCKETS)).cast("int")
-    return w.select("doc_id", *more, F.pmod(F.xxhash64("w"), F.lit(WORD_BUCKETS)).cast("int").alias("x"), end.alias("y"))
-
-
-def fit(docs: DataFrame, labelled: DataFrame, names: list[str]) -> tuple[list[list[float]], list[tuple[float, float]], list[float]]:
-    """What each bucket speaks for each domain but the first (a list a domain), how far and from what mean it is read, and log-priors.
-
-    Log-ratios of naive Bayes with one added count; a text's sum of them is read as a linear discriminant between
-    the means that it has in the two domains, as buckets hold words of both.
-    """
-    import math
-
-    some = labelled.where(F.col("domain").isin(names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
-    w = words(docs.join(F.broadcast(some), "doc_id"), "domain")
-    got = w.select("domain", F.explode(F.array("x", F.col("y") + WORD_BUCKETS)).alias("k")).groupBy("domain", "k").count().collect()  # a count a domain and bucket
-    counts = {d: [1.0] * (WORD_BUCKETS + END_BUCKETS) for d in names}
-    for r in got:
-        counts[r.domain][r.k] += r["count"]
-    sizes = {r.domain: r["count"] for r in some.groupBy("domain").count().collect()}
-    n = sum(sizes.values()) + len(names)
-    logs = []
-    for d in names:
-        a, b = sum(counts[d][:WORD_BUCKETS]), sum(counts[d][WORD_BUCKETS:])
-        logs.append([math.log(c / a) for c in counts[d][:WORD_BUCKETS]] + [math.log(c / b) for c in counts[d][WORD_BUCKETS:]])
-    gains, lines = [], [(0.0, 0.0)]
-    for name, row in zip(names[1:], logs[1:], strict=True):
-        gain = [0.0] * len(row) if not sizes.get(name) else [x - z if abs(x - z) >= LEAST else 0.0 for x, z in zip(row, logs[0], strict=True)]
-        own, other = (sum(math.exp(p) * g for p, g in zip(side, gain, strict=True)) for side in (row, logs[0]))
-        spread = sum(math.exp(p) * g * g for p, g in zip(logs[0], gain, strict=True)) - other**2 / 2
-        lines.append((EVIDENCE * (own - other) / max(spread, 1e-9), (own + other) / 2))
-        gains.append(gain)
-    return gains, lines, [math.log((sizes.get(d, 0) + (1 if not sizes else 1e-6)) / n) for d in names]
-
-
-def posteriors(docs: DataFrame, model: tuple, names: list[str]) -> DataFrame:
-    """(doc_id, tokens, p): words of each whole text and its posterior over names; the prior where there is no word."""
-    gains, lines, prior = model
-    w = words(docs, "row_id")
-    gain = [F.sum(sum(F.get(F.lit(row[lo:hi]), F.col(c)) for c, lo, hi in (("x", 0, WORD_BUCKETS), ("y", WORD_BUCKETS, None)))).alias(f"g{i}") for i, row in enumerate(gains, 1)]
-    sums = w.groupBy("doc_id", "row_id").agg(F.count("*").alias("tokens"), *gain)
-    z = [F.lit(prior[0]), *(F.lit(prior[i]) + F.lit(lines[i][0]) * (F.col(f"g{i}") - F.lit(lines[i][1]) * F.col("tokens")) for i in range(1, len(names)))]
-    top = F.greatest(*z) if len(z) > 1 else z[0]
-    e = F.array(*(F.exp(x - top) for x in z))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return sums.select("doc_id", "row_id", "tokens", F.transform(e, lambda x: x / total).alias("p"))
+def described(docs: DataFrame, *more: str) -> DataFrame:
+    """(..., text) to (..., tokens, terms, shape): distinct words and stems, and the figures of a whole text."""
+    w = docs.select("*", F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "").alias("ws"))
+    w = w.select("*", F.array_distinct("ws").alias("once"))
+    n = F.greatest(F.lit(1.0), F.size("ws").cast("double"))
+    stems = F.transform(F.filter("once", lambda x: F.length(x) > STEM), lambda x: F.concat(F.lit("^"), F.substring(x, 1, STEM)))
+    counted = [F.sqrt(F.regexp_count("text", F.lit(p)) / n) for p in SHAPES.values()]
+    lines = F.split("text", "\n")
+    figures = [*counted, F.size("once") / n, F.size(F.array_distinct(lines)) / F.size(lines), F.log1p(n), F.log1p(F.size("once").cast("double")), F.length("text") / n / 10]
+    return w.select(*more, (F.regexp_count("text", F.lit("[ \n]")) + 1).cast("long").alias("tokens"), F.concat("once", stems).alias("terms"), F.array(*figures).alias("shape"))
+
+
+def markers(half: DataFrame, names: list[str], scratch: common.Scratch) -> list[list[str]]:
+    """For each domain and grade the words and stems that speak for it most: those of the largest p log(p/q), p and q being the shares of rows that hold one in the domain and elsewhere."""
+    sizes = {r.domain: r["count"] for r in half.groupBy("domain").count().collect()}
+    held = scratch.written(half.select("domain", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(*(F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(names))), "mixing-terms")
+    out, rows = [], sum(sizes.values())
+    for i, d in enumerate(names):
+        own = sizes.get(d, 0)
+        p = (F.col(f"n{i}") + 0.5) / (own + 1.0)
+        q = (sum(F.col(f"n{j}") for j in range(len(names)) if j != i) + F.lit(0.5)) / (rows - own + 1.0)
+        told = held.where(F.col(f"n{i}") >= LEAST).select("term", F.log(p / q).alias("w"), (p * F.log(p / q)).alias("g")).where(F.col("w") >= GRADES[0]).orderBy(F.desc("g"), "term").limit(MARKERS).collect()
+        out += [[r.term for r in told if lo <= r.w < hi] for lo, hi in zip(GRADES, (*GRADES[1:], np.inf), strict=True)]
+    return out
+
+
+def features(lists: list[list[str]]) -> Column:
+    """The shape of a text and, for each list of markers, the log of how many of them it holds."""
+    held = [F.log1p(F.size(F.array_intersect("terms", F.split(F.lit(" ".join(x)), " "))).cast("double")) if x else F.lit(0.0) for x in lists]
+    return F.concat("shape", F.array(*held))
+
+
+def softmax(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ridge multinomial regression of classes y on x by Newton's method: weights (k - 1, features + 1) against class 0, and what x is centred and scaled by."""
+    mid, wide = x.mean(0), np.maximum(x.std(0), 1e-9)
+    z = np.column_stack(((x - mid) / wide, np.ones(len(x))))
+    m = z.shape[1]
+    ridge = np.tile(np.append(np.full(m - 1, RIDGE * np.sqrt(len(x))), 1e-3), k - 1)
+    hit = np.stack([y == c for c in range(1, k)], 1).astype(float)
+    w = np.zeros((k - 1) * m)
+
+    def odds(w: np.ndarray) -> tuple[np.ndarray, float]:
+        s = np.column_stack((np.zeros(len(z)), z @ w.reshape(k - 1, m).T))
+        top = s.max(1, keepdims=True)
+        e = np.exp(s - top)
+        total = e.sum(1, keepdims=True)
+        loss = float((np.log(total[:, 0]) + top[:, 0] - (s[:, 1:] * hit).sum(1)).sum() + (ridge * w * w).sum() / 2)
+        return (e / total)[:, 1:], loss
+
+    p, loss = odds(w)
+    for _ in range(60):
+        slope = ((p - hit).T @ z).ravel() + ridge * w
+        curve = np.diag(ridge)
+        for a in range(k - 1):
+            for b in range(k - 1):
+                curve[a * m : (a + 1) * m, b * m : (b + 1) * m] += (z * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ z
+        step, size = np.linalg.solve(curve, slope), 1.0
+        while size > 1e-6:
+            q, now = odds(w - size * step)
+            if now <= loss:
+                break
+            size /= 2
+        done = loss - now < 1e-6 * max(1.0, loss)
+        w, p, loss = w - size * step, q, now
+        if done:
+            break
+    return w.reshape(k - 1, m), mid, wide
+
+
+def fit(docs: DataFrame, labelled: DataFrame, names: list[str]) -> tuple[list[list[str]], list[list[float]]]:
+    """Markers, and weights of the features and a constant for each of names, from at most MAX_ROWS labelled rows."""
+    spark = docs.sparkSession
+    with common.Scratch(spark) as scratch:
+        some = labelled.where(F.col("domain").isin(names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
+        rows = scratch.written(described(docs.join(F.broadcast(some), "doc_id"), "doc_id", "domain"), "mixing-sample")
+        odd = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
+        lists = markers(rows.where(odd == 0), names, scratch)
+        got = rows.where(odd == 1).select("domain", features(lists).alias("x")).limit(MAX_ROWS).collect()
+    seen = [d for d in names if any(r.domain == d for r in got)]
+    width = len(SHAPES) + 5 + len(lists)
+    if len(seen) < 2:  # nothing to tell apart
+        return lists, [[0.0] * width + [0.0 if not seen or d in seen else UNSEEN] for d in names]
+    w, mid, wide = softmax(np.array([r.x for r in got]), np.array([seen.index(r.domain) for r in got]), len(seen))
+    rows_ = dict(zip(seen, [[0.0] * (width + 1), *([*(v[:-1] / wide).tolist(), float(v[-1] - (v[:-1] * mid / wide).sum())] for v in w)], strict=True))
+    return lists, [rows_.get(d, [0.0] * width + [UNSEEN]) for d in names]
+
+
+def posteriors(docs: DataFrame, model: tuple, names: list[str], *more: str) -> DataFrame:
+    """(..., text) to (..., tokens, p): words of each whole text and its posterior over names."""
+    lists, weights = model
+    x = described(docs, *more).select(*more, "tokens", features(lists).alias("x"))
+    z = [sum((F.get("x", F.lit(i)) * v for i, v in enumerate(row[:-1]) if v), F.lit(row[-1])) for row in weights]
+    x = x.select(*more, "tokens", F.array(*z).alias("z"))
+    x = x.select(*more, "tokens", F.transform("z", lambda v: F.exp(v - F.array_max("z"))).alias("e"))
+    total = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
+    return x.select(*more, "tokens", F.transform("e", lambda v: v / total).alias("p"))
 
 
 def rates(soft: DataFrame, weights: list[float], budget: float | None = None) -> tuple[Column, list[float], list[float]]:
@@ -97,9 +150,9 @@ def rates(soft: DataFrame, weights: list[float], budget: float | None = None) ->
 
     def took(level: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Half the tokens times squared rates, domain tokens and curvature at a level."""
-        r = rate(level)
-        n, live = F.col("tokens") * r, F.when(r > 0, F.col("tokens")).otherwise(0)
-        row = soft.agg(F.sum(n * r / 2), *(F.sum(n * x) for x in p), *(F.sum(live * p[i] * p[j]) for i, j in pairs)).first()
+        rows = soft.select("tokens", "p", rate(level).alias("r"))
+        n, live = F.col("tokens") * F.col("r"), F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
+        row = rows.agg(F.sum(n * F.col("r") / 2), *(F.sum(n * x) for x in p), *(F.sum(live * p[i] * p[j]) for i, j in pairs)).first()
         half, *sums = [float(x or 0.0) for x in row]
         curve = np.zeros((k, k))
         for (i, j), x in zip(pairs, sums[k:], strict=True):
@@ -121,10 +174,12 @@ def rates(soft: DataFrame, weights: list[float], budget: float | None = None) ->
     def off(now: np.ndarray) -> float:
         return float((abs(now - target) / np.maximum(target, 1e-3 * total)).max())
 
+    def height(half: float, level: np.ndarray, pull: np.ndarray) -> float:
+        return half - level @ target + (pull * level**2).sum() / 2
+
     def solved(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Newton steps, damped more after one that did not lead down."""
         level, (half, now, curve), more = np.zeros(k), start, 1.0
-        height = lambda half, level: half - level @ target + (pull * level**2).sum() / 2
         for _ in range(STEPS):
             slope = target - now - pull * level
             if off(now) <= CLOSE or (abs(slope) <= 1e-9 * total).all():
@@ -132,7 +187,7 @@ def rates(soft: DataFrame, weights: list[float], budget: float | None = None) ->
             step = np.linalg.solve(curve + np.diag(np.maximum(pull, more * damp)), slope)
             tried = level + step
             got = took(tried)
-            if height(got[0], tried) <= height(half, level):
+            if height(got[0], tried, pull) <= height(half, level, pull):
                 level, (half, now, curve), more = tried, got, max(1.0, more / 100)
             else:
                 more *= 30
@@ -146,17 +201,36 @@ def rates(soft: DataFrame, weights: list[float], budget: float | None = None) ->
     return rate(level), now.tolist(), target.tolist()
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
-    """(doc_id, text) to (doc_id, row_id, tokens, p_<domain>, domain, rate, copies).
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, keep: str | None = None) -> DataFrame:
+    """(doc_id, text) to (doc_id, tokens, p_<domain>, domain, rate, copies), with keep as a struct of that name of all columns of docs besides.
 
     copies is rate rounded up or down by a hash of the document, so that its mean is the rate. Null and empty texts
-    have one empty word and the prior as posterior. Repeated rows of equal text are one row; without labels all posteriors are
-    equal, and a domain without any has next to none; targets that the rates do not reach are told by a warning; domains of no target weigh nothing; other columns are ignored; an empty table gives no rows.
+    have one empty word and the posterior of a text without marks; texts of any length are read whole. Repeated rows
+    are rows of their own with equal rates; a row without an id counts as any other but teaches nothing. Of equally
+    likely domains a document's is the first by name. Without labels all posteriors are equal; a domain without any has next to
+    none; targets that the rates do not reach are told by a warning; domains of no target weigh nothing; other
+    columns are ignored; an empty table gives no rows.
     """
     names = sorted(targets)
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row_id", F.xxhash64("text"))
-    soft = common.written(posteriors(d, fit(d, labelled, names), names), "mixing")
+    own = [F.struct(*docs.columns).alias(keep)] if keep else []
+    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *own)
+    d = d.withColumn("u", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30))
+    more = ["doc_id", "u", *([keep] if keep else [])]
+    soft = common.written(posteriors(d, fit(d.select("doc_id", "text"), labelled, names), names, *more), "mixing")
     rate, _, _ = rates(soft, [float(targets[n]) for n in names])
-    u = F.pmod(F.xxhash64("doc_id", "row_id"), F.lit(1 << 30)) / float(1 << 30)
     best = F.element_at(F.array(*map(F.lit, names)), F.array_position("p", F.array_max("p")).cast("int"))
-    return soft.withColumn("rate", rate).select("doc_id", "row_id", "tokens", *(F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)), best.alias("domain"), "rate", F.floor(F.col("rate") + u).cast("long").alias("copies"))
+    p = [F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)]
+    mixed = soft.withColumn("rate", rate)
+    return mixed.select("doc_id", *([keep] if keep else []), "tokens", *p, best.alias("domain"), "rate", F.floor(F.col("rate") + F.col("u")).cast("long").alias("copies"))
+
+
+def report(mixed: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """(domain, target, reached, by_label): shares of tokens wanted, given by the posteriors, and found among the labelled documents."""
+    names = sorted(targets)
+    whole = float(sum(targets.values()))
+    n = F.col("tokens") * F.col("rate")
+    sums = mixed.agg(*(F.sum(n * F.col(f"p_{d}")).alias(d) for d in names))
+    told = mixed.join(labelled.select("doc_id", F.col("domain").alias("label")), "doc_id").agg(*(F.sum(F.when(F.col("label") == d, n).otherwise(0.0)).alias(d) for d in names))
+    shares = [df.select(F.explode(F.array(*(F.struct(F.lit(d).alias("domain"), (F.col(d) / sum(F.col(x) for x in names)).alias(c)) for d in names))).alias("s")).select("s.*") for df, c in ((sums, "reached"), (told, "by_label"))]
+    want = F.coalesce(*(F.when(F.col("domain") == d, float(v) / whole) for d, v in targets.items()))
+    return shares[0].join(shares[1], "domain").select("domain", want.alias("target"), "reached", "by_label")
