@@ -20,8 +20,8 @@ WORDS, NUMERATOR = 5, 75
 BANDS, ROWS, BITS = 32, 4, 256
 #: Pairs whose sketches say less are not confirmed: five deviations below the limit.
 LEAST_ESTIMATE = 0.5
-#: Members of a bucket that are compared at once.
-CHUNK = 1024
+#: Members of a bucket that are compared at once, parts that rows of one set are joined in.
+CHUNK, SALTS = 1024, 32
 _M = (1 << 64) - 1
 
 
@@ -169,7 +169,7 @@ def alike(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return p[:, 1], p[:, 2]
 
 
-def across(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def across(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, scratch: common.Scratch) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different components, as a forest of each bucket.
 
     A task compares a bucket's sketches in memory and passes on members that have a like one; these come together
@@ -214,7 +214,7 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFr
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    few = common.written(rows.repartition(n, "g").sortWithinPartitions("g", "b").mapInArrow(needed, rows.schema), "minhash-needed")
+    few = scratch.written(rows.repartition(n, "g").sortWithinPartitions("g", "b").mapInArrow(needed, rows.schema), "minhash-needed")
     whole = few.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
     return whole.repartition(n, "g").sortWithinPartitions("g", "b", "text").mapInArrow(linked, "a long, b long")
 
@@ -250,23 +250,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of any of its texts is a link of the id; rows without doc_id are dropped; other columns are ignored; an empty
     table gives no rows.
     """
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     sig = common.written(signatures(d), "minhash")
-    sig = sig.where("doc_id is not null")
-    classes = sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = common.written(sig.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n_shingles > 0").select("doc_id", "sketch", "bands"), "minhash-reps")
-    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    first = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    members = common.written(rows.join(first, "key").select("key", "band", "a", F.col("doc_id").alias("b")), "minhash-members")
-    sketches = reps.select("doc_id", "sketch")
-    tried = common.written(likely(members.where("a <> b").select("a", "b").distinct(), sketches), "minhash-pairs")
-    involved = members.select(F.col("b").alias("doc_id")).distinct()
-    texts = common.written(d.join(involved.hint("shuffle_hash"), "doc_id", "left_semi"), "minhash-texts")
-    links = common.written(confirmed(tried, texts), "minhash-links")
-    labels = common.components(links, "minhash-cc")
-    late = common.written(across(members, labels, reps, texts).distinct(), "minhash-late")
-    if late.limit(1).count():
-        labels = common.components(links.union(late), "minhash-cc")
-    rep = sig.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    with common.Scratch(docs.sparkSession) as scratch:
+        classes = scratch.written(sig.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "minhash-classes")
+        reps = scratch.written(sig.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n_shingles > 0").select("doc_id", "sketch", "bands"), "minhash-reps")
+        rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+        first = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+        members = scratch.written(rows.join(first, "key").select("key", "band", "a", F.col("doc_id").alias("b")), "minhash-members")
+        sketches = reps.select("doc_id", "sketch")
+        tried = scratch.written(likely(members.where("a <> b").select("a", "b").distinct(), sketches), "minhash-pairs")
+        involved = members.select(F.col("b").alias("doc_id")).distinct()
+        texts = scratch.written(d.join(involved.hint("shuffle_hash"), "doc_id", "left_semi"), "minhash-texts")
+        links = scratch.written(confirmed(tried, texts), "minhash-links")
+        labels = common.components(links, "minhash-cc")
+        late = scratch.written(across(members, labels, reps, texts, scratch).distinct(), "minhash-late")
+        if late.limit(1).count():
+            labels = common.components(links.union(late), "minhash-cc")
+        # rows of one set may be a third of all: a class of several rows is joined by parts of it, any other row is its own class
+        several = classes.where("n > 1").select("set_key", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = sig.withColumn("salt", F.when(F.col("n_shingles") > 0, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("int") + SALTS))
+        rep = common.written(salted.join(several, ["set_key", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "minhash-classed")
     out = rep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
