@@ -21,6 +21,7 @@ RULES = (
     ("private_key", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
 )
 BASE = ("assign", "access", "hex")
+_FOUND = "array<struct<s:int,r:int,e:int,kind:string>>"
 _MARK, _OTHER = "\ue000", "\ue001"
 
 
@@ -28,7 +29,7 @@ def spans(text: Column, rule: tuple, order: int) -> Column:
     """Matches of one rule as (s, r, e, kind), in code points: marks are put around them and what lies between is measured."""
     kind, _, pattern, least, group = rule
     marked = F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}")
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), F.array().cast("array<struct<s:int,r:int,e:int,kind:string>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), F.array().cast(_FOUND).alias("out"))
 
     def step(a: Column, p: Column) -> Column:
         end = a.pos + F.length(p)
@@ -42,31 +43,45 @@ def spans(text: Column, rule: tuple, order: int) -> Column:
 def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """(doc_id, text), every row a version at a path, to (doc_id, blob, findings); brings the ledger at that path up to date.
 
-    Without a ledger all blobs are unseen. A null text is the empty blob. Repeated rows give repeated results; other
-    columns are ignored; an empty table gives no rows and leaves the ledger as it is.
+    Without a ledger all blobs are unseen. A null text is the empty blob; texts of any length are scanned whole. A row
+    without an id is a version at no known path, and scanned as any other. Of findings that begin at one place those of
+    the rule listed first come first. Repeated rows give repeated results; other columns are ignored; an empty table
+    gives no rows and leaves the ledger as it is.
     """
     spark = docs.sparkSession
-    ledger = ledger or common.fresh_path(spark, "ledger")
-    d = docs.select("doc_id", F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _MARK, _OTHER).alias("text"), F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("blob"))
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(F.col("doc_id").cast("long"), F.translate(whole, _MARK, _OTHER).alias("text"), F.unhex(F.sha2(whole, 256)).alias("blob"))
     paths = common.written(d.select("doc_id", "blob"), "blobs")
-    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     names = [f"{kind}:{version}" for kind, version, *_ in RULES]
-    schema = "blob binary, rules array<string>, findings array<struct<s:int,r:int,e:int,kind:string>>"
+    schema = f"blob binary, rules array<string>, findings {_FOUND}"
     now = F.array(*map(F.lit, names))
+    # the row that stands for a blob: the smallest id that has it, and rows without an id only where no other has it
+    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("at"))
+    kept = ledger or common.fresh_path(spark, "ledger")
+    seen = _ledger(docs, kept, schema) if ledger else None
+    if seen is None:
+        todo = blobs.withColumn("todo", now)
+    else:
+        seen = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+        todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(now, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0).drop("seen")
+    todo = todo.withColumnRenamed("blob", "b").hint("shuffle_hash")
+    none = F.array().cast(_FOUND)
+    found = F.concat(*(F.when(F.array_contains("todo", n), spans(F.col("text"), rule, i)).otherwise(none) for i, (n, rule) in enumerate(zip(names, RULES, strict=True))))
+    fresh = d.join(todo, (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("at")))
+    fresh.select("blob", F.col("todo").alias("rules"), found.alias("findings")).write.mode("append").parquet(kept)
+    current = F.create_map(*[F.lit(x) for kind, version, *_ in RULES for x in (kind, f"{kind}:{version}")])
+    own = F.filter("findings", lambda x: F.array_contains("rules", current[x.kind]))  # not what older rule versions found
+    known = spark.read.schema(schema).parquet(kept).where(F.size("findings") > 0).select("blob", own.alias("findings")).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
+    return paths.join(known, "blob", "left").select("doc_id", "blob", F.coalesce("findings", none).alias("findings"))
+
+
+def _ledger(docs: DataFrame, path: str, schema: str) -> DataFrame | None:
     try:
-        seen = spark.read.schema(schema).parquet(ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(now, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0).drop("seen")
+        return docs.sparkSession.read.schema(schema).parquet(path)
     except AnalysisException as e:  # no ledger yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        blobs = blobs.withColumn("todo", now)
-    todo = blobs.hint("shuffle_hash")
-    found = F.concat(*(F.when(F.array_contains("todo", n), spans(F.col("text"), rule, i)).otherwise(F.array().cast("array<struct<s:int,r:int,e:int,kind:string>>")) for i, (n, rule) in enumerate(zip(names, RULES, strict=True))))
-    common.few(d.join(todo, ["doc_id", "blob"]).select("blob", F.col("todo").alias("rules"), found.alias("findings"))).write.mode("append").parquet(ledger)
-    current = F.create_map(*[F.lit(x) for kind, version, *_ in RULES for x in (kind, f"{kind}:{version}")])
-    own = F.filter("findings", lambda x: F.array_contains("rules", current[x.kind]))  # not what older rule versions found
-    known = spark.read.schema(schema).parquet(ledger).where(F.size("findings") > 0).select("blob", own.alias("findings")).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
-    return paths.join(known, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast("array<struct<s:int,r:int,e:int,kind:string>>")).alias("findings"))
+        return None
 
 
 def told(findings: Column) -> Column:
