@@ -9,6 +9,7 @@ vouch for are new entities.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]\S*")
+#: Further groups of digits after a token of digits, and an address that is spelled out.
+_GROUPS = re.compile(r"(?:\x20[0-9()+./-]+)+")
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\x20at\x20|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]+(?:(?:\x20dot\x20|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]+)+")
 _EDGE = "\"'`.,;:!?()[]{}<>*#$%&|"
 
 
@@ -67,16 +71,48 @@ def base(text: str) -> list[tuple[str, int, int]]:
 
 
 def look_alike(token: str) -> str | None:
+    """The kind that a token, or a row of groups of digits, might be."""
     digits = sum("0" <= c <= "9" for c in token)
     if "@" in token:
         return "email" if re.fullmatch(r"[^@\s]+@[^@\s]+", token) else None
     if re.fullmatch(r"[0-9]{1,3}(?:[.,:][0-9]{1,3}){3}", token):
         return "ip"
-    if not re.fullmatch(r"[0-9()+./-]+", token):
+    if not re.fullmatch(r"[0-9()+./\x20-]+", token):
         return None
     return "card" if 13 <= digits <= 19 else "phone" if 7 <= digits <= 12 else None
 
 
+def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of what might be an entity and overlaps none of the sorted spans taken: tokens, rows of groups of digits, spelled addresses."""
+    starts = [a for a, _ in taken]
+    most = [b for _, b in taken]
+    for i in range(1, len(most)):
+        most[i] = max(most[i], most[i - 1])
+    clear = lambda s, e: (i := bisect_left(starts, e)) == 0 or most[i - 1] <= s
+    done = 0
+    for m in _MARK.finditer(text):
+        s, e = m.span()
+        if s < done:
+            continue
+        while s > done and not text[s - 1].isspace():
+            s -= 1
+        done = e
+        raw = text[s:e]
+        if not set(raw) - set("0123456789()+./-") and (more := _GROUPS.match(text, e)):
+            end = more.start() + len(more[0].rstrip(_EDGE))
+            if clear(s, end) and (k := look_alike(text[s:end])):
+                done = more.end()
+                yield k, s, end
+                continue
+        s, e = s + len(raw) - len(raw.lstrip(_EDGE)), e - (len(raw) - len(raw.rstrip(_EDGE)))
+        if clear(s, e) and (k := look_alike(text[s:e])):
+            yield k, s, e
+    if "dot" in text:
+        for m in _SPELLED.finditer(text):
+            if clear(*m.span()):
+                yield "email", *m.span()
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns of a place: the two words before it, and the word before with the word after."""
     before = [w.strip(_EDGE).lower() for w in text[max(0, start - 80) : start].split()[-2:]]
@@ -108,19 +144,8 @@ def scanned(docs: DataFrame) -> DataFrame:
                 said = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
                 occ = [{"kind": k, "s": s, "e": e, "seed": True, "inst": number(f"{k} {text[s:e]}"), "pats": [number(p) for p in contexts(text, s, e)]} for k, s, e in spans]
                 taken = sorted((s, e) for _, s, e in spans)
-                done = t = 0
-                for m in _MARK.finditer(text):
-                    s, e = m.span()
-                    while s > done and not text[s - 1].isspace():
-                        s -= 1
-                    done = e
-                    raw = text[s:e]
-                    s, e = s + len(raw) - len(raw.lstrip(_EDGE)), e - (len(raw) - len(raw.rstrip(_EDGE)))
-                    while t < len(taken) and taken[t][1] <= s:
-                        t += 1
-                    if e - s > 64 or any(x[0] < e and s < x[1] for x in taken[t : t + 4]):
-                        continue
-                    if (k := look_alike(text[s:e])) and (found := contexts(text, s, e)):
+                for k, s, e in candidates(text, taken):
+                    if found := contexts(text, s, e):
                         occ.append({"kind": k, "s": s, "e": e, "seed": False, "inst": number(f"{k} {text[s:e]}"), "pats": [number(p) for p in found]})
                 cols["row"].append(number(text))
                 for k in KINDS:
@@ -135,27 +160,28 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def vouched(occ: DataFrame) -> DataFrame:
-    """Instances (inst, kind) that are sure: seeds not among them."""
+    """Instances (inst, kind) that are sure: seeds not among them. A pattern's score is the mean score of what it holds, an instance's the chance that any of its patterns is right."""
     edges = common.written(occ.select("kind", "inst", "seed", F.explode("pats").alias("pat")).distinct(), "pii-edges")
     held = edges.groupBy("pat").agg(F.count("*").alias("held"))
     fresh = edges.where("not seed")
     scores = edges.where("seed").select("kind", "inst").distinct().withColumn("score", F.lit(1.0))
-    sure = None
+    lifted = None
     for _ in range(ROUNDS):
         trust = edges.join(scores, ["kind", "inst"]).groupBy("pat", "kind").agg(F.sum("score").alias("good"), F.count_if("seed").alias("seeds"))
         trust = trust.where(F.col("seeds") >= LEAST_SEEDS).join(held, "pat").select("pat", "kind", F.least(F.lit(0.999), F.col("good") / (F.col("held") + 0.5)).alias("conf")).where("conf >= 0.5")
         lifted = fresh.join(trust, ["pat", "kind"]).groupBy("kind", "inst").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
-        sure = common.written(lifted.where(F.col("score") >= SURE), "pii-scores")
-        scores = edges.where("seed").select("kind", "inst").distinct().withColumn("score", F.lit(1.0)).unionByName(sure)
-    return sure.select("kind", "inst")
+        lifted = common.written(lifted, "pii-scores")
+        scores = edges.where("seed").select("kind", "inst").distinct().withColumn("score", F.lit(1.0)).unionByName(lifted)
+    return lifted.where(F.col("score") >= SURE).select("kind", "inst")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found).
 
     Counts and base_sha256 are of the strict rules, which always stay; spans has what the bootstrapping adds too,
-    by kind and start. A null text is empty. Repeated rows give repeated results; other columns are ignored; an
-    empty table gives no rows.
+    by kind and start. A null text is empty; texts of any length are read whole. Of spans that begin at one place the
+    kind listed first comes first. Repeated rows give repeated results, rows without an id results without one; other
+    columns are ignored; an empty table gives no rows.
     """
     rows = common.written(scanned(docs), "pii")
     occ = rows.select("doc_id", "row_id", F.explode("occ").alias("o")).select("doc_id", "row_id", "o.*")
@@ -165,5 +191,6 @@ def find(docs: DataFrame) -> DataFrame:
     told = F.transform("occ", lambda o: F.struct(rank[o.kind].alias("r"), o.s.alias("s"), o.e.alias("e"), o.kind.alias("kind"), o.seed.alias("seed")))
     own = F.transform(F.filter(told, lambda o: o.seed), lambda o: F.struct(o.r.alias("r"), o.s.alias("s"), o.e.alias("e"), o.kind.alias("kind")))
     all_spans = F.array_join(F.transform(F.sort_array(F.concat(own, "extra")), lambda o: F.concat_ws(":", o.kind, o.s, o.e)), ",")
-    out = rows.join(added, ["doc_id", "row_id"], "left")
+    added = added.select(F.col("doc_id").alias("id"), F.col("row_id").alias("at"), "extra")
+    out = rows.join(added, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_id") == F.col("at")), "left")
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.when(F.col("extra").isNull(), F.col("base_spans")).otherwise(all_spans).alias("spans"), F.coalesce(F.size("extra"), F.lit(0)).cast("long").alias("n_found"))
