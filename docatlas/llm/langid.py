@@ -20,11 +20,13 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Bounds of the fit: languages, documents and symbols of each. The model is no larger than their product.
+#: Bounds of the fit: languages (those of most labelled rows), documents and symbols of each. All chosen documents of a language give
+#: slices of equal size, each from a place in the whole text that a hash of its id tells. The model is no larger than their product.
 MAX_LANGS, DOCS_PER_LANG, SYMBOLS_PER_LANG = 64, 96, 20_000
 #: Symbols that are parsed as one strip; phrases end with it.
 WINDOW = 512
-ALPHABET = 62  # letters kept; besides, 0 is "no letter" and ALPHABET + 1 any other letter
+#: Letters told apart at most: the most frequent of the fit. Besides, 0 is "no letter" and the last symbol any other letter.
+ALPHABET = 250
 _letters = None
 
 
@@ -80,8 +82,8 @@ class Parser:
     """All languages' automata in one flat table: entry (target * width) << 1 | "a phrase ended"."""
 
     def __init__(self, model: dict):
-        self.langs, self.width = model["langs"], ALPHABET + 2
-        self.map = np.full(0x110000, ALPHABET + 1, np.uint8)
+        self.langs, self.width = model["langs"], len(model["letters"]) + 2
+        self.map = np.full(0x110000, self.width - 1, np.uint8)
         self.map[0] = 0
         for i, c in enumerate(model["letters"]):
             self.map[c] = i + 1
@@ -152,43 +154,48 @@ def _parser(model: str) -> Parser:
 
 
 def fit(labelled: DataFrame) -> str:
-    """labelled (doc_id, text, lang) to a model of bounded size: SYMBOLS_PER_LANG of DOCS_PER_LANG documents a language, chosen by a hash."""
+    """labelled (doc_id, text, lang) to a model of bounded size, see MAX_LANGS and what follows it. Rows without text or lang teach nothing."""
     known = labelled.where("lang is not null and text is not null")
+    langs = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= DOCS_PER_LANG).select("lang", "doc_id").limit(MAX_LANGS * DOCS_PER_LANG).collect()
-    ids = sorted({r.doc_id for r in picked})
-    rows = known.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, 4 * SYMBOLS_PER_LANG).alias("text")).collect() if ids else []
+    picked = known.where(F.col("lang").isin(langs)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= DOCS_PER_LANG).select("lang", "doc_id").collect()
+    if not picked:
+        return json.dumps({"langs": [], "letters": [], "texts": []})
+    share = {k: -(-SYMBOLS_PER_LANG // n) for k, n in Counter(r.lang for r in picked).items()}
+    take = 2 * F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - take + 1)).cast("int") + 1
+    ids = sorted({r.doc_id for r in picked if r.doc_id is not None})
+    rows = known.where(F.col("doc_id").isin(ids) & F.col("lang").isin(list(share))).select("doc_id", "lang", F.col("text").substr(start, take).alias("text")).distinct().collect()
     by: dict[str, list[np.ndarray]] = {}
-    share = max(200, SYMBOLS_PER_LANG // 24)
     for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
         s = squeezed(r.text)
         if s.any():
-            by.setdefault(r.lang, []).append(s[:share])
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    langs = [k for k in sizes if k in by]
+            by.setdefault(r.lang, []).append(s[: share[r.lang]])
+    langs = [k for k in langs if k in by]
     texts = [np.concatenate(by[k])[:SYMBOLS_PER_LANG].tolist() for k in langs]
     letters = [c for c, _ in Counter(c for t in texts for c in t if c).most_common(ALPHABET)]
     return json.dumps({"langs": langs, "letters": letters, "texts": texts})
 
 
-def detect(docs: DataFrame, model: str, keep: bool = False) -> DataFrame:
-    """(doc_id, text) to (doc_id, lang_pred, score), or with keep to all columns of docs and those two.
+def detect(docs: DataFrame, model: str, keep: str | None = None) -> DataFrame:
+    """(doc_id, text) to (doc_id, lang_pred, score), with keep as a struct of that name of all columns of docs besides.
 
-    Whole texts are parsed in the tasks that read them; nothing is shuffled. Null, empty and letterless texts are
-    "und" with score 0. Ties go to the language of more labelled rows. Repeated rows give repeated results; columns
-    named lang_pred and score are replaced; an empty table gives no rows, an empty model all "und".
+    Whole texts of any length are parsed in the tasks that read them; nothing is shuffled. Null, empty and letterless
+    texts are "und" with score 0. Ties go to the language of more labelled rows. Repeated rows give repeated results,
+    rows without an id results without one; other columns are ignored; an empty table gives no rows, an empty model
+    all "und".
     """
     common.tune(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score") if keep else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kept = docs if keep else docs.select("doc_id")
+    own = [F.struct(*docs.columns).alias(keep)] if keep else []
+    kept = ["doc_id", *([keep] if keep else [])]
+    d = docs.select(F.col("doc_id").cast("long"), *own, F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = not json.loads(model)["langs"]
         for b in batches:
             texts = b.column("text").to_pylist()
             langs, score = (["und"] * len(texts), np.zeros(len(texts))) if none else _parser(model).predict(texts)
-            names = b.schema.names if keep else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([*d.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return d.mapInArrow(run, schema)
