@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 MAGIC, FOOTER = b"SSTIDS01", struct.Struct("<QQQQQQBB8s")
-#: Bytes of a block before deflating, of a shard's values before a new one begins, bits a key and probes of the filter.
-BLOCK, SHARD, BITS, PROBES = 1 << 16, 1 << 26, 10, 7
+#: Bytes of a block before deflating, bytes of a shard's values and keys before a new one begins, bits a key and probes of the filter.
+BLOCK, SHARD, KEYS, BITS, PROBES = 1 << 16, 1 << 26, 1 << 19, 10, 7
+#: Rows that a reader gives out at once.
+ROWS = 1 << 16
 END_ID = 1
 
 
@@ -185,7 +187,7 @@ def write_shards(docs: DataFrame, to: str, vocabulary: str, end_id: int = END_ID
                     path, first = f"{to}/{part:06d}-{len(out['path']):04d}-{uuid.uuid4().hex}.sst", key
                     writer = Writer(opened(path, True), width)
                 writer.add(key, np.append(enc.encode(text), np.uint16(end_id)))
-                if writer.size >= SHARD:
+                if writer.size >= SHARD or len(writer.keys) >= KEYS:
                     done()
                     writer = None
         if writer is not None:
@@ -202,18 +204,25 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     before = F.sum("n_ids").over(Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1))  # a row a shard
     shards = manifest.select("path", F.coalesce(before, F.lit(0)).cast("long").alias("start"))
 
+    def told(rows: list[tuple[int, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
-                rows: dict[str, list[int]] = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
+                rows: list[tuple[int, ...]] = []
                 with opened(path) as f:
                     for key, ids in Reader(f):
-                        for k, v in zip(rows, (doc_of(key), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
-                            rows[k].append(v)
+                        rows.append((doc_of(key), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
-                yield pa.RecordBatch.from_pydict(rows, pa.schema([(k, pa.int64()) for k in rows]))
-
-    return shards.repartition(common.writers(manifest.sparkSession)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                        if len(rows) >= ROWS:
+                            yield told(rows)
+                            rows = []
+                if rows:
+                    yield told(rows)
+
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
