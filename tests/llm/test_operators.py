@@ -1,6 +1,7 @@
 """Each operator against brute force on a small fixture of odd rows: nulls, empty and long texts, ties, copies, clashing columns."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -52,7 +53,38 @@ def test_language(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in got.values())
     assert langid.detect(empty, langid.fit(known)).count() == 0
     assert {r.lang_pred for r in langid.detect(docs, langid.fit(empty)).collect()} == {"und"}
-    assert langid.detect(docs, langid.fit(known), keep=True).columns == ["doc_id", "text", "lang", "source", "kept", "lang_pred", "score"]
+    own = langid.detect(docs, langid.fit(known), keep="own")
+    assert own.columns == ["doc_id", "own", "lang_pred", "score"] and own.select("own.*").columns == docs.columns
+    many = langid.fit(spark.createDataFrame([(i, prose("en", 30), f"l{i:03d}") for i in range(70)], "doc_id long, text string, lang string"))
+    assert json.loads(many)["langs"] == [f"l{i:03d}" for i in range(64)]  # of equally frequent ones the first by name
+
+
+def naive_phrases(text, known):
+    """Longest matches in a row; a symbol that the known text lacks ends one and is passed over."""
+    at, n = 0, 1
+    while at < len(text):
+        size = 0
+        while at + size < len(text) and text[at : at + size + 1] in known:
+            size += 1
+        at += size
+        if at < len(text):
+            n, at = n + 1, at + (text[at] not in known)
+    return n
+
+
+def test_parsing_equals_a_naive_parse():
+    known = {k: "".join(c for c in prose(k, 300) if c.isalpha()) for k in WORDS}
+    letters = sorted({ord(c) for t in known.values() for c in t})
+    parser = langid.Parser({"langs": list(known), "letters": letters, "texts": [[ord(c) for c in t] for t in known.values()]})
+    for _ in range(20):
+        text = "".join(c for c in prose(rng.choice(list(WORDS)), 40) if c.isalpha())[: langid.WINDOW - 1]
+        strip = np.full((langid.WINDOW, 1), 255, np.uint8)
+        strip[: len(text), 0] = parser.map[[ord(c) for c in text]]
+        got = parser.phrases(strip)[:, 0].tolist()
+        want = [naive_phrases(text, t) for t in known.values()]
+        assert got == want
+        best = min(range(2), key=lambda k: want[k] * parser.bits[k])
+        assert parser.predict([text])[0] == [list(known)[best]]
 
 
 def test_cross_parsing_counts_longest_phrases():
@@ -124,26 +156,104 @@ def test_quality(spark, docs, empty):
     assert quality.classify(empty, empty.select("doc_id", F.lit(1).alias("quality"))).count() == 0
 
 
+def test_quality_adds_up_tables():
+    """A score is the sum of one entry a feature and a pair, by plain lookups; the fit lowers the loss and repeats itself."""
+    g = np.random.default_rng(4)
+    x = g.standard_normal((600, len(quality.NAMES)))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)  # only a pair tells
+    m = quality.fit(x, y)
+    p = quality.score(m, x)
+    assert ((p > 0.5) == (y > 0)).mean() > 0.9 and quality.fit(x, y) == m
+    for row, got in zip(x[:40], p, strict=False):
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, m["edges"], strict=True)]
+        z = m["base"] + sum(t[b] for t, b in zip(m["tables"], bins, strict=True))
+        rough = [b * quality.COARSE // len(t) for b, t in zip(bins, m["tables"], strict=True)]
+        z += sum(t[rough[a]][rough[b]] for a, b, t in m["pairs"])
+        assert abs(1 / (1 + np.exp(-z)) - got) < 1e-9
+
+
+def test_repeated_rows_and_ties(spark, docs):
+    """Rows that repeat give the same result as often."""
+    twice = docs.union(docs)
+    known = langid.fit(spark.createDataFrame([(i, prose(k, 200), k) for i, k in enumerate(["en", "de"] * 6)], "doc_id long, text string, lang string"))
+    labels = spark.createDataFrame([(i * 3 - 6, i % 2) for i in range(len(TEXTS))], "doc_id long, quality int")
+    for run in (lambda d: langid.detect(d, known), minhash.near_duplicates, lambda d: secrets.report(secrets.scan(d)), pii.find):
+        once = sorted(map(str, run(docs).collect()))
+        assert sorted(map(str, run(twice).collect())) == sorted(once * 2)
+    assert quality.classify(twice, labels).count() == 2 * len(DOCS)
+    ids = sstable.round_trip(twice, tokens.vocabulary_path()).collect()
+    assert len(ids) == 2 * len(DOCS) and sorted(r.start for r in ids)[1] > 0
+    assert sum(r.length for r in packing.packed(twice, tokens.vocabulary_path()).collect()) == 2 * sum(r.length for r in packing.packed(docs, tokens.vocabulary_path()).collect())
+
+
+def keys_of(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return {r.i: set(r.k) for r in df.select("i", fingerprints.keys(F.col("t")).alias("k")).collect()}
+
+
+def hashed(spark, keys):
+    """What the sketch needs to know of each key: the cells of its table, as a mask."""
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    return {r.k: r.m for r in df.select("k", fingerprints.mask(F.col("k")).alias("m")).collect()}
+
+
+def peel(cells, masks):
+    """Plain peeling: keys that alone fill a cell are taken out until none is left."""
+    cells, out, again = list(cells), set(), True
+    while again:
+        again = False
+        for c in list(cells):
+            if c and c in masks and c not in out:
+                out.add(c)
+                cells = [x ^ c if masks[c] >> i & 1 else x for i, x in enumerate(cells)]
+                again = True
+    return out if not any(cells) else None
+
+
 def test_fingerprints(spark, docs, empty):
-    got, ids = by_id(fingerprints.compared(docs)), sorted(TEXT, reverse=True)
+    rows, ids = by_id(fingerprints.compared(docs)), sorted(TEXT, reverse=True)
+    edited = {i: TEXT[i][: len(TEXT[i]) - len(TEXT[i]) // 2] + TEXT[n][: len(TEXT[i]) // 2] for i, n in zip(ids, ids[1:] + ids[:1], strict=True)}
+    own, late = keys_of(spark, [TEXT[i] for i in ids]), keys_of(spark, [edited[i] for i in ids])
+    own, late = {i: own[k] for k, i in enumerate(ids)}, {i: late[k] for k, i in enumerate(ids)}
+    masks = hashed(spark, set().union(*own.values(), *late.values()))
+    like = lambda a, b: 1.0 if not a and not b else 1 - len(a ^ b) / (len(a) + len(b))
+    peeled_from_strings = 0
     for i, nxt in zip(ids, ids[1:] + ids[:1], strict=True):
-        t, h = TEXT[i], len(TEXT[i]) // 2
-        assert got[i].n_chars == len(t)
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + TEXT[nxt][:h]).encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    assert got[9].fingerprint == got[12].fingerprint != got[15].fingerprint
-    assert got[12].near_next == 1.0  # its next holds the same text
+        r = rows[i]
+        assert r.n_chars == len(TEXT[i]) and r.edited_sha256 == hashlib.sha256(edited[i].encode()).hexdigest()
+        assert abs(r.near_edited - like(own[i], late[i])) < 1e-12 and abs(r.near_next - like(own[i], own[nxt])) < 1e-12
+        for x, y, near in ((r.fingerprint, r.edited_fingerprint, r.near_edited), (r.fingerprint, rows[nxt].fingerprint, r.near_next)):
+            a, b = fingerprints.read(x), fingerprints.read(y)
+            if len(a) == len(b) and r.attempts == 1:  # the two strings alone tell the likeness
+                apart = sum(len(peel([u ^ v for u, v in zip(s, t, strict=True)], masks)) for s, t in zip(a, b, strict=True))
+                both = sum(len(peel(s, masks)) for s in a + b)
+                assert abs(near - (1 - apart / both if both else 1.0)) < 1e-12
+                peeled_from_strings += 1
+    assert peeled_from_strings >= len(ids)
+    assert rows[9].fingerprint == rows[12].fingerprint != rows[15].fingerprint
+    assert rows[12].near_next == 1.0  # its next holds the same text
     assert fingerprints.compared(empty).count() == 0
     twice = by_id(fingerprints.compared(docs.union(docs)))
-    assert len(twice) == len(TEXT) and twice[9].fingerprint == got[9].fingerprint
+    assert len(twice) == len(TEXT) and twice[9].fingerprint == rows[9].fingerprint
+    odd = docs.union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    assert fingerprints.compared(odd).count() == len(TEXT)
+
 
+def test_peeling_recovers_differences_or_tells_of_a_stall(spark):
+    a, b = list(range(1, 30)), list(range(20, 45))
+    keyed = lambda side: spark.createDataFrame([(x,) for x in side], "x int").select(F.lit(1).alias("doc_id"), fingerprints.checked(F.xxhash64("x")).alias("key"))
+    apart = lambda df: fingerprints.tables(df, ["doc_id"]).select(fingerprints.peeled(F.col("cells")).alias("n")).first().n
+    assert apart(keyed(a).union(keyed(b))) == len(set(a) ^ set(b))
+    assert apart(keyed(a).union(keyed(a))) == 0
+    assert apart(keyed(range(400))) is None
 
-def test_peeling_recovers_differences(spark):
-    a, b = list(range(1, 60)), list(range(30, 90))
-    df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
-    h = lambda c: F.transform(c, lambda x: F.xxhash64(x))
-    got = df.select(F.sort_array(fingerprints.differing(h("a"), h("b"))).alias("d"), F.sort_array(h(F.array(*[F.lit(x).cast("long") for x in set(a) ^ set(b)]))).alias("w")).first()
-    assert got.d == got.w
+
+def test_fingerprints_take_larger_sketches_until_peeled(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "PER_BUCKET", 60)
+    rows = [(i, ". ".join(f"sentence {i} {k}" for k in range(10 + 9 * i)) + ".") for i in range(30)]
+    got = by_id(fingerprints.compared(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {r.attempts for r in got.values()} > {1} and all(r.near_next is not None for r in got.values())
+    assert got[3].near_next == 0.0 and 0.2 < got[9].near_edited < 0.8
 
 
 def ids_of(end):
@@ -230,6 +340,38 @@ def test_personal_data(spark, docs, empty):
     assert list(pii.emails("a" * 200_000 + "@")) == []
 
 
+def test_bootstrapping_recall_and_precision(spark):
+    """Contexts that hold seeds and unseen forms, and contexts of numbers that are no identifiers."""
+    rows, want = [], {}
+    forms = {"phone": lambda i: f"555-01{i:02d}-77", "email": lambda i: f"user{i} at host{i} dot org", "card": lambda i: f"4111 1111 1111 {1112 + i}"}
+    seeds = {"phone": lambda i: f"+1 (555) 010-{1000 + i}", "email": lambda i: f"u{i}@host{i}.org", "card": lambda i: luhn_card(i)}
+    frames = {"phone": ("please dial desk at {} now please", "her line is {} after noon"), "email": ("kindly write to {} for more", "reach our team {} any day"), "card": ("charged to card {} last week", "my visa number {} has expired")}
+    for kind in forms:
+        for i in range(40):
+            rows.append((len(rows), frames[kind][i % 2].format(seeds[kind](i))))
+        for i in range(20):
+            rows.append((len(rows), frames[kind][i % 2].format(forms[kind](i))))
+            want[rows[-1][0]] = (kind, rows[-1][1].index(forms[kind](i)), forms[kind](i))
+    for i in range(60):
+        rows.append((len(rows), f"a total of 555-02{i:02d}-77 units were sold"))
+    got = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
+    added = {i: r.spans for i, r in got.items() if r.n_found}
+    right = [i for i, (k, s, form) in want.items() if f"{k}:{s}:{s + len(form)}" in added.get(i, "")]
+    assert len(right) / len(want) >= 0.9 and len(right) / max(1, len(added)) >= 0.95
+
+
+def luhn_card(i):
+    body = f"411111111111{i:03d}"
+    return body + next(str(d) for d in range(10) if pii.luhn(body + str(d)))
+
+
+def test_candidates_of_any_length():
+    long = "1" * 40 + "@" + "x" * 200
+    assert list(pii.candidates(f"see {long} there", [])) == [("email", 4, 4 + len(long))]
+    assert list(pii.candidates("call (555) 010 9999, ok", [])) == [("phone", 5, 19)]
+    assert list(pii.candidates("call 555 010 9999 ok", [(5, 8)])) == [("phone", 9, 17)]
+
+
 def test_bootstrapping_finds_what_rules_miss(spark):
     rows = [(i, f"please dial desk at +1 (555) 010-{1000 + i} now please") for i in range(40)] + [(100, "please dial desk at 555-0199-77 now please"), (101, "sum of 555-0199-78 units here")]
     got = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
@@ -251,6 +393,23 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_of_rows_without_an_id_and_of_copies(spark):
+    text = "password = hunter2hunter2"
+    df = spark.createDataFrame([(None, text), (None, text), (4, text), (4, text), (None, "AKIA" + "A" * 16), (5, None)], "doc_id long, text string")
+    got = secrets.report(secrets.scan(df)).collect()
+    assert sorted((r.doc_id is None, r.n_assign, r.n_access) for r in got) == [(False, 0, 0), (False, 1, 0), (False, 1, 0), (True, 0, 1), (True, 1, 0), (True, 1, 0)]
+
+
+def test_history_is_scanned_once(spark):
+    """Two versions of each document through one ledger: only texts that changed are scanned, findings come back for all paths."""
+    path = common.fresh_path(spark, "ledger")
+    first = spark.createDataFrame([(i, f"version one of {i % 5}, token: abcdefghijk{i % 5}lm") for i in range(20)], "doc_id long, text string")
+    second = first.withColumn("text", F.when(F.col("doc_id") < 3, F.concat(F.col("text"), F.lit(" secret=zyxwvutsrqpo"))).otherwise(F.col("text")))
+    assert {r.n_assign for r in secrets.report(secrets.scan(first, path)).collect()} == {1} and spark.read.parquet(path).count() == 5
+    assert {r.doc_id: r.n_assign for r in secrets.report(secrets.scan(second, path)).collect()} == {i: 2 if i < 3 else 1 for i in range(20)}
+    assert spark.read.parquet(path).count() == 8
+
+
 def test_ledger_scans_only_unseen(spark, docs, monkeypatch):
     path = common.fresh_path(spark, "ledger")
     first = {(r.doc_id, r.blob): r.findings for r in secrets.scan(docs, path).collect()}
@@ -275,7 +434,12 @@ def test_mixing(spark, docs, empty):
     assert sum(r.domain == ("a" if r.doc_id % 3 else "b") for r in rows) >= 290
     got = {k: sum(r.tokens * r[f"p_{k}"] * r.rate for r in rows) for k in "ab"}
     assert abs(got["b"] / (got["a"] + got["b"]) - 0.1) < 0.01
-    assert mixing.mix(docs, labels.limit(0), {"a": 0.9, "b": 0.1}).count() == len(set((d[0], d[1]) for d in DOCS))
+    none = mixing.mix(docs, labels.limit(0), {"a": 0.9, "b": 0.1}, keep="own")
+    assert none.count() == len(DOCS) and none.select("own.*").columns == docs.columns
+    told = {r.domain: r for r in mixing.report(mixing.mix(many, labels, {"a": 0.9, "b": 0.1}), labels, {"a": 0.9, "b": 0.1}).collect()}
+    assert abs(told["b"].reached - 0.1) < 0.01 and abs(told["b"].by_label - 0.1) < 0.05 and told["b"].target == 0.1
+    rare = mixing.mix(many, labels, {"a": 0.9, "c": 0.1}).limit(1).collect()  # no row of c is labelled
+    assert rare[0].p_c < 1e-5
     assert mixing.mix(empty, labels, {"a": 1.0}).count() == 0
 
 
@@ -309,6 +473,22 @@ def test_vectors(spark):
     assert len(got) == len(rows)
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (sum(i in x for x in linked), low[i], low[i] == i) for i in got}
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [1.0, 1.0]), (4, [1.0, 1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(odd).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4), (4, 0, 4)]
+
+
+def test_links_are_never_below_the_limit(spark):
+    angle = np.arccos(0.9)
+    rows = [(0, [1.0, 0.0]), (1, [float(np.cos(angle + 1e-9)), float(np.sin(angle + 1e-9))]), (2, [float(np.cos(angle - 1e-9)), -float(np.sin(angle - 1e-9))])]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: 1, 1: 0, 2: 1}
+
+
+def test_windows_count_collisions():
+    g = np.random.default_rng(2)
+    p = g.standard_normal((embeddings.PROJECTIONS, 300))
+    got = embeddings.collisions([embeddings.windows(v, 0.4) for v in p], np.arange(300), 300)
+    assert (got == (np.abs(p[:, :, None] - p[:, None, :]) <= 0.4).sum(0)).all()
 
 
 def test_components(spark):
