@@ -1,4 +1,9 @@
-"""A training-data pipeline over `documents`: each stage reads what the one before it wrote."""
+"""A training-data pipeline over `documents`: each stage reads what the one before it wrote.
+
+A stage keeps a document's columns apart from what it works out itself, as one struct, so that no column of the
+documents can clash with one of its own. Rows are kept or dropped as they stand; repeated rows stay repeated unless
+near-duplicates are dropped. Null and empty texts have no language and go in the first stage; an empty table stays one.
+"""
 
 from __future__ import annotations
 
@@ -12,29 +17,32 @@ from docatlas.llm.tokens import vocabulary_path
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language is found ("und": null, empty or without letters)."""
     known = langid.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    return langid.detect(docs, known, keep=True).where("lang_pred <> 'und'").select(docs.columns)
+    return langid.detect(docs, known, keep="own").where("lang_pred <> 'und'").select("own.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    """Keeps the first document of each group of near copies, once where its row repeats; rows without an id have no place in a group and go."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("id"))
+    return own.join(kept.hint("shuffle_hash"), "id", "left_semi").select("own.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks the secrets found in a document's text; n_chars follows."""
-    hits = secrets.scan(docs).where(F.size("findings") > 0).select("doc_id", "blob", "findings").dropDuplicates(["doc_id", "blob"])
-    own = docs.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    text = secrets.redacted(F.col("text"), F.col("findings"))
-    clean = own.join(hits.hint("shuffle_hash"), ["doc_id", "blob"], "left").withColumn("text", F.when(F.col("findings").isNull(), F.col("text")).otherwise(text))
-    return clean.withColumn("n_chars", F.when(F.col("findings").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Masks the secrets found in a document's text; n_chars follows where there is such a column."""
+    hits = secrets.scan(docs).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.unhex(F.sha2(whole, 256)).alias("blob"))
+    got = own.join(hits, "blob", "left")
+    clean = secrets.redacted(F.col("own.text").cast("string"), F.col("findings"))
+    own = F.col("own").withField("text", F.when(F.col("findings").isNull(), F.col("own.text")).otherwise(clean.cast(docs.schema["text"].dataType)))
+    if "n_chars" in docs.columns:
+        own = own.withField("n_chars", F.when(F.col("findings").isNull(), F.col("own.n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType))
+    return got.select(own.alias("own")).select("own.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thins domains that exceed their target: a document stays if its rate rounds up to a copy at least."""
-    mixed = mixing.mix(docs, mixing.domains(common.table(spark, sf_dir, "labels"))).where("copies > 0").select("doc_id", "row_id").distinct()
-    own = docs.withColumn("row_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return own.join(mixed.hint("shuffle_hash"), ["doc_id", "row_id"], "left_semi").select(docs.columns)
+    """Thins domains that exceed their target: a document stays if its rate rounds up to a copy at least; none is repeated."""
+    return mixing.mix(docs, mixing.domains(common.table(spark, sf_dir, "labels")), keep="own").where("copies > 0").select("own.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
