@@ -26,7 +26,8 @@ RIDGE, UNSEEN = 1e-2, -14.0
 STEPS, CLOSE, PULL = 24, 1e-3, 1e-4
 TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
 #: What is counted of a text's shape, by the word.
-SHAPES = {"capitals": "[A-Z]{2,}", "signs": r"[#$%&*@^~<>{}\[\]\\=+_`]+", "bangs": "!+", "bars": r"\|", "digits": "[0-9]+", "lines": "\n"}
+SHAPES = {"capitals": "[A-Z]{2,}", "marks": r"[#$%&*@^~<>{}\[\]\\=+_`!|]+", "digits": "[0-9]+"}
+FIGURES = len(SHAPES) + 6
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -36,15 +37,15 @@ def domains(labels: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame, *more: str) -> DataFrame:
-    """(..., text) to (..., tokens, terms, shape): distinct words and stems, and the figures of a whole text."""
+    """(..., text) to (..., tokens, terms, shape): words (one at least), distinct words and stems, and the figures of a whole text."""
     w = docs.select("*", F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "").alias("ws"))
     w = w.select("*", F.array_distinct("ws").alias("once"))
     n = F.greatest(F.lit(1.0), F.size("ws").cast("double"))
     stems = F.transform(F.filter("once", lambda x: F.length(x) > STEM), lambda x: F.concat(F.lit("^"), F.substring(x, 1, STEM)))
     counted = [F.sqrt(F.regexp_count("text", F.lit(p)) / n) for p in SHAPES.values()]
     lines = F.split("text", "\n")
-    figures = [*counted, F.size("once") / n, F.size(F.array_distinct(lines)) / F.size(lines), F.log1p(n), F.log1p(F.size("once").cast("double")), F.length("text") / n / 10]
-    return w.select(*more, (F.regexp_count("text", F.lit("[ \n]")) + 1).cast("long").alias("tokens"), F.concat("once", stems).alias("terms"), F.array(*figures).alias("shape"))
+    figures = [*counted, F.size(lines) / n, F.size("once") / n, F.size(F.array_distinct(lines)) / F.size(lines), F.log1p(n), F.log1p(F.size("once").cast("double")), F.length("text") / n / 10]
+    return w.select(*more, n.cast("long").alias("tokens"), F.concat("once", stems).alias("terms"), F.array(*figures).alias("shape"))
 
 
 def markers(half: DataFrame, names: list[str], scratch: common.Scratch) -> list[list[str]]:
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, labelled: DataFrame, names: list[str]) -> tuple[list[li
         lists = markers(rows.where(odd == 0), names, scratch)
         got = rows.where(odd == 1).select("domain", features(lists).alias("x")).limit(MAX_ROWS).collect()
     seen = [d for d in names if any(r.domain == d for r in got)]
-    width = len(SHAPES) + 5 + len(lists)
+    width = FIGURES + len(lists)
     if len(seen) < 2:  # nothing to tell apart
         return lists, [[0.0] * width + [0.0 if not seen or d in seen else UNSEEN] for d in names]
     w, mid, wide = softmax(np.array([r.x for r in got]), np.array([seen.index(r.domain) for r in got]), len(seen))
@@ -205,7 +206,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     """(doc_id, text) to (doc_id, tokens, p_<domain>, domain, rate, copies), with keep as a struct of that name of all columns of docs besides.
 
     copies is rate rounded up or down by a hash of the document, so that its mean is the rate. Null and empty texts
-    have one empty word and the posterior of a text without marks; texts of any length are read whole. Repeated rows
+    count as one word and have the posterior of a text without marks; texts of any length are read whole. Repeated rows
     are rows of their own with equal rates; a row without an id counts as any other but teaches nothing. Of equally
     likely domains a document's is the first by name. Without labels all posteriors are equal; a domain without any has next to
     none; targets that the rates do not reach are told by a warning; domains of no target weigh nothing; other
