@@ -18,7 +18,7 @@ from . import common
 #: Labelled rows of the fit at most (by hash of the id): one half of them shows the markers, the other fits the posterior.
 MAX_ROWS = 20_000
 #: Markers of a domain at most, rows that must hold one, least log-ratios to the other domains of the two grades of markers, letters of a stem.
-MARKERS, LEAST, GRADES, STEM = 400, 4, (1.5, 4.0), 5
+MARKERS, LEAST, GRADES, STEM = 200, 4, (1.5, 4.0), 5
 #: Ridge on standardised features, and the log-odds of a domain of which no row is labelled.
 RIDGE, UNSEEN = 1e-2, -14.0
 #: Steps at most, the largest relative error of a domain's tokens that ends them, and the pull of rates to 1: it damps steps, and
@@ -62,10 +62,13 @@ def markers(half: DataFrame, names: list[str], scratch: common.Scratch) -> list[
     return out
 
 
-def features(lists: list[list[str]]) -> Column:
-    """The shape of a text and, for each list of markers, the log of how many of them it holds."""
-    held = [F.log1p(F.size(F.array_intersect("terms", F.split(F.lit(" ".join(x)), " "))).cast("double")) if x else F.lit(0.0) for x in lists]
-    return F.concat("shape", F.array(*held))
+def features(rows: DataFrame, lists: list[list[str]], *more: str) -> DataFrame:
+    """(..., terms, shape) to (..., x): the shape of a text and, for each list of markers, the log of how many of them it holds."""
+    split = lambda words: F.split(F.lit(" ".join(words)), " ")
+    known = sorted({x for words in lists for x in words})
+    held = rows.select(*more, "shape", F.array_intersect(split(known), "terms").alias("held"))
+    n = [F.log1p(F.size(F.array_intersect(split(x), "held")).cast("double")) if x else F.lit(0.0) for x in lists]
+    return held.select(*more, F.concat("shape", F.array(*n)).alias("x"))
 
 
 def softmax(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +116,7 @@ def fit(docs: DataFrame, labelled: DataFrame, names: list[str]) -> tuple[list[li
         rows = scratch.written(described(docs.join(F.broadcast(some), "doc_id"), "doc_id", "domain"), "mixing-sample")
         odd = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
         lists = markers(rows.where(odd == 0), names, scratch)
-        got = rows.where(odd == 1).select("domain", features(lists).alias("x")).limit(MAX_ROWS).collect()
+        got = features(rows.where(odd == 1), lists, "domain").limit(MAX_ROWS).collect()
     seen = [d for d in names if any(r.domain == d for r in got)]
     width = FIGURES + len(lists)
     if len(seen) < 2:  # nothing to tell apart
@@ -126,7 +129,7 @@ def fit(docs: DataFrame, labelled: DataFrame, names: list[str]) -> tuple[list[li
 def posteriors(docs: DataFrame, model: tuple, names: list[str], *more: str) -> DataFrame:
     """(..., text) to (..., tokens, p): words of each whole text and its posterior over names."""
     lists, weights = model
-    x = described(docs, *more).select(*more, "tokens", features(lists).alias("x"))
+    x = features(described(docs, *more), lists, *more, "tokens")
     z = [sum((F.get("x", F.lit(i)) * v for i, v in enumerate(row[:-1]) if v), F.lit(row[-1])) for row in weights]
     x = x.select(*more, "tokens", F.array(*z).alias("z"))
     x = x.select(*more, "tokens", F.transform("z", lambda v: F.exp(v - F.array_max("z"))).alias("e"))
