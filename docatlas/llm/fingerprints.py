@@ -18,6 +18,8 @@ from . import common
 #: Cells of a bucket (four parts of as many), keys that a bucket gets at most on average, sketches that are tried at most.
 CELLS, PER_BUCKET, ATTEMPTS = 64, 16, 12
 PART = CELLS // 4
+#: Words of the bitmap that tells which texts a further sketch needs: 16 MB at most.
+WORDS = 1 << 20
 #: Ranges of ids for finding the next one: coarse ones by rank; each is split until a range has about so many ids.
 COARSE, IDS = 64, 20_000
 PARAGRAPH = r"(?<=[.!?])\s+|\n+"
@@ -163,6 +165,15 @@ def likened(whole: DataFrame, attempt: int = 0) -> DataFrame:
     return out.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), joined("s0", "ba").alias("fingerprint"), joined("s1", "be").alias("edited_fingerprint"), like(2, "na", "ne").alias("near_edited"), like(3, "na", "nn").alias("near_next"))
 
 
+def sifted(d: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of d that may be among ids, before any of their text is shuffled: by a bitmap of hashes of at most 64 times WORDS bits, broadcast."""
+    h = F.xxhash64("doc_id")
+    word, bit = F.pmod(F.shiftright(h, 6), F.lit(WORDS)), h.bitwiseAND(F.lit(63)).cast("int")
+    bits = ids.select(word.alias("word"), _bit(bit).alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits"))
+    at = d.withColumn("at", word).withColumn("bit", bit)
+    return at.join(F.broadcast(bits), (F.col("at") == F.col("word")) & (F.getbit("bits", F.col("bit")) == 1), "left_semi").drop("at", "bit")
+
+
 def compared(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, attempts).
 
@@ -187,8 +198,9 @@ def compared(docs: DataFrame) -> DataFrame:
         for attempt in range(1, ATTEMPTS):
             if not left.limit(1).count():
                 return done
-            again = order.join(left.hint("shuffle_hash"), "doc_id", "left_semi")
-            got = common.written(likened(sides(d, again), attempt).select("doc_id", F.col("near_edited").alias("e"), F.col("near_next").alias("x")), "fingerprints-again")
+            again = scratch.written(order.join(left.hint("shuffle_hash"), "doc_id", "left_semi"), "fingerprint-left")
+            some = sifted(d, again.select("doc_id").union(again.select("next_id")))
+            got = common.written(likened(sides(some, again), attempt).select("doc_id", F.col("near_edited").alias("e"), F.col("near_next").alias("x")), "fingerprints-again")
             left = got.where("e is null or x is null").select("doc_id")
             fixed = got.where("e is not null and x is not null")
             done = done.join(fixed, "doc_id", "left").select(*done.columns[:5], F.coalesce("near_edited", "e").alias("near_edited"), F.coalesce("near_next", "x").alias("near_next"), F.when(F.col("e").isNotNull(), attempt + 1).otherwise(F.col("attempts")).alias("attempts"))
