@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Cells of a bucket (four parts of as many), keys that a bucket gets at most on average, sketches that are tried at most.
-CELLS, PER_BUCKET, ATTEMPTS = 64, 16, 12
+CELLS, PER_BUCKET, ATTEMPTS = 64, 20, 12
 PART = CELLS // 4
 #: Words of the bitmap that tells which texts a further sketch needs: 16 MB at most.
 WORDS = 1 << 20
@@ -39,9 +39,8 @@ def keys(text: Column) -> Column:
 
 
 def buckets_for(n: Column, attempt: int = 0) -> Column:
-    """Buckets for so many keys: the power of two at which one gets PER_BUCKET at most, four times as many each further attempt."""
-    k = F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / PER_BUCKET))) + 2 * attempt
-    return F.pow(F.lit(2.0), k).cast("long")
+    """Buckets for so many keys: as many as get PER_BUCKET each, four times as many each further attempt."""
+    return (F.greatest(F.lit(1), F.ceil(n / PER_BUCKET)) * 4**attempt).cast("long")
 
 
 def _bit(i: Column) -> Column:
@@ -144,7 +143,7 @@ def likened(whole: DataFrame, attempt: int = 0) -> DataFrame:
     whole = whole.select("*", *(c.alias(f"b{k}") for k, c in n.items())).select("doc_id", "n_chars", "sha", "ka", "ke", "kn", "ba", "be", F.greatest("ba", "be").alias("bae"), F.greatest("ba", "bn").alias("ban"))
 
     def dealt(kind: int, ks: str, of: str) -> Column:
-        return F.transform(ks, lambda x: F.struct(F.lit(kind).alias("kind"), F.shiftrightunsigned(x, 24).bitwiseAND(F.col(of) - 1).alias("bucket"), x.alias("key")))
+        return F.transform(ks, lambda x: F.struct(F.lit(kind).alias("kind"), F.pmod(F.shiftrightunsigned(x, 24), F.col(of)).alias("bucket"), x.alias("key")))
 
     head = ["doc_id", "n_chars", "sha", "ba", "be", F.size("ka").alias("na"), F.size("ke").alias("ne"), F.size("kn").alias("nn")]
     some = F.concat(dealt(0, "ka", "ba"), dealt(1, "ke", "be"), dealt(2, "ka", "bae"), dealt(2, "ke", "bae"), dealt(3, "ka", "ban"), dealt(3, "kn", "ban"))
@@ -192,7 +191,7 @@ def compared(docs: DataFrame) -> DataFrame:
             d = d.groupBy("doc_id").agg(F.min("text").alias("text"))
             light = scratch.written(d.select("doc_id", F.length("text").alias("n")), "fingerprint-ids")
         order = scratch.written(predecessors(light), "fingerprint-order")
-        got = common.written(likened(sides(d, order)), "fingerprints")
+        got = common.written(likened(sides(d, order)), "fingerprints", "zstd")  # base64 packs well
         done = got.withColumn("attempts", F.lit(1))
         left = got.where("near_edited is null or near_next is null").select("doc_id")
         for attempt in range(1, ATTEMPTS):
