@@ -79,9 +79,9 @@ def deduced_date(text: Column) -> Column:
     day, mon = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
     slashed = F.to_date(F.try_to_timestamp(F.when(y != "", F.concat_ws("-", y, F.lpad(mon, 2, "0"), F.lpad(day, 2, "0"))), F.lit("yyyy-MM-dd")))
     iso = F.regexp_extract(head, r"\b((?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})\b", 1)
-    u, v, w = parts(r"\b([0-9]{1,2})[^0-9A-Za-z]{1,5}([0-9]{1,2})[^0-9A-Za-z]{1,5}([0-9]{2})\b", 1, 2, 3)
+    u, v, w = parts(r"\b([0-9]{1,2})[^0-9A-Za-z]{1,5}([0-9]{1,2})[^0-9A-Za-z]{1,5}([0-9]{4}|[0-9]{2})\b", 1, 2, 3)
     turn = (u.try_cast("int") > 12) & (v.try_cast("int") <= 12)
-    century = F.when(w.try_cast("int") > 30, F.concat(F.lit("19"), w)).otherwise(F.concat(F.lit("20"), w))
+    century = F.when(F.length(w) == 4, w).when(w.try_cast("int") > 30, F.concat(F.lit("19"), w)).otherwise(F.concat(F.lit("20"), w))
     scrappy = F.to_date(F.try_to_timestamp(F.when(w != "", F.concat_ws("-", century, F.lpad(F.when(turn, v).otherwise(u), 2, "0"), F.lpad(F.when(turn, u).otherwise(v), 2, "0"))), F.lit("yyyy-MM-dd")))
     year = F.regexp_extract(head, r"\b((?:19|20)[0-9]{2})\b", 1)
     m1, m2 = parts(first, 2, 1, 3), parts(second, 1, 2, 3)

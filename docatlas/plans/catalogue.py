@@ -68,37 +68,25 @@ SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS final_rank, sc
     "collection_stats": "SELECT c_custkey, coalesce(o.n, 0) AS file_count, coalesce(o.total, 0) AS total_size FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice AS decimal(18, 4))) AS double) AS total FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey",
     "computed_key_join": "SELECT p_partkey, s_suppkey FROM (SELECT p_partkey, concat('Supplier:', CAST(p_partkey % 10 AS string)) AS k FROM {part}) p JOIN (SELECT s_suppkey, concat('Supplier:', CAST(s_suppkey AS string)) AS k FROM {supplier}) s ON p.k = s.k",
     "conditional_counts": "SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS bigint) AS linked, CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS bigint) AS unlinked FROM {orders} GROUP BY 1",
-    "sync_status": "SELECT t.name, s.n AS source_rows, t.n AS target_rows, round(CASE WHEN s.n > 0 THEN 100.0 * CAST(t.n AS double) / s.n END, 6) AS pct FROM (SELECT 'labels' AS name, count(*) AS n FROM {labels}) t JOIN (SELECT 'labels' AS name, count(*) AS n FROM {documents}) s ON s.name = t.name",
     "window_count_best": "SELECT o_custkey, o_orderkey, n FROM (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}) x WHERE rn = 1",
     "dense_rank_by_prefix": "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS rn, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS dr FROM {lineitem}",
     "rollup_stats": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, CAST(sum(CAST(o_totalprice AS decimal(18, 4))) AS double) AS total FROM {orders} GROUP BY ROLLUP (o_orderpriority, o_orderstatus)",
     "cube_stats": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)",
-    "list_merge": "WITH a AS (SELECT doc_id, source FROM {documents} WHERE doc_id % 3 = 0), b AS (SELECT doc_id, lang AS source FROM {documents} WHERE doc_id % 2 = 0) SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY pr) AS rn FROM (SELECT *, 1 AS pr FROM a UNION ALL SELECT *, 2 AS pr FROM b) u) x WHERE rn = 1",
-    "list_xor": "WITH a AS (SELECT doc_id FROM {documents} WHERE doc_id % 3 = 0), b AS (SELECT doc_id FROM {documents} WHERE doc_id % 2 = 0) SELECT a.doc_id FROM a LEFT ANTI JOIN b ON a.doc_id = b.doc_id UNION ALL SELECT b.doc_id FROM b LEFT ANTI JOIN a ON a.doc_id = b.doc_id",
-    "list_trim": "WITH a AS (SELECT doc_id FROM {documents} WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id FROM {documents} WHERE doc_id % 3 = 0), b AS (SELECT doc_id FROM {documents} WHERE doc_id % 2 = 0) SELECT a.doc_id FROM a LEFT ANTI JOIN b ON a.doc_id = b.doc_id",
-    "list_append": "WITH a AS (SELECT doc_id, 'a' AS origin FROM {documents} WHERE doc_id % 3 = 0), b AS (SELECT doc_id, 'b' AS origin FROM {documents} WHERE doc_id % 2 = 0) SELECT * FROM a UNION ALL SELECT b.doc_id, b.origin FROM b LEFT ANTI JOIN a ON a.doc_id = b.doc_id",
     "exact_match_union": "SELECT doc_id FROM {documents} WHERE lower(text) LIKE '%for the%' UNION SELECT doc_id FROM {documents} WHERE lower(source) LIKE '%src1%'",
-    "intersect_lists": "SELECT doc_id FROM {documents} WHERE doc_id % 3 = 0 INTERSECT SELECT doc_id FROM {labels}",
-    "list_merge_whole": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY pr, source) AS rn FROM (SELECT doc_id, source, 1 AS pr FROM {documents} UNION ALL SELECT doc_id, CAST(quality AS string), 2 FROM {labels}) u) x WHERE rn = 1",
-    "list_xor_whole": "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {embeddings} e ON d.doc_id = e.vec_id UNION ALL SELECT e.vec_id FROM {embeddings} e LEFT ANTI JOIN {documents} d ON e.vec_id = d.doc_id",
-    "list_trim_whole": "WITH a AS (SELECT doc_id FROM {documents} UNION ALL SELECT doc_id FROM {documents}) SELECT a.doc_id FROM a LEFT ANTI JOIN {labels} b ON a.doc_id = b.doc_id",
-    "list_append_whole": "SELECT doc_id, 'a' AS origin FROM {documents} UNION ALL SELECT b.vec_id, 'b' FROM {embeddings} b LEFT ANTI JOIN {documents} a ON b.vec_id = a.doc_id",
-    "intersect_lists_whole": "SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FROM {labels}",
-    "insert_ignore_whole": "SELECT min(event_id) AS event_id, user_id FROM {events} e LEFT ANTI JOIN {customer} c ON c.c_custkey = e.user_id GROUP BY user_id",
+    "list_merge": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY pr, source) AS rn FROM (SELECT doc_id, source, 1 AS pr FROM {documents} UNION ALL SELECT doc_id, CAST(quality AS string), 2 FROM {labels}) u) x WHERE rn = 1",
+    "list_xor": "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {embeddings} e ON d.doc_id = e.vec_id UNION ALL SELECT e.vec_id FROM {embeddings} e LEFT ANTI JOIN {documents} d ON e.vec_id = d.doc_id",
+    "list_trim": "WITH a AS (SELECT doc_id FROM {documents} UNION ALL SELECT doc_id FROM {documents}) SELECT a.doc_id FROM a LEFT ANTI JOIN {labels} b ON a.doc_id = b.doc_id",
+    "list_append": "SELECT doc_id, 'a' AS origin FROM {documents} UNION ALL SELECT b.vec_id, 'b' FROM {embeddings} b LEFT ANTI JOIN {documents} a ON b.vec_id = a.doc_id",
+    "intersect_lists": "SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FROM {labels}",
+    "insert_ignore": "SELECT min(event_id) AS event_id, user_id FROM {events} e LEFT ANTI JOIN {customer} c ON c.c_custkey = e.user_id GROUP BY user_id",
     "upsert_latest_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) x WHERE rn = 1",
-    "insert_ignore": "SELECT min(event_id) AS event_id, user_id FROM {events} e LEFT ANTI JOIN (SELECT c_custkey FROM {customer} WHERE c_custkey % 2 = 0) c ON c.c_custkey = e.user_id GROUP BY user_id",
     "fuzzy_title": "SELECT p_partkey, p_name FROM {part} WHERE levenshtein(lower(p_name), 'part 12') <= 2 OR levenshtein(lower(p_type), 'type1') <= 1 OR levenshtein(lower(p_brand), 'brand#12') <= 1",
     "downloads_by_type": "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS decimal(28, 8))) AS double) AS total FROM {events} GROUP BY event_type ORDER BY n DESC",
     "first_per_group": "SELECT conv_id, min(turn) AS turn, count(*) AS turns FROM {conversations} GROUP BY conv_id",
     "mixed_direction_order": "SELECT doc_id, source, lang FROM (SELECT * FROM {documents} ORDER BY lang DESC, source ASC, doc_id LIMIT 100) x",
     "gap_islands": "SELECT user_id, island, count(*) AS n, min(event_id) AS first_event FROM (SELECT user_id, event_id, CAST(sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS bigint) AS island FROM (SELECT user_id, event_id, ts, CASE WHEN value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 10 THEN 1 ELSE 0 END AS brk FROM {events}) a) b GROUP BY 1, 2",
-    "point_in_interval_anti": "SELECT e.event_id FROM {events} e LEFT ANTI JOIN (SELECT event_id % 20 AS page, value - 2 AS lo, value + 2 AS hi FROM {events} WHERE event_type = 'error') b ON e.event_id % 20 = b.page AND e.value >= b.lo AND e.value <= b.hi",
-    "interval_overlap": "SELECT e.event_id, count(*) AS boxes FROM {events} e JOIN (SELECT event_id % 50 AS page, value AS lo, value + 5 AS hi FROM {events} WHERE event_type = 'error') b ON e.event_id % 50 = b.page AND e.value - 2 <= b.hi AND e.value + 2 >= b.lo GROUP BY e.event_id",
     "tumbling": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(value AS decimal(28, 8))) AS double) AS total FROM {events} GROUP BY 1, 2",
     "sessionize": "SELECT user_id, session, count(*) AS n FROM (SELECT user_id, CAST(sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS bigint) AS session FROM (SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < ts - INTERVAL '30' MINUTE THEN 1 ELSE 0 END AS brk FROM {events}) a) b GROUP BY 1, 2",
-    "dedupe_ttl": "SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM {events}) x WHERE before IS NULL OR before < ts - INTERVAL '30' MINUTE",
-    "title_keyword": f"WITH {DOC} SELECT doc_id, CASE WHEN lower(substring(text, 1, 2000)) LIKE '%report%' THEN concat('Report - ', file_name) WHEN lower(substring(text, 1, 2000)) LIKE '%order%' THEN concat('Order - ', file_name) WHEN lower(substring(text, 1, 2000)) LIKE '%case id%' THEN concat('Case - ', file_name) ELSE file_name END AS title FROM doc",
-    "sentence_pages": f"WITH {DOC} SELECT doc_id, page_count, least(page_count, CAST(1 AS int)) AS first_page, greatest(page_count - 1, 0) AS last_break FROM doc",
 }
 
 _SPARK = {"{distance}": "(1 - aggregate(zip_with(e.embedding, p.q, (x, y) -> CAST(x AS double) * y), CAST(0 AS double), (a, x) -> a + x) / (sqrt(aggregate(e.embedding, CAST(0 AS double), (a, x) -> a + CAST(x AS double) * x)) * sqrt(aggregate(p.q, CAST(0 AS double), (a, x) -> a + CAST(x AS double) * x))))"}

@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from docatlas.plans import catalogue, texts
+from docatlas.plans import analysis, catalogue, search, texts
 
 DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = catalogue.queries() | texts.QUERIES, catalogue.oracle_sql() | texts.ORACLES
+QUERIES, ORACLES = catalogue.queries() | texts.QUERIES | search.QUERIES | analysis.QUERIES, catalogue.oracle_sql() | texts.ORACLES | search.ORACLES | analysis.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def con():
 def plain(v):
     if isinstance(v, float):
         return round(v, 6)
-    return v.replace(tzinfo=None).isoformat() if hasattr(v, "isoformat") else v
+    return v.replace(tzinfo=None).isoformat() if hasattr(v, "hour") else v
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -40,11 +40,11 @@ def test_runs(spark, name):
 
 
 def test_set_operators_take_whole_tables(spark, con):
-    got = {n: [r[0] for r in QUERIES[f"{n}_whole"](spark, DIR).collect()] for n in ("list_merge", "list_xor", "list_trim", "list_append", "intersect_lists")}
+    got = {n: [r[0] for r in QUERIES[n](spark, DIR).collect()] for n in ("list_merge", "list_xor", "list_trim", "list_append", "intersect_lists")}
     docs, labels, vecs = ([r[0] for r in con.execute(f"SELECT {c} FROM {t}").fetchall()] for c, t in (("doc_id", "documents"), ("doc_id", "labels"), ("vec_id", "embeddings")))
     assert sorted(got["list_merge"]) == sorted(set(docs) | set(labels)) and sorted(got["list_xor"]) == sorted(set(docs) ^ set(vecs))
     assert sorted(got["list_trim"]) == sorted(2 * [d for d in docs if d not in set(labels)]) and sorted(got["list_append"]) == sorted(docs + [v for v in vecs if v not in set(docs)])
     assert sorted(got["intersect_lists"]) == sorted(set(docs) & set(labels))
     held = {r[0] for r in con.execute("SELECT c_custkey FROM customer").fetchall()}
     first = con.execute("SELECT user_id, min(event_id) FROM events GROUP BY user_id").fetchall()
-    assert sorted((r.user_id, r.event_id) for r in QUERIES["insert_ignore_whole"](spark, DIR).collect()) == sorted(x for x in first if x[0] not in held)
+    assert sorted((r.user_id, r.event_id) for r in QUERIES["insert_ignore"](spark, DIR).collect()) == sorted(x for x in first if x[0] not in held)
