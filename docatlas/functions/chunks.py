@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,11 +53,24 @@ def with_dots(sentences: list[str]) -> list[str]:
 
 def _udf(fn):
     """An Arrow UDF made where a session is there, not where the module is read."""
-    return F.pandas_udf(lambda s: s.map(fn), T.ArrayType(T.StringType()), F.PandasUDFType.SCALAR)
 
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(fn)
 
-def bounded_udf(sentences: Column) -> Column:
-    return _udf(lambda x: bounded(list(x)) if x is not None else [])(sentences)
+    return F.pandas_udf(run, T.ArrayType(T.StringType()))
+
+
+def bounded_column(sentences: Column, most: int = 2000) -> Column:
+    """bounded() as a fold in the JVM; no chunks for null."""
+    zero = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        full = (a["held"] != "") & (F.length(a["held"]) + F.length(s) > most)
+        held = F.concat(F.when(full, "").otherwise(a["held"]), s, F.lit(" "))
+        return F.struct(held.alias("held"), F.when(full, F.array_append(a["out"], F.trim(a["held"]))).otherwise(a["out"]).alias("out"))
+
+    done = F.aggregate(sentences, zero, step, lambda a: F.when(F.trim(a["held"]) != "", F.array_append(a["out"], F.trim(a["held"]))).otherwise(a["out"]))
+    return F.coalesce(done, F.array().cast("array<string>"))
 
 
 def sliding_udf(text: Column) -> Column:

@@ -69,7 +69,7 @@ QUERIES = {
     "junk_flags": _of(lambda: T.is_junk(F.col("text")).alias("junk")),
     "sentence_split": lambda spark, d: _docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("ordinal", "sentence")),
     "fts_lexeme_and": lambda spark, d: _docs(spark, d).where(T.matches(F.col("text"), F.lit("thing with"))).select("doc_id"),
-    "chunk_2000": lambda spark, d: _docs(spark, d).select("doc_id", F.posexplode(chunks.bounded_udf(T.sentences(F.col("text")))).alias("chunk", "text")),
+    "chunk_2000": lambda spark, d: _docs(spark, d).select("doc_id", F.posexplode(chunks.bounded_column(T.sentences(F.col("text")))).alias("chunk", "text")),
     "chunk_sliding_350": lambda spark, d: _docs(spark, d).select("doc_id", F.posexplode(chunks.sliding_udf(F.col("text"))).alias("chunk", "text")),
     "tumbling_twin": lambda spark, d: E.windowed(spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))),
     "session_window_twin": lambda spark, d: E.sessions(spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))),

@@ -1,4 +1,4 @@
-"""Readers of catalogue dumps: explicit schemas, rejects kept out of the way."""
+"""Readers of catalogues in tab-separated and JSON lines; quoted dumps are in dumps."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def csv_dump(spark: SparkSession, path: str, schema: str, header: bool = False) -> DataFrame:
-    r"""Quoted fields with embedded newlines and backslash escapes; \N is null; gzip by extension."""
-    return spark.read.csv(path, schema=schema, header=header, multiLine=True, quote='"', escape="\\", nullValue="\\N", mode="DROPMALFORMED")
-
-
 def tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Lines of at least as many fields as columns; blanks are null; access is allow or deny."""
     f = F.split("value", "\t")
@@ -24,8 +19,3 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(f"aacid string, metadata struct<oclc_number:string,type:string,record:{record}>").json(path).where("aacid is not null")
     r = F.col("metadata.record")
     return rows.select("aacid", F.col("metadata.oclc_number").alias("oclc_number"), F.col("metadata.type").alias("record_type"), F.coalesce(r["title"], r["titleInfo"]["text"]).alias("title"), r["creator"].alias("creator"), F.substring(r["machineReadableDate"], 1, 4).try_cast("int").alias("date_year"), F.to_json(r["subjects"]).alias("subjects"))
-
-
-def files(spark: SparkSession, path: str, extensions: list[str]) -> DataFrame:
-    """Files below a folder by extension, without their content."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime").where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(extensions))

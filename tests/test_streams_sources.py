@@ -22,11 +22,8 @@ def test_first_within_drops_copies(spark, tmp_path):
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('1,"x\ny",\\N\n2,"say \\"so\\"",z\n')
-    assert [tuple(r) for r in catalogs.csv_dump(spark, str(tmp_path / "a.csv"), "a int, b string, c string").orderBy("a").collect()] == [(1, "x\ny", None), (2, 'say "so"', "z")]
     (tmp_path / "b.tsv").write_text("h1\tALLOW\t \nshort\n")
     assert [tuple(r) for r in catalogs.tsv(spark, str(tmp_path / "b.tsv"), ["id", "access", "note"]).collect()] == [("h1", "allow", None)]
     rows = [{"aacid": "q", "metadata": {"record": {"titleInfo": {"text": "T"}, "machineReadableDate": "19xx"}}}, {"metadata": {}}]
     (tmp_path / "c.json").write_text("\n".join(map(json.dumps, rows)))
     assert [(r.aacid, r.title, r.date_year) for r in catalogs.json_lines(spark, str(tmp_path / "c.json")).collect()] == [("q", "T", None)]
-    assert catalogs.files(spark, str(tmp_path), ["tsv"]).count() == 1
