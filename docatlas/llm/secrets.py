@@ -21,6 +21,8 @@ RULES = (
     ("private_key", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
 )
 BASE = ("assign", "access", "hex")
+#: Parts in which paths of one blob get its findings.
+PARTS = 32
 _FOUND = "array<struct<s:int,r:int,e:int,kind:string>>"
 _MARK, _OTHER = "\ue000", "\ue001"
 
@@ -56,7 +58,7 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     schema = f"blob binary, rules array<string>, findings {_FOUND}"
     now = F.array(*map(F.lit, names))
     # the row that stands for a blob: the smallest id that has it, and rows without an id only where no other has it
-    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("at"))
+    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("at"), F.count("*").alias("n"))
     kept = ledger or common.fresh_path(spark, "ledger")
     seen = _ledger(docs, kept, schema) if ledger else None
     if seen is None:
@@ -64,7 +66,7 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     else:
         seen = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
         todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(now, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0).drop("seen")
-    todo = todo.withColumnRenamed("blob", "b").hint("shuffle_hash")
+    todo = todo.withColumnRenamed("blob", "b").drop("n").hint("shuffle_hash")
     none = F.array().cast(_FOUND)
     found = F.concat(*(F.when(F.array_contains("todo", n), spans(F.col("text"), rule, i)).otherwise(none) for i, (n, rule) in enumerate(zip(names, RULES, strict=True))))
     fresh = d.join(todo, (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("at")))
@@ -72,7 +74,11 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     current = F.create_map(*[F.lit(x) for kind, version, *_ in RULES for x in (kind, f"{kind}:{version}")])
     own = F.filter("findings", lambda x: F.array_contains("rules", current[x.kind]))  # not what older rule versions found
     known = spark.read.schema(schema).parquet(kept).where(F.size("findings") > 0).select("blob", own.alias("findings")).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
-    return paths.join(known, "blob", "left").select("doc_id", "blob", F.coalesce("findings", none).alias("findings"))
+    # a third of all paths may hold one blob: findings of a blob of several paths go to each part of them, of a single path to its own part
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int")
+    places = F.when(F.col("n") > 1, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(part("at")))
+    dealt = known.join(blobs, "blob").select("blob", "findings", F.explode(places).alias("part"))
+    return paths.withColumn("part", part("doc_id")).join(dealt, ["blob", "part"], "left").select("doc_id", "blob", F.coalesce("findings", none).alias("findings"))
 
 
 def _ledger(docs: DataFrame, path: str, schema: str) -> DataFrame | None:
