@@ -162,3 +162,36 @@ def stray_equals_resolved(text: Column, words: Column) -> Column:
         return F.when(w.rlike(r"==|!=|>=|<="), w).when(w.rlike(r"\p{L}=\p{L}"), inner).when(w.rlike("="), edged).otherwise(w)
 
     return F.array_join(F.transform(F.split(text, " "), one), " ")
+
+
+def clean_sentences(sentences: Column) -> Column:
+    """Sentences for display: blank ones and junk go, boxes become dashes and straight quotes apostrophes, artifacts and cut-out identifiers are put right."""
+    from . import text as T
+
+    plain = F.transform(F.filter(sentences, lambda s: F.trim(s) != ""), lambda s: artifacts_removed(F.replace(F.replace(F.trim(s), F.lit("\u25a0"), F.lit("-")), F.lit('"'), F.lit("'"))))
+    apart = F.flatten(F.transform(plain, lambda s: around_identifiers(s)))
+    return F.filter(F.transform(apart, lambda s: F.trim(s)), lambda s: ~T.is_junk(s))
+
+
+def expanded(word: Column, full: dict[str, str]) -> Column:
+    """An abbreviation's full form from a table of lower-case keys without full stops; any other word as it is."""
+    if not full:
+        return word
+    table = F.create_map(*[F.lit(x) for kv in full.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.lower(F.replace(word, F.lit("."), F.lit("")))), word)
+
+
+def local_path(path: Column, foreign: str, own: str) -> Column:
+    """A path with the separators of this system, the foreign base put for its own."""
+    same = F.regexp_replace(path, r"[\\/]+", "/")
+    base = foreign.replace("\\", "/").rstrip("/")
+    return F.when(F.lower(same).startswith(base.lower()), F.concat(F.lit(own.rstrip("/")), F.substring(same, len(base) + 1, 1 << 30))).otherwise(same)
+
+
+def first_year(said: Column) -> Column:
+    """The first four digits in a row as a year; null without any."""
+    return F.regexp_extract(said, "([0-9]{4})", 1).try_cast("int")
+
+
+def page_name(page: Column) -> Column:
+    return F.concat(F.lpad(page.cast("string"), 8, "0"), F.lit(".txt"))

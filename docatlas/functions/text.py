@@ -147,7 +147,7 @@ def tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Cut after ! and ?, and after a full stop before blank, end or a tag."""
-    return F.filter(F.transform(F.split(text, r"(?<=[!?])|(?<=\.)(?=\s|<|$)"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[!?])|(?<=\.)(?=\s|<|$)"), lambda s: F.btrim(s, F.lit(" \t\r\n"))), lambda s: s != "")
 
 
 def positional_checksum(words: Column) -> Column:

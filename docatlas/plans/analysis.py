@@ -154,7 +154,7 @@ QUERIES = {
     "table_sync": lambda s, d: sync_status([("labels", _t(s, d, "documents"), "doc_id", _t(s, d, "labels"), "doc_id"), ("embeddings", _t(s, d, "documents"), "doc_id", _t(s, d, "embeddings"), "vec_id")]),
     "library_stats": _library,
     "work_queue": _queue,
-    "catalogue_search": lambda s, d: catalogue_search(_t(s, d, "part").join(_t(s, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("linked")), "p_partkey", "left").fillna(0, ["linked"]), "type1", True).select("p_partkey", "p_name", "linked"),
+    "catalogue_search": lambda s, d: catalogue_search(_t(s, d, "part").join(_t(s, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("linked")), "p_partkey", "left").fillna(0, ["linked"]), "small", True).select("p_partkey", "p_name", "linked"),
     "code_join": lambda s, d: _t(s, d, "customer").select("c_custkey", F.substring_index("c_name", "#", -1).cast("long").alias("code")).join(_t(s, d, "supplier").select(F.col("s_suppkey").alias("code"), "s_name"), "code").select("c_custkey", "s_name"),
     "group_sizes": lambda s, d: search.documents(s, d).groupBy(F.regexp_extract("file_name", r"\.([a-z0-9]+)$", 1).alias("kind")).agg(F.count("*").alias("files"), F.round(F.sum(F.length("text")) / float(1 << 20), 2).alias("mb")),
     "catalogue_point": lambda s, d: _t(s, d, "orders").join(_t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left").select("o_orderkey", "c_name"),
@@ -188,7 +188,7 @@ ORACLES = {
     "table_sync": "SELECT 'labels' AS name, (SELECT count(*) FROM documents) AS source_rows, count(*) AS target_rows, max(doc_id) AS last_id, round(100.0 * count(*) / (SELECT count(*) FROM documents), 6) AS pct FROM labels UNION ALL SELECT 'embeddings', (SELECT count(*) FROM documents), count(*), max(vec_id), round(100.0 * count(*) / (SELECT count(*) FROM documents), 6) FROM embeddings",
     "library_stats": "SELECT s.*, r.doc_id FROM (SELECT count(*) AS books, count(*) FILTER (doc_id % 5 = 0) AS pdfs, CAST(coalesce(sum(ceil(n_chars / 2000.0)) FILTER (doc_id % 5 = 0), 0) AS bigint) AS pdf_pages FROM documents) s, (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 10) r",
     "work_queue": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR (o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))",
-    "catalogue_search": "SELECT p_partkey, p_name, count(*) AS linked FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_name ILIKE '%type1%' OR p_type ILIKE '%type1%' OR p_brand ILIKE '%type1%' GROUP BY 1, 2",
+    "catalogue_search": "SELECT p_partkey, p_name, count(*) AS linked FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_name ILIKE '%small%' OR p_type ILIKE '%small%' OR p_brand ILIKE '%small%' GROUP BY 1, 2",
     "code_join": "SELECT c_custkey, s_name FROM customer JOIN supplier ON TRY_CAST(string_split(c_name, '#')[-1] AS bigint) = s_suppkey",
     "group_sizes": search._D + " SELECT string_split(file_name, '.')[2] AS kind, count(*) AS files, round(sum(length(text)) / 1048576.0, 2) AS mb FROM d GROUP BY 1",
     "catalogue_point": "SELECT o_orderkey, (SELECT c_name FROM customer WHERE c_custkey = o_custkey) AS c_name FROM orders",

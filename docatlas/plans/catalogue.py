@@ -78,7 +78,7 @@ SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS final_rank, sc
     "list_trim": "WITH a AS (SELECT doc_id FROM {documents} UNION ALL SELECT doc_id FROM {documents}) SELECT a.doc_id FROM a LEFT ANTI JOIN {labels} b ON a.doc_id = b.doc_id",
     "list_append": "SELECT doc_id, 'a' AS origin FROM {documents} UNION ALL SELECT b.vec_id, 'b' FROM {embeddings} b LEFT ANTI JOIN {documents} a ON b.vec_id = a.doc_id",
     "intersect_lists": "SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FROM {labels}",
-    "insert_ignore": "SELECT min(event_id) AS event_id, user_id FROM {events} e LEFT ANTI JOIN {customer} c ON c.c_custkey = e.user_id GROUP BY user_id",
+    "insert_ignore": "SELECT min(event_id) AS event_id, user_id FROM {events} e LEFT ANTI JOIN {supplier} c ON c.s_suppkey = e.user_id GROUP BY user_id",
     "upsert_latest_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) x WHERE rn = 1",
     "fuzzy_title": "SELECT p_partkey, p_name FROM {part} WHERE levenshtein(lower(p_name), 'part 12') <= 2 OR levenshtein(lower(p_type), 'type1') <= 1 OR levenshtein(lower(p_brand), 'brand#12') <= 1",
     "downloads_by_type": "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS decimal(28, 8))) AS double) AS total FROM {events} GROUP BY event_type ORDER BY n DESC",

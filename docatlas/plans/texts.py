@@ -93,4 +93,8 @@ ORACLES = {
     "json_props": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS bigint) AS k FROM events",
     "bit_xor_checksum": "SELECT source, bit_xor(n_chars) AS sum FROM documents GROUP BY source",
     "vocabulary_index": "SELECT word, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, unnest(string_split(replace(lower(text), chr(10), ' '), ' ')) AS word FROM documents) x GROUP BY word",
+    "sentence_split": r"WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([!?])', '\1' || chr(1), 'g'), '[.](\s|<|$)', '.' || chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '') AS ss FROM documents) SELECT doc_id, i - 1 AS ordinal, ss[i] AS sentence FROM s, unnest(range(1, len(ss) + 1)) AS u(i)",
+    "tumbling_twin": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(CAST(sum(CAST(value AS decimal(28, 8))) AS double), 4) AS total FROM events GROUP BY 1, 2",
+    "session_window_twin": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events) a) b GROUP BY user_id, session",
+    "title_cascade": "SELECT doc_id, CASE " + " ".join(f"WHEN strpos(lower(substring(text, 1, 2000)), '{k.lower()}') > 0 THEN '{v} - ' || f" for k, v in T.TITLE_LABELS) + " ELSE f END AS title FROM (SELECT *, 'DOC' || lpad(CAST(doc_id AS varchar), 8, '0') || '.' || CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'csv' WHEN 3 THEN 'mp4' ELSE 'txt' END AS f FROM documents) x",
 }
