@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,29 @@ def deleted(spark: SparkSession, paths: Iterable[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: What operators keep in a Python worker between tasks: how to drop it, by operator.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeping(name: str, drop: Callable[[], None] | None = None) -> None:
+    """Called in a worker by an operator: drops what others keep there and gives the memory back, as workers outlive stages."""
+    others = [k for k in _kept if k != name]
+    for k in others:
+        _kept.pop(k)()
+    if drop:
+        _kept[name] = drop
+    if others:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Intermediate tables of an operator; those that its result does not read are deleted when the block ends."""
 

@@ -78,6 +78,7 @@ def dealt(reps: DataFrame, bits: int, tables: int) -> DataFrame:
     """(..., v) to those with cells: the number of each table's cell, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keeping("embeddings")
         for b in batches:
             out: list = []
             by: dict[int, list[int]] = {}

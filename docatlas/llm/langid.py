@@ -147,6 +147,7 @@ _parsers: dict[str, Parser] = {}
 
 
 def _parser(model: str) -> Parser:
+    common.keeping("langid", _parsers.clear)
     if model not in _parsers:
         _parsers.clear()
         _parsers[model] = Parser(json.loads(model))

@@ -96,6 +96,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        common.keeping("minhash", _hash.clear)
         for b in batches:
             n, key, sketch, bands = [], [], [], []
             for t in b.column("text").to_pylist():

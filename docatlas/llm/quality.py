@@ -48,6 +48,7 @@ def featured(docs: DataFrame) -> DataFrame:
     common.tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keeping("quality")
         for b in batches:
             x = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "x"])

@@ -6,6 +6,8 @@ from array import array
 
 import numpy as np
 
+from . import common
+
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces between blanks that a worker keeps in each of two generations.
 KEPT = 500_000
@@ -68,6 +70,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    common.keeping("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
