@@ -79,3 +79,30 @@ def sliding_udf(text: Column) -> Column:
 
 def with_dots_udf(sentences: Column) -> Column:
     return _udf(lambda x: with_dots(list(x)) if x is not None else [])(sentences)
+
+
+def permutation(length: int, seed: int) -> list[int]:
+    """A shuffle of 0 to length - 1 that a 64-bit seed decides: numbers of a xorshift generator choose the places from the last one on."""
+    mask = (1 << 64) - 1
+    state = seed & mask or 0xDEADBEEFCAFEBABE  # fixed value: what a seed of 0 stands for
+    places = list(range(length))
+    for last in range(length - 1, 0, -1):
+        for left, by in ((True, 13), (False, 7), (True, 17)):  # fixed values: shifts of the generator
+            state ^= (state << by if left else state >> by) & mask
+        pick = state % (last + 1)
+        places[last], places[pick] = places[pick], places[last]
+    return places
+
+
+def inverse(places: list[int]) -> list[int]:
+    return sorted(range(len(places)), key=places.__getitem__)
+
+
+def shuffled_udf(items: Column, seed: Column, back: bool = False) -> Column:
+    """Items in the order of the permutation that a seed gives, or with back those so shuffled in their first order."""
+
+    def run(items: pd.Series, seed: pd.Series) -> pd.Series:
+        order = lambda n, s: inverse(permutation(n, s)) if back else permutation(n, s)
+        return pd.Series([None if x is None else [x[i] for i in order(len(x), int(s))] for x, s in zip(items, seed, strict=True)])
+
+    return F.pandas_udf(run, T.ArrayType(T.StringType()))(items, seed)

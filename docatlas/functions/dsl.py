@@ -115,3 +115,11 @@ def _squeezed(tokens: Column) -> Column:
     joined = F.transform(tokens, lambda t, i: F.when(t.rlike(r"[\p{L}\p{N}]$") & follows(i).isin(*_CODES), F.concat(t, F.lit("."), code(follows(i)))).otherwise(t))
     before = lambda i: F.when(i > 0, F.get(tokens, i - 1)).otherwise("")
     return F.filter(joined, lambda t, i: ~(t.isin(*_CODES) & before(i).rlike(r"[\p{L}\p{N}]$")))
+
+
+def word_stream(words: Column, start: int = 0, size: int | None = None, flags: int = 0, kind: str = "all") -> Column:
+    """Parsed words from a place on, the range clamped to what is there, with all of the flags, content or tags only if asked for."""
+    some = F.slice(words, max(0, start) + 1, size) if size is not None else F.slice(words, max(0, start) + 1, 1 << 30)
+    if flags:
+        some = F.filter(some, lambda w: w["flags"].bitwiseAND(F.lit(flags)) == flags)
+    return F.filter(some, lambda w: is_content(w["text"])) if kind == "content" else F.filter(some, lambda w: is_tag(w["text"])) if kind == "tags" else some

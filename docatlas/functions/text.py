@@ -189,9 +189,31 @@ def dsl_stripped(tokens_: Column) -> Column:
     return F.array_join(F.transform(tokens_, lambda t: F.regexp_replace(t, r"(\.(ns|qo|qc|[uUreqxc])+)+$", "")), " ")
 
 
-def lemma_forms(word: Column) -> Column:
-    """Candidates in order: the word, its lower case, without possessive, plural, past, progressive, comparative and adverb endings."""
+#: Common irregular forms and the words that they are of; a caller may give a table of its own.
+IRREGULAR = {
+    "am": "be", "is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "has": "have", "had": "have", "does": "do", "did": "do", "done": "do", "went": "go", "gone": "go",
+    "said": "say", "made": "make", "took": "take", "taken": "take", "came": "come", "saw": "see", "seen": "see", "knew": "know", "known": "know", "gave": "give", "given": "give",
+    "found": "find", "told": "tell", "left": "leave", "felt": "feel", "brought": "bring", "began": "begin", "begun": "begin", "kept": "keep", "held": "hold", "wrote": "write",
+    "written": "write", "stood": "stand", "heard": "hear", "met": "meet", "ran": "run", "paid": "pay", "sat": "sit", "spoke": "speak", "spoken": "speak", "led": "lead", "grew": "grow",
+    "lost": "lose", "fell": "fall", "sent": "send", "built": "build", "drew": "draw", "broke": "break", "spent": "spend", "rose": "rise", "drove": "drive", "bought": "buy", "wore": "wear",
+    "chose": "choose", "men": "man", "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth", "mice": "mouse", "better": "good", "best": "good", "worse": "bad", "worst": "bad",
+}
+
+
+def lemma_forms(word: Column, irregular: dict[str, str] = IRREGULAR) -> Column:
+    """Candidates in the order in which they are looked up: the word, its irregular base, its lower case, without possessive, plural, past, progressive, comparative and adverb endings."""
     w = F.lower(word)
-    cut = lambda end, put="": F.when(w.rlike(f"[a-z]{{2,}}{end}$"), F.regexp_replace(w, f"{end}$", put))
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in irregular.items() for x in kv]), w) if irregular else F.lit(None).cast("string")
+    cut = lambda end, put="", least=2: F.when(w.rlike(f"^.{{{least},}}{end}$"), F.regexp_replace(w, f"{end}$", put))
     double = lambda end: F.when(w.rlike(rf"([a-z])\1{end}$"), F.regexp_replace(w, rf"([a-z])\1{end}$", "$1"))
-    return F.array_distinct(F.array_compact(F.array(word, w, cut("'s"), cut("ies", "y"), cut("es"), cut("s"), double("ed"), cut("ied", "y"), cut("ed"), cut("d"), double("ing"), cut("ing", "e"), cut("ing"), cut("ying", "ie"), cut("er"), cut("est"), cut("ily", "y"), cut("ly"))))
+    past = [cut("ed"), double("ed"), cut("d"), cut("ied", "y")]
+    going = [double("ing"), cut("ing", "e"), cut("ing"), cut("ying", "ie", 1)]
+    more = [cut("er"), cut("er", "e"), cut("est"), cut("est", "e"), cut("ly"), cut("ily", "y")]
+    forms = [word, known, w, cut("['’]s", "", 1), F.when(~w.endswith("ss"), cut("s")), cut("es"), F.when(w.endswith("es"), cut("s")), cut("ies", "y"), *(F.when(w.rlike("ed$"), x) for x in past), *going, *more]
+    return F.array_distinct(F.array_compact(F.array(*forms)))
+
+
+def token_hash(token: Column) -> Column:
+    """64 bits folded by XOR to 32, to 16, and cut to their lowest 14."""
+    half = token.bitwiseXOR(F.shiftrightunsigned(token, 32))
+    return half.bitwiseXOR(F.shiftrightunsigned(half, 16)).bitwiseAND(F.lit(0x3FFF)).cast("int")

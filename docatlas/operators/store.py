@@ -145,3 +145,33 @@ def progressed(progress: DataFrame, table: str, last_id: int, rows: int) -> Data
     """Progress (table, last_id, rows) after one more step of a table; steps never go back."""
     step = progress.sparkSession.createDataFrame([(table, last_id, rows)], progress.schema)
     return progress.unionByName(step).groupBy("table").agg(F.max("last_id").alias("last_id"), F.sum("rows").cast("long").alias("rows"))
+
+
+def conformed(df: DataFrame, ddl: str) -> DataFrame:
+    """A table brought to a schema: columns that it lacks are null, others are cast, what the schema does not know goes."""
+    from pyspark.sql import types as T
+
+    wanted = T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else df.sparkSession.createDataFrame([], ddl).schema
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
+
+
+def written_lists(lists: DataFrame, path: str) -> None:
+    """Lists, a folder each, so that reading one list reads its folder only; a list that is written again replaces its folder alone."""
+    lists.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("list_id").parquet(path)
+
+
+def registered(uploads: DataFrame, new: DataFrame) -> DataFrame:
+    """A register of uploads (owner, digest, ...): what an owner has brought before is not brought in again."""
+    return merge.insert_ignore(uploads, new, ["owner", "digest"])
+
+
+def faceted(nodes: DataFrame, active: list[str]) -> DataFrame:
+    """Nodes of the active types; all if none is active."""
+    return nodes.where(F.col("type").isin(*active)) if active else nodes
+
+
+def grid(df: DataFrame, filters: dict[str, str], order: list[tuple[str, bool]]) -> DataFrame:
+    """Rows whose columns hold the filters' texts, whatever their case, in order of (column, descending)."""
+    for column, needle in filters.items():
+        df = df.where(F.contains(F.lower(F.col(column).cast("string")), F.lit(needle.lower())))
+    return df.orderBy(*(F.desc(c) if down else F.asc(c) for c, down in order))

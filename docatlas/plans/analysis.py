@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docatlas.functions import text as T
-from docatlas.operators import merge, ranges
+from docatlas.functions import prose, text as T
+from docatlas.operators import lexicon, merge, ranges
 from docatlas.streaming import events as E
 
 from . import search
@@ -96,6 +96,30 @@ def catalogue_search(parts: DataFrame, needle: str, linked: bool) -> DataFrame:
     return got.where("linked > 0") if linked else got
 
 
+#: Words that carry no content.
+STOPS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with")
+
+
+def scanned(html: DataFrame, key: str) -> DataFrame:
+    """Marked-up texts (key, html) to their tokens, with class, sentence, page and chapter.
+
+    Classes, the first that holds: tag, space, punctuation, stop word, number, proper noun (capitalised and not first in
+    its sentence), content. Pages and chapters are those of the last marker before a token.
+    """
+    parts = F.regexp_extract_all("html", F.lit(r"(<[^>]*>|[\p{L}\p{N}]+(?:['’][\p{L}]+)*|\s+|.)"), F.lit(1))
+    rows = html.select(key, F.posexplode(parts).alias("ordinal", "token"))
+    w = Window.partitionBy(key).orderBy("ordinal")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    tag = F.col("token").rlike("^<[^>]+>$")
+    rows = rows.select("*", F.last(F.when(tag, prose.page_marker(F.col("token"))), True).over(so_far).alias("page"), F.last(F.when(tag, prose.chapter_marker(F.col("token"))), True).over(so_far).alias("chapter"))
+    ends = F.when(F.col("token").rlike("^[.?!]$") | (tag & F.col("token").rlike(r"(?i)^<(?:br|/p|/h|/div|/li|/tr|/bl|/ar|/se)")), 1).otherwise(0)
+    rows = rows.withColumn("sentence", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    word = F.col("token").rlike(r"^[\p{L}\p{N}]")
+    first = F.coalesce(F.sum(F.when(word, 1).otherwise(0)).over(Window.partitionBy(key, "sentence").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 0
+    kind = F.when(tag, "tag").when(F.trim(F.translate("token", "\n\r\t", "   ")) == "", "space").when(~word, "punctuation").when(F.lower("token").isin(*STOPS), "stop").when(F.col("token").rlike("^[0-9]+$"), "number").when(F.col("token").rlike(r"^\p{Lu}") & ~first, "proper").otherwise("content")
+    return rows.select(key, "ordinal", "token", kind.alias("kind"), "sentence", "page", "chapter")
+
+
 def _interval_boxes(s: SparkSession, d: str, mod: int, lo: float, hi: float) -> DataFrame:
     return _t(s, d, "events").where("event_type = 'error'").select((F.col("event_id") % mod).alias("page"), (F.col("value") + lo).alias("lo"), (F.col("value") + hi).alias("hi"), "event_id")
 
@@ -151,6 +175,8 @@ QUERIES = {
     "layout_formatting": lambda s, d: formatting(layout(s, d)),
     "layout_width": lambda s, d: local_width(layout(s, d)),
     "annotated_words": lambda s, d: covered(tokens(s, d), _t(s, d, "labels").select("doc_id", (F.col("doc_id") % 40).cast("int").alias("start"), F.lit(4).alias("size"))).select("doc_id", "ordinal", "word"),
+    "book_scan": lambda s, d: scanned(_t(s, d, "pages"), "page_id").groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.countDistinct("sentence").alias("sentences")),
+    "lemma_hits": lambda s, d: lexicon.looked_up(tokens(s, d).select("doc_id", F.regexp_replace("word", r"[^\p{L}]", "").alias("word")).where("word <> ''"), _t(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).distinct().withColumn("concept", F.xxhash64("word"))).where("concept is not null").groupBy("doc_id").agg(F.count("*").alias("n")),
     "table_sync": lambda s, d: sync_status([("labels", _t(s, d, "documents"), "doc_id", _t(s, d, "labels"), "doc_id"), ("embeddings", _t(s, d, "documents"), "doc_id", _t(s, d, "embeddings"), "vec_id")]),
     "library_stats": _library,
     "work_queue": _queue,

@@ -14,8 +14,11 @@ def tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Bibliographic records: those without an id are dropped; title and year by fallbacks; lists stay JSON."""
-    record = "struct<title:string,titleInfo:struct<text:string>,creator:string,machineReadableDate:string,subjects:array<string>,status:string>"
+    """Bibliographic records: those without an id are dropped; title and year by fallbacks; lists stay JSON; records that were not found have their ids only."""
+    record = "struct<title:string,titleInfo:struct<text:string>,creator:string,machineReadableDate:string,subjects:array<string>,not_found:string>"
     rows = spark.read.schema(f"aacid string, metadata struct<oclc_number:string,type:string,record:{record}>").json(path).where("aacid is not null")
     r = F.col("metadata.record")
-    return rows.select("aacid", F.col("metadata.oclc_number").alias("oclc_number"), F.col("metadata.type").alias("record_type"), F.coalesce(r["title"], r["titleInfo"]["text"]).alias("title"), r["creator"].alias("creator"), F.substring(r["machineReadableDate"], 1, 4).try_cast("int").alias("date_year"), F.to_json(r["subjects"]).alias("subjects"))
+    lost = r["not_found"].isNotNull()
+    told = {"title": F.coalesce(r["title"], r["titleInfo"]["text"]), "creator": r["creator"], "date_year": F.substring(r["machineReadableDate"], 1, 4).try_cast("int"), "subjects": F.to_json(r["subjects"])}
+    kind = F.when(lost, "not_found").otherwise(F.col("metadata.type"))
+    return rows.select("aacid", F.col("metadata.oclc_number").alias("oclc_number"), kind.alias("record_type"), *(F.when(~lost, c).alias(n) for n, c in told.items()))

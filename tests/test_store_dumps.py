@@ -162,3 +162,49 @@ def test_ranges(spark):
 def test_chunks_in_the_jvm_equal_the_fold(spark, said):
     df = spark.createDataFrame([(said,)], "s array<string>")
     assert df.select(chunks.bounded_column(F.col("s"), 12).alias("c")).first().c == chunks.bounded(said, 12)
+
+
+def test_schemas_lists_and_grids(spark, tmp_path):
+    df = spark.createDataFrame([(1, "2", "x")], "a int, b string, c string")
+    assert rows(S.conformed(df, "b int, d string")) == [(2, None)]
+    lists = spark.createDataFrame([("l1", 1, "a"), ("l2", 1, "b")], "list_id string, pos int, name string")
+    S.written_lists(lists, str(tmp_path / "l"))
+    S.written_lists(lists.where("list_id = 'l2'").withColumn("name", F.lit("z")), str(tmp_path / "l"))
+    assert rows(spark.read.parquet(str(tmp_path / "l")), "list_id", "name") == [("l1", "a"), ("l2", "z")]
+    up = spark.createDataFrame([("o", "h1", "f")], "owner string, digest string, file string")
+    assert S.registered(up, spark.createDataFrame([("o", "h1", "g"), ("p", "h1", "g")], up.schema)).count() == 2
+    nodes = spark.createDataFrame([("Pdf", 2), ("Text", 1), ("Pdf", 3)], "type string, n int")
+    assert S.faceted(nodes, ["Text"]).count() == 1 and S.faceted(nodes, []).count() == 3
+    assert [r.n for r in S.grid(nodes, {"type": "pd"}, [("n", True)]).collect()] == [3, 2]
+
+
+def test_permutations(spark):
+    for seed in (0, 1, 123456789, 2**63):
+        p = chunks.permutation(50, seed)
+        assert sorted(p) == list(range(50)) and [p[i] for i in chunks.inverse(p)] == list(range(50))
+    assert chunks.permutation(50, 1) != chunks.permutation(50, 2) and chunks.permutation(1, 5) == [0]
+    df = spark.createDataFrame([(list("abcdef"), 42)], "x array<string>, s long").withColumn("y", chunks.shuffled_udf(F.col("x"), F.col("s")))
+    got = df.withColumn("z", chunks.shuffled_udf(F.col("y"), F.col("s"), True)).first()
+    assert got.z == got.x and sorted(got.y) == got.x
+    from docatlas.functions import text as T
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    fold = lambda t: ((t >> 32 ^ t & 0xFFFFFFFF) >> 16 ^ (t >> 32 ^ t) & 0xFFFF) & 0x3FFF
+    assert one(T.token_hash(F.lit(0x123456789ABCDEF))) == fold(0x123456789ABCDEF)
+    assert one(T.lemma_forms(F.lit("Went")))[:3] == ["Went", "go", "went"] and one(T.lemma_forms(F.lit("boxes")))[:4] == ["boxes", "boxe", "box"] + one(T.lemma_forms(F.lit("boxes")))[3:4]
+
+
+def test_word_streams(spark):
+    from docatlas.functions import dsl
+
+    one = lambda **k: [w.text for w in spark.range(1).select(dsl.word_stream(dsl.parsed(F.split(F.lit("hello.u <b> , world.e x"), " ")), **k).alias("x")).first().x]
+    assert one(kind="content") == ["hello", "world", "x"] and one(kind="tags") == ["<b>"] and one(start=3, size=99) == ["world", "x"] and one(flags=1) == ["hello"]
+
+
+def test_book_scan(spark):
+    from docatlas.plans import analysis
+
+    html = "<div class='chapter' id='ch2'><span id=\"page7\">The old Paris. It is 12 of</span><span id=\"pageix\">them"
+    got = analysis.scanned(spark.createDataFrame([(1, html)], "k int, html string"), "k").orderBy("ordinal").collect()
+    words = [(r.token, r.kind, r.sentence, r.page, r.chapter) for r in got if r.kind not in ("tag", "space", "punctuation")]
+    assert words == [("The", "stop", 0, 7, 2), ("old", "content", 0, 7, 2), ("Paris", "proper", 0, 7, 2), ("It", "stop", 1, 7, 2), ("is", "stop", 1, 7, 2), ("12", "number", 1, 7, 2), ("of", "stop", 1, 7, 2), ("them", "content", 1, -9, 2)]
