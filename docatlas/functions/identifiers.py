@@ -71,3 +71,15 @@ def is_viewable(volume: Column) -> Column:
 def page_url(base: str, volume: Column, page: Column) -> Column:
     """base?id=...&seq=page; null for volumes that no viewer shows."""
     return F.when(is_viewable(volume), F.concat(F.lit(base + "?id="), F.replace(F.url_encode(volume), F.lit("+"), F.lit("%20")), F.lit("&seq="), page.cast("string")))
+
+
+def identifier(file_name: Column, kind: Column) -> Column:
+    """(id, kind, md5) of a file by the kind its collection is known for: aacid, htid and ia_id are names without extension; all else is a digest.
+
+    A file of an aacid collection that is not named so is known by its digest. Without a digest the id is null.
+    """
+    name = F.regexp_extract(file_name, r"([^/\\]*)$", 1)
+    bare, digest = F.regexp_replace(name, r"\.[^.]*$", ""), md5_in(name)
+    said = F.when((F.lower(kind) == "aacid") & F.startswith(F.lower(name), F.lit("aacid__")), "aacid").when(F.lower(kind).isin("htid", "ia_id"), F.lower(kind)).otherwise("md5")
+    by_digest = said == "md5"
+    return F.struct(F.when(by_digest, digest).otherwise(bare).alias("id"), said.alias("kind"), F.when(by_digest, digest).alias("md5"))

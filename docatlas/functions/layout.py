@@ -60,3 +60,32 @@ def sentences(tokens: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
     rows = seen.select("page", "no", F.concat(F.when(apart, " ").otherwise(""), "text").alias("said"), F.when(ends, 1).otherwise(0).alias("end"))
     rows = rows.withColumn("sentence", F.coalesce(F.sum("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.groupBy("page", "sentence").agg(F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "said"))), lambda t: t["said"]), "")).alias("text"))
+
+
+def read_order(fragments: DataFrame) -> DataFrame:
+    """Fragments (page, no, text, x, y, width, height) with their place in reading order, and whether a line begins or a blank stands before them.
+
+    Fragments at most 2.5 below the one above are level with it and go from left to right. A line begins where the height on the
+    page changes by more than 0.3 of the fragment's own, a blank stands where a gap exceeds 0.15 of it.
+    """
+    down, across = Window.partitionBy("page").orderBy("y", "x", "no"), Window.partitionBy("page").orderBy("band", "x", "no")
+    band = F.when(F.col("y") - F.lag("y").over(down) > 2.5, 1).otherwise(0)
+    rows = fragments.withColumn("step", band).withColumn("band", F.sum("step").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("step")
+    line = F.coalesce(F.abs(F.col("y") - F.lag("y").over(across)) > 0.3 * F.col("height"), F.lit(True))
+    gap = F.col("x") - (F.lag("x").over(across) + F.lag("width").over(across))
+    blank = ~line & (gap > 0.15 * F.col("height")) & ~F.endswith(F.lag("text").over(across), F.lit(" "))
+    return rows.select("page", "no", "text", F.row_number().over(across).alias("place"), line.alias("line"), F.coalesce(blank, F.lit(False)).alias("blank"))
+
+
+def page_texts(ordered: DataFrame) -> DataFrame:
+    """(page, text) of what read_order gives."""
+    said = F.concat(F.when(F.col("blank"), " ").otherwise(""), "text")
+    return ordered.groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", said.alias("said")))), lambda t: t["said"]), "").alias("text"))
+
+
+def richer(text: Column, other: Column) -> Column:
+    """The other extraction of a text if it has more words, else the text."""
+    from . import text as T
+
+    words = lambda c: F.coalesce(T.word_count(c), F.lit(0))
+    return F.when(words(other) > words(text), other).otherwise(text)

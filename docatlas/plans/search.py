@@ -191,6 +191,36 @@ def merged(tiers: dict[int, DataFrame]) -> DataFrame:
     return top.withColumn("final_rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
 
 
+#: What the grammar tier looks for: kind, pattern, confidence.
+GRAMMAR = (("mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+", 0.9), ("day", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0.8), ("year", r"(?:19|20)[0-9]{2}", 0.5))
+
+
+def grammar_tier(docs: DataFrame, rules: tuple[tuple[str, str, float], ...] = GRAMMAR) -> DataFrame:
+    """(doc_id, rank, kind, position, confidence, snippet): of each document its most confident match, the first one of those, by code points from 1."""
+    found = F.array(*(F.struct(F.lit(c).alias("confidence"), F.lit(k).alias("kind"), F.regexp_extract("text", p, 0).alias("snippet")) for k, p, c in rules))
+    best = docs.select("doc_id", "text", F.get(F.filter(F.sort_array(found, asc=False), lambda x: x["snippet"] != ""), F.lit(0)).alias("m")).where("m is not null")
+    rows = best.select("doc_id", F.col("m.kind").alias("kind"), F.instr("text", F.col("m.snippet")).alias("position"), F.col("m.confidence").alias("confidence"), F.col("m.snippet").alias("snippet"))
+    order = [F.desc("confidence"), F.asc("position"), F.asc("doc_id")]
+    return rows.orderBy(*order).limit(CAPS["text"]).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def relationships(nodes: list[int], vectors: DataFrame, k: int = 10, most: int = 200) -> DataFrame:
+    """(source, target, similarity, rank): the k vectors most like that of each node on display, by cosine, the node itself aside.
+
+    Nodes are a page of results, `most` at most; all vectors are compared with them in one pass, and only k of each task are shuffled.
+    Null and zero vectors have no links; of a node's repeated vectors the greatest asks, a repeated target is linked row by row.
+    """
+    if len(set(nodes)) > most:
+        raise ValueError(f"links are for at most {most} nodes at once")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    unit = vectors.where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("size", F.sqrt(dot(F.col("v"), F.col("v")))).where("size > 0 and size < double('Infinity')")
+    one = unit.where(F.col("vec_id").isin(list(set(nodes)))).groupBy("vec_id").agg(F.max("v").alias("u"))
+    asked = F.broadcast(one.select(F.col("vec_id").alias("source"), "u", F.sqrt(dot(F.col("u"), F.col("u"))).alias("usize")))
+    pairs = unit.join(asked, F.col("vec_id") != F.col("source")).select("source", F.col("vec_id").alias("target"), F.round(dot(F.col("u"), F.col("v")) / (F.col("size") * F.col("usize")), 6).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("similarity"), "target"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def page(ranked: DataFrame, skip: int, take: int, ahead: int = 0) -> DataFrame:
     """Rows of one page by final_rank, with rows ahead for the next one marked, and how many there are in all."""
     total = ranked.agg(F.count("*").alias("total"))

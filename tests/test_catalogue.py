@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from docatlas.plans import analysis, catalogue, language, search, texts
+from docatlas.plans import analysis, catalogue, language, records, search, texts
 
 DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = catalogue.queries() | texts.QUERIES | search.QUERIES | analysis.QUERIES | language.QUERIES, catalogue.oracle_sql() | texts.ORACLES | search.ORACLES | analysis.ORACLES | language.ORACLES
+QUERIES, ORACLES = catalogue.queries() | texts.QUERIES | search.QUERIES | analysis.QUERIES | language.QUERIES | records.QUERIES, catalogue.oracle_sql() | texts.ORACLES | search.ORACLES | analysis.ORACLES | language.ORACLES | records.ORACLES
 
 
 @pytest.fixture(scope="module")
