@@ -91,12 +91,18 @@ class Scratch:
     def __exit__(self, *_) -> None:
         deleted(self.spark, self.paths)
 
-    def written(self, df: DataFrame, tag: str) -> DataFrame:
+    def written(self, df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
         path = fresh_path(self.spark, tag)
         self.paths.append(path)
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def dropped(self, tag: str) -> None:
+        """Deletes the tables of a tag before the block ends."""
+        gone = [p for p in self.paths if p.rsplit("/", 1)[-1].startswith(f"{tag}-")]
+        deleted(self.spark, gone)
+        self.paths = [p for p in self.paths if p not in gone]
+
 
 def free(name: str, columns: list[str]) -> str:
     """name, or with underscores put before it one that no column has."""

@@ -1,6 +1,6 @@
 """Ranked lexical search by three phases over term-partitioned postings, each list in order of impact.
 
-The heads of an item's lists give a lower bound of its k-th score. No document can be among the best whose postings all lie
+The heads of an item's lists tell documents whose scores give a lower bound of its k-th. No document can be among the best whose postings all lie
 below an equal share of that bound, so each list is read down to there; sums of what was read bound the scores from below and
 above, and the documents that can still be among the best are looked up in all lists.
 """
@@ -18,6 +18,8 @@ from . import common
 
 #: Results of an item, postings of a list's head, rows up to which a table of the items' side is broadcast, terms looked for in one pass over the documents.
 BEST, HEAD, SMALL, VOCABULARY = 10, 100, 200_000, 400_000
+#: Documents, as a multiple of the results, whose whole scores give the lower bound: those of the largest sums over the heads.
+TRIED = 10
 #: Parts over which a row of a larger table of the items' side is dealt out.
 SALT = 16
 #: Every byte as it counts: A-Z in lower case, what belongs to no term a blank.
@@ -76,13 +78,15 @@ def index(docs: DataFrame, q: DataFrame, scratch: common.Scratch) -> tuple[DataF
     raw = None
     for i in range(passes):
         some = known.where(F.pmod("term", F.lit(passes)) == i).collect()  # VOCABULARY words or so
-        part = scratch.written(postings(texts, {r.word.encode(): r.term for r in some}, i == 0), "ranked-raw")
+        part = scratch.written(postings(texts, {r.word.encode(): r.term for r in some}, i == 0), "ranked-raw", "zstd")
         raw = part if raw is None else raw.union(part)
     n, length = raw.where("term is null").agg(F.sum("tf"), F.sum("n")).first()
     m = F.lit(25) + F.expr(f"(75 * n * {n or 0}) div {length or 1}")
     rows = raw.where("term is not null").withColumn("m", m).selectExpr("term", "uid", "doc_id", "(1000000000 * tf) div (1000 * tf + 8 * m) as impact")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return scratch.written(rows.repartitionByRange(parts, "term", "impact", "uid").sortWithinPartitions("term", F.desc("impact")), "ranked-index"), int(n or 0)
+    lists = scratch.written(rows.repartitionByRange(parts, "term", "impact", "uid").sortWithinPartitions("term", F.desc("impact")), "ranked-index", "zstd")
+    scratch.dropped("ranked-raw")
+    return lists, int(n or 0)
 
 
 def _beside(big: DataFrame, small: DataFrame, on: list[str], rows: int) -> DataFrame:
@@ -99,6 +103,14 @@ def _kth(sums: DataFrame, k: int, name: str) -> DataFrame:
     return top.groupBy("item_id").agg(F.max(F.when(F.col("r") == k, F.col("low")).otherwise(0)).alias(name))
 
 
+def _scores(lists: DataFrame, q: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
+    """pairs (item_id, uid) to (item_id, uid, doc_id, score), looked up in all lists of the item. rows: those of q."""
+    some = pairs.count()
+    small = lambda t, n: F.broadcast(t) if n <= SMALL else t.hint("shuffle_hash")
+    rest = lists.join(small(pairs, some), "uid")
+    return rest.join(small(q, rows), ["item_id", "term"]).groupBy("item_id", "uid", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+
+
 def search(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
     """docs (doc_id, text) and items (item_id, text) to (item_id, rank, doc_id, score), the k best documents of each item.
 
@@ -119,7 +131,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
 
         heads = lists.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "uid"))).where(F.col("r") <= max(k, HEAD))
         first = _beside(heads, q, ["term"], rows).groupBy("item_id", "uid").agg(F.sum(gain).alias("low"))
-        bounds = scratch.written(q.select("item_id", "lists").distinct().join(_kth(first, k, "floor"), "item_id").selectExpr("item_id", "floor div lists as cut"), "ranked-floors")
+        tried = first.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("low"), "uid"))).where(F.col("r") <= TRIED * k)
+        tried = scratch.written(_scores(lists, q, scratch.written(tried.select("item_id", "uid"), "ranked-tried"), rows), "ranked-bounds").withColumnRenamed("score", "low")
+        bounds = scratch.written(q.select("item_id", "lists").distinct().join(_kth(tried, k, "floor"), "item_id", "left").selectExpr("item_id", "coalesce(floor, 0) div lists as cut"), "ranked-floors")
         cuts = scratch.written(q.join(bounds, "item_id").withColumn("least", F.ceil(F.col("cut") / F.greatest(F.col("w"), F.lit(1))) - 1), "ranked-cuts")
 
         # A list is read down to its lowest cut of any item before its items are joined.
@@ -127,14 +141,11 @@ def search(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
         read = _beside(lists, lowest, ["term"], rows).where("impact >= lowest").drop("lowest")
         read = _beside(read, cuts, ["term"], rows).where((F.col("w") * F.col("impact") >= F.col("cut")) & (F.col("w") * F.col("impact") > 0))
         sums = scratch.written(read.groupBy("item_id", "uid").agg(F.sum(gain).alias("low"), (F.first("cut") * (F.first("lists") - F.count("*"))).alias("more")), "ranked-sums")
-        second = _kth(sums, k, "floor")
+        known = sums.select("item_id", "uid", "low").unionByName(tried.select("item_id", "uid", "low")).groupBy("item_id", "uid").agg(F.max("low").alias("low"))
+        second = _kth(known, k, "floor")
         open_ = scratch.written(sums.join(second, "item_id").where("low + more >= floor").select("item_id", "uid"), "ranked-open")
 
-        some = open_.count()
-        who = open_.select("uid").distinct()
-        rest = lists.join(F.broadcast(who) if some <= SMALL else who.hint("shuffle_hash"), "uid", "left_semi")
-        rest = rest.join(F.broadcast(open_) if some <= SMALL else open_.hint("shuffle_hash"), "uid")
-        exact = rest.join(F.broadcast(q) if rows <= SMALL else q.hint("shuffle_hash"), ["item_id", "term"]).groupBy("item_id", "uid", "doc_id").agg(F.sum(gain).alias("score"))
+        exact = _scores(lists, q, open_, rows)
         rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "uid"))
         best = exact.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k)
         return common.written(best.select("item_id", "rank", "doc_id", "score"), "ranked-best")
