@@ -20,14 +20,15 @@ NAME_PATTERNS = (
 TERM_PATTERN = r"\b([A-Z=][a-z=]{2,15}\s+[A-Z=][a-z=]{2,20})\b"
 # Words with which no name begins.
 NO_FIRST_WORDS = (
-    "sent hello dear hey the this that your our my from date subject reply forward original attachment please thanks thank best kind warm good look flight stem med image file case help earth "
-    "click view open read copy save print delete monday tuesday wednesday thursday friday saturday sunday san new south north east west los santa palm"
-).split()
+    "sent", "hello", "dear", "hey", "the", "this", "that", "your", "our", "my", "from", "date", "subject", "reply", "forward", "original", "attachment", "please", "thanks",
+    "thank", "best", "kind", "warm", "good", "look", "flight", "stem", "med", "image", "file", "case", "help", "earth", "click", "view", "open", "read", "copy", "save", "print",
+    "delete", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "san", "new", "south", "north", "east", "west", "los", "santa", "palm",
+)
 # Pairs of capitalised words that are no terms.
 COMMON_PHRASES = (
     "sent from", "original message", "court order", "court document", "new york", "los angeles", "san francisco", "santa monica", "palm beach", "united states", "south florida",
     "southern district", "northern district", "dear sir", "dear madam", "good morning", "good afternoon", "good evening", "best regards", "kind regards", "warm regards", "many thanks",
-    "please note", "for immediate", "private communication", "all rights", "rights reserved", "jeffrey epstein", "east street", "west street", "north street", "south street",
+    "please note", "for immediate", "private communication", "all rights", "rights reserved", "east street", "west street", "north street", "south street",
     "monday morning", "tuesday morning", "wednesday morning", "thursday morning", "friday morning", "saturday morning", "sunday morning", "january february", "february march",
     "unauthorized use", "your email", "this email", "this message", "earth link", "flash player", "internet explorer", "microsoft office", "google chrome", "apple inc", "subject line",
     "read receipt", "return receipt", "thank you", "look forward", "property list", "attachment name", "cell number", "phone number", "office number", "image format", "file size",
@@ -59,18 +60,24 @@ def unglued(text: Column) -> Column:
     return F.regexp_replace(text, "|".join(seams), " ")
 
 
+# Header and day words that a name does not end with.
+CLOSING_WORDS = ("sent", "from", "to", "cc", "subject", "date", "re", "fwd", "mon", "tue", "wed", "thu", "fri", "sat", "sun")
+# Signs at the edges of what was found that belong to no name, and signs that no name holds.
+_EDGE, _NEVER = r"[\s\d<>\[\]@.,;:!?\-_/\\()]", r"\s\d@#$%^&*(){}|<>"
+
+
 def cleaned_name(name: Column) -> Column:
-    edge = r"[\d<>\[\]@.,;:!?\-_/\\()]+"
-    s = F.trim(F.regexp_replace(F.regexp_replace(name, r"[\r\n]", " "), edge + "$", ""))
-    s = F.replace(F.trim(F.regexp_replace(s, "^" + edge, "")), F.lit("="), F.lit(""))
-    s = F.trim(F.regexp_replace(s, r"\s{2,}", " "))
-    return F.trim(F.regexp_replace(s, r"(?i)\s+(Sent|From|To|Cc|Subject|Date|Re|Fwd|Mon|Tue|Wed|Thu|Fri|Sat|Sun)$", ""))
+    """The words of a name without stray =, without signs at its edges and without one closing word."""
+    bare = F.regexp_replace(name, f"^{_EDGE}+|{_EDGE}+$", "")
+    words = F.filter(F.split(F.replace(bare, F.lit("=")), r"\s+"), lambda w: w != "")
+    closes = (F.size(words) > 1) & F.lower(F.try_element_at(words, F.lit(-1))).isin(*CLOSING_WORDS)
+    return F.array_join(F.when(closes, F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words), " ")
 
 
 def is_name(name: Column) -> Column:
-    parts = F.filter(F.split(name, " "), lambda p: p != "")
-    shaped = (F.length(name) >= 4) & ~name.rlike(r"[\d@#$%^&*(){}|<>\n\r]") & (F.size(parts) >= 2)
-    return shaped & (F.length(F.get(parts, F.lit(0))) >= 2) & (F.length(F.element_at(parts, -1)) >= 2) & ~F.lower(F.get(parts, F.lit(0))).isin(*NO_FIRST_WORDS)
+    """Two words or more, the first and the last of two letters at least, without digits and signs, that do not begin as no name does."""
+    shape = f"^[^{_NEVER}]{{2,}}(?: [^{_NEVER}]+)* [^{_NEVER}]{{2,}}$"
+    return name.rlike(shape) & ~F.lower(F.substring_index(name, " ", 1)).isin(*NO_FIRST_WORDS)
 
 
 def _once(names: Column) -> Column:
@@ -89,10 +96,10 @@ def people(text: Column, head: int = 8000) -> Column:
     return _once(_found(F.substring(text, 1, head), NAME_PATTERNS))
 
 
-def terms(text: Column, names: Column, head: int = 8000) -> Column:
-    """Pairs of capitalised words that are neither names (as people() gives them) nor common phrases."""
+def terms(text: Column, names: Column, head: int = 8000, phrases: tuple[str, ...] = COMMON_PHRASES) -> Column:
+    """Pairs of capitalised words that are neither names (as people() gives them) nor common phrases, to which a caller may add those of a collection."""
     lowered = F.transform(names, lambda n: F.lower(n))
-    free = F.filter(_found(F.substring(text, 1, head), (TERM_PATTERN,)), lambda t: ~F.lower(t).isin(*COMMON_PHRASES) & ~F.array_contains(lowered, F.lower(t)))
+    free = F.filter(_found(F.substring(text, 1, head), (TERM_PATTERN,)), lambda t: ~F.lower(t).isin(*phrases) & ~F.array_contains(lowered, F.lower(t)))
     return _once(free)
 
 

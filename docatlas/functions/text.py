@@ -62,30 +62,41 @@ def title(text: Column, file_name: Column) -> Column:
     return F.when(found.isNull(), file_name).otherwise(F.concat(found, F.lit(" - "), file_name))
 
 
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
 def deduced_date(text: Column) -> Column:
-    """The first date that a cascade of forms finds in the first 4000 characters; a bare year is its first day; else null."""
+    """The first date that a cascade of forms finds in the first 4000 characters, else null.
+
+    In order: a full month name before its day; a day before a month's name, full or of three letters; such a name before
+    its day; month/day/year; year-month-day; two numbers and a year with up to five signs between, turned round if the
+    first can be no month (a year below 100 is of this century up to 30); a bare year, as its first day. Only the first
+    place of each form counts; if no day of the calendar stands there, the next form is tried.
+    """
     head = F.substring(text, 1, 4000)
-    month = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
-
-    def of(day: Column, name: Column, year: Column) -> Column:
-        return F.to_date(F.try_to_timestamp(F.when(year != "", F.concat_ws(" ", F.lpad(day, 2, "0"), F.initcap(F.substring(name, 1, 3)), year)), F.lit("dd MMM yyyy")))
-
-    def parts(pattern: str, *order: int) -> list[Column]:
-        return [F.regexp_extract(head, pattern, i) for i in order]
-
-    first, second = rf"(?i)\b({month})\s+([0-9]{{1,2}}),?\s+((?:19|20)[0-9]{{2}})\b", rf"(?i)\b([0-9]{{1,2}})\s+({month})\s+((?:19|20)[0-9]{{2}})\b"
-    a, b, y = parts(r"\b([0-9]{1,2})[/-]([0-9]{1,2})[/-]((?:19|20)[0-9]{2})\b", 1, 2, 3)
-    swap = (b.try_cast("int") > 12) & (a.try_cast("int") <= 12)
-    day, mon = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-    slashed = F.to_date(F.try_to_timestamp(F.when(y != "", F.concat_ws("-", y, F.lpad(mon, 2, "0"), F.lpad(day, 2, "0"))), F.lit("yyyy-MM-dd")))
-    iso = F.regexp_extract(head, r"\b((?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})\b", 1)
-    u, v, w = parts(r"\b([0-9]{1,2})[^0-9A-Za-z]{1,5}([0-9]{1,2})[^0-9A-Za-z]{1,5}([0-9]{4}|[0-9]{2})\b", 1, 2, 3)
-    turn = (u.try_cast("int") > 12) & (v.try_cast("int") <= 12)
-    century = F.when(F.length(w) == 4, w).when(w.try_cast("int") > 30, F.concat(F.lit("19"), w)).otherwise(F.concat(F.lit("20"), w))
-    scrappy = F.to_date(F.try_to_timestamp(F.when(w != "", F.concat_ws("-", century, F.lpad(F.when(turn, v).otherwise(u), 2, "0"), F.lpad(F.when(turn, u).otherwise(v), 2, "0"))), F.lit("yyyy-MM-dd")))
-    year = F.regexp_extract(head, r"\b((?:19|20)[0-9]{2})\b", 1)
-    m1, m2 = parts(first, 2, 1, 3), parts(second, 1, 2, 3)
-    return F.coalesce(of(*m1), of(*m2), slashed, F.to_date(F.try_to_timestamp(F.when(iso != "", iso), F.lit("yyyy-MM-dd"))), scrappy, F.when(year != "", F.to_date(F.concat(year, F.lit("-01-01")))))
+
+    def found(pattern: str) -> list[Column]:
+        return [F.nullif(F.regexp_extract(head, pattern, i), F.lit("")) for i in (1, 2, 3)]
+
+    def day(year: Column, month: Column, of: Column) -> Column:
+        return F.to_date(F.try_to_timestamp(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(of.cast("string"), 2, "0")), F.lit("yyyy-MM-dd")))
+
+    def month(name: Column) -> Column:
+        low = F.lower(name)
+        return F.coalesce(*(F.when(low.isin(m.lower(), m[:3].lower()), F.lit(i)) for i, m in enumerate(_MONTHS, 1)))
+
+    whole, short = "|".join(_MONTHS), "|".join(m[:3] for m in _MONTHS)
+    m1, d1, y1 = found(rf"(?i)\b({whole})\s+([0-9]{{1,2}}),?\s+([0-9]{{4}})\b")
+    d2, m2, y2 = found(rf"(?i)\b([0-9]{{1,2}})\s+((?:{short})\w*)\s+([0-9]{{4}})\b")
+    m3, d3, y3 = found(rf"(?i)\b((?:{short})\w*)\s+([0-9]{{1,2}}),?\s+([0-9]{{4}})\b")
+    m4, d4, y4 = found(r"\b([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})\b")
+    y5, m5, d5 = found(r"\b([0-9]{4})-([0-9]{2})-([0-9]{2})\b")
+    u, v, w = (c.try_cast("int") for c in found(r"\b([0-9]{1,2})[^\w]{1,5}([0-9]{1,2})[^\w]{1,5}([0-9]{2,4})\b"))
+    turn = (u > 12) & (v <= 12)
+    year = F.when(w >= 100, w).when(w > 30, w + 1900).otherwise(w + 2000)
+    scrappy = day(year, F.when(turn, v).otherwise(u), F.when(turn, u).otherwise(v))
+    bare = F.nullif(F.regexp_extract(head, r"\b((?:19|20)[0-9]{2})\b", 1), F.lit(""))
+    return F.coalesce(day(y1, month(m1), d1), day(y2, month(m2), d2), day(y3, month(m3), d3), day(y4, m4, d4), day(y5, m5, d5), scrappy, day(bare, F.lit(1), F.lit(1)))
 
 
 def query_hash(query: Column, exact: bool, names_only: bool, datasets: list[str], names: list[str], advanced: str = "") -> Column:

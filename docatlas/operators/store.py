@@ -69,17 +69,6 @@ def metadata_files(docs: DataFrame) -> DataFrame:
     return docs.select(name.alias("file"), "doc_id", F.to_json(F.struct("doc_id", "file_name", "title", "names", "terms", "dataset", "deduced", "page_count")).alias("body")).groupBy("file").agg(F.max_by("body", "doc_id").alias("body"))
 
 
-def inverted_index(chunks: DataFrame) -> DataFrame:
-    """(doc_id, ordinal, words) to postings (word, doc_id, ordinal, hits): what a look-up reads instead of texts. Write it partitioned or bucketed by word."""
-    return chunks.select("doc_id", "ordinal", F.explode("words").alias("word")).where("word <> ''").groupBy("word", "doc_id", "ordinal").agg(F.count("*").alias("hits"))
-
-
-def posted(index: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, n_chunks, hits) of the documents with chunks that hold all words, from an index; the filter on words reaches the scan."""
-    found = index.where(F.col("word").isin(words)).groupBy("doc_id", "ordinal").agg(F.count("*").alias("n"), F.sum("hits").alias("hits")).where(F.col("n") == len(set(words)))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("hits").alias("hits"))
-
-
 def exported(saved: DataFrame, list_id: str) -> DataFrame:
     """The lines of one saved list as CSV, in its order, quotes doubled."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))

@@ -73,7 +73,7 @@ QUERIES = {
     "valid_notes": _notes,
     "semantic_distance": _distances,
     "sense_usage": lambda s, d: lexicon.usage(_t(s, d, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 10).alias("ordinal"), F.col("event_type").alias("sense_id"), F.col("event_id").alias("at"))),
-    "postings_search": lambda s, d: store.posted(store.inverted_index(search.chunks(search.documents(s, d))), ["of", "the"]),
+    "postings_search": lambda s, d: search.Stored(s, d).words.counted(["of", "the"]).select("doc_id", "n_chunks", F.col("hits").cast("int").alias("hits")),
     "code_round_trip": lambda s, d: _t(s, d, "benchmark").select("item_id", dsl.rendered(F.transform(dsl.parsed(F.split("text", " ")), lambda w: F.get(dsl.parsed(F.array(dsl.compiled(w))), F.lit(0)))).alias("text")),
     "numbered_breaks": lambda s, d: _t(s, d, "documents").select("doc_id", prose.sentence_breaks(prose.numbered(F.split("text", "\n"))).alias("shown")),
     "model_heads": lambda s, d: _t(s, d, "documents").select("doc_id", F.length(prose.for_model(F.col("text"))).cast("long").alias("n")),

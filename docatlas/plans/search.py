@@ -1,7 +1,8 @@
 """Search over documents and their chunks: filters that compose, five metadata fields, chunk-level full text, fused tiers, pages.
 
 Everything is a plan over DataFrames; a query is a small Python value. A chunk is a line of a document; its words are
-runs of letters in lower case. Recency is the document's id.
+runs of letters in lower case. Recency is the document's id. Words are looked up in a stored inverted index, substrings
+through stored trigrams, fields in a stored table of metadata; each is built once for a state of the documents.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docatlas.functions import text as T
+from docatlas.indexes import home, inverted, trigrams
 
 # How many rows each tier and the merged result keep, and the constant of reciprocal ranks.
 CAPS = {"filename": 2000, "field": 1000, "text": 5000, "vector": 2000, "merged": 50_000}
@@ -99,40 +101,68 @@ def chunks(docs: DataFrame) -> DataFrame:
     return lines.withColumn("words", F.split(F.lower("chunk"), r"[^\p{L}]+"))
 
 
-def matched(parts: DataFrame, words: list[str]) -> DataFrame:
-    """Chunks that hold all words, with how often they hold any of them."""
-    if not words:
-        return parts.where("false").withColumn("hits", F.lit(0))
-    wanted = F.array(*map(F.lit, words))
-    return parts.where(F.size(F.array_intersect(wanted, F.array_distinct("words"))) == len(words)).withColumn("hits", F.size(F.filter("words", lambda w: w.isin(*words))))
+@dataclass(frozen=True)
+class Stored:
+    """What searches read: metadata of documents (with the head of their text), words of chunks, trigrams of texts."""
 
+    spark: SparkSession
+    source: str
 
-def best_chunks(parts: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, n_chunks, hits, best): of each document its matching chunks, the most hits of one, and the first such chunk."""
-    m = matched(parts, words)
-    first = F.max_by(F.col("chunk"), F.struct("hits", -F.col("ordinal")))
-    return m.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("hits").alias("hits"), first.alias("best"))
+    @property
+    def documents(self) -> DataFrame:
+        def build(path: str) -> None:
+            documents(self.spark, self.source).select("*", F.substring("text", 1, 500).alias("head")).drop("text").write.parquet(path)
 
+        return self.spark.read.parquet(home.once(self.spark, "metadata", f"{self.source}/documents.parquet", build))
 
-def in_metadata(docs: DataFrame, needle: str) -> DataFrame:
-    said = F.concat_ws(" ", F.lower("title"), F.lower(F.array_join("names", " ")), F.lower(F.array_join("terms", " ")), F.lower("file_name"))
-    return docs.where(F.contains(said, F.lit(needle.lower())))
+    @property
+    def words(self) -> inverted.Index:
+        return inverted.Index(self.spark, home.once(self.spark, "words", f"{self.source}/documents.parquet", lambda path: inverted.build(chunks(documents(self.spark, self.source)), path)))
+
+    @property
+    def texts(self) -> trigrams.Trigrams:
+        def build(path: str) -> None:
+            trigrams.build(documents(self.spark, self.source).select(F.col("doc_id").alias("id"), F.col("text").alias("value")), path)
 
+        return trigrams.Trigrams(self.spark, home.once(self.spark, "texts", f"{self.source}/documents.parquet", build))
 
-def text_search(docs: DataFrame, q: Query, limit: int = 1000, metadata: str | None = None) -> DataFrame:
-    """(doc_id, score, snippet): best hits of chunks and, at 0.5, documents whose metadata hold the text; the larger counts."""
-    kept = docs.where(q.filters.condition())
-    text = best_chunks(chunks(kept), q.words).select("doc_id", F.col("hits").cast("double").alias("score"), "best")
-    meta = in_metadata(kept, metadata or q.text).select("doc_id", F.lit(0.5).alias("score"), F.lit(None).cast("string").alias("best"))
-    top = text.unionAll(meta).groupBy("doc_id").agg(F.max("score").alias("score"), F.max("best").alias("best"))
-    top = top.orderBy(F.desc("score"), "doc_id").limit(limit)
-    return top.join(kept.select("doc_id", "text"), "doc_id").select("doc_id", "score", F.substring(F.coalesce(F.nullif("best", F.lit("")), "text"), 1, 500).alias("snippet"))
 
+def kept(stored: Stored, rows: DataFrame, filters: Filters) -> DataFrame:
+    """Rows (doc_id, ...) of the documents that the filters keep; metadata are read only if a filter asks for any, and of them what it asks for."""
+    needs = filters.needs()
+    return rows.join(stored.documents.where(filters.condition()).select("doc_id"), "doc_id", "left_semi") if needs else rows
 
-def exact_search(docs: DataFrame, q: Query, metadata: str | None = None) -> DataFrame:
+
+def in_metadata(docs: DataFrame, needle: str) -> DataFrame:
+    """Documents of which a field holds the needle, whatever its case: title, names (as JSON), file name or dataset; % and _ in it stand for any characters."""
+    fields = (F.col("title"), F.to_json("names"), F.col("file_name"), F.col("dataset"))
+    hit = F.lit(False)
+    for f in fields:
+        hit |= F.coalesce(f.ilike(f"%{needle}%"), F.lit(False))
+    return docs.where(hit)
+
+
+def text_search(stored: Stored, q: Query, limit: int = 1000, metadata: str | None = None) -> DataFrame:
+    """(doc_id, score, snippet): best score of the chunks that hold all words, or 0 for one that holds the text as it stands; 0.5 for a document whose metadata hold it. The largest counts."""
+    words, docs = stored.words, stored.documents.where(q.filters.condition())
+    scored = words.scores(q.words, words.weights(q.words))
+    as_it_stands = stored.texts.candidates(q.text)
+    rows = words.table("chunks")
+    rows = rows if as_it_stands is None else rows.join(as_it_stands.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    like = rows.where(F.col("chunk").ilike(f"%{q.text}%")).select("part", "doc_id", "ordinal", F.lit(0.0).alias("score"))
+    text = kept(stored, scored.unionByName(like), q.filters).groupBy("part", "doc_id").agg(F.max(F.struct("score", -F.col("ordinal"))).alias("b"))
+    text = text.select("part", "doc_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("ordinal"))
+    meta = in_metadata(docs, metadata or q.text).select(F.lit(None).cast("int").alias("part"), "doc_id", F.lit(0.5).alias("score"), F.lit(None).cast("int").alias("ordinal"))
+    top = text.unionAll(meta).groupBy("doc_id").agg(F.max("part").alias("part"), F.max("score").alias("score"), F.max("ordinal").alias("ordinal"))
+    top = words.with_text(top.orderBy(F.desc("score"), "doc_id").limit(limit))
+    return top.join(docs.select("doc_id", "head"), "doc_id").select("doc_id", "score", F.coalesce(F.nullif("snippet", F.lit("")), "head").alias("snippet"))
+
+
+def exact_search(stored: Stored, q: Query, metadata: str | None = None) -> DataFrame:
     """(doc_id): text or metadata hold the query as it stands, whatever its case; most recent first when paged."""
-    kept = docs.where(q.filters.condition())
-    return kept.where(F.contains(F.lower("text"), F.lit(q.text.lower()))).select("doc_id").union(in_metadata(kept, metadata or q.text).select("doc_id")).distinct()
+    text = stored.texts.containing(q.text).select(F.col("id").alias("doc_id"))
+    meta = in_metadata(stored.documents.where(q.filters.condition()), metadata or q.text).select("doc_id")
+    return kept(stored, text, q.filters).union(meta).distinct()
 
 
 def recent(docs: DataFrame, limit: int) -> DataFrame:
@@ -145,24 +175,18 @@ def recent(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def fields_tier(docs: DataFrame, needle: str) -> DataFrame:
-    """(doc_id, rank): documents whose fields hold the needle, at most CAPS['field'] a field by recency; ranks run on from field to field."""
-    parts = []
-    for i, name in enumerate(FIELDS):
-        value = F.array_join(name, " ") if name in ("names", "terms") else F.col(name)
-        hit = docs.where(F.contains(F.lower(value), F.lit(needle.lower()))).select(F.lit(i).alias("field_no"), "doc_id")
-        parts.append(hit.orderBy(F.desc("doc_id")).limit(CAPS["field"]))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionAll(p)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy("field_no", F.desc("doc_id"))))  # 5,000 rows at most
+    """(doc_id, rank): documents whose fields hold the needle, at most CAPS['field'] a field by recency; ranks run on from field to field. Documents are read once."""
+    value = lambda name: F.array_join(name, " ") if name in ("names", "terms") else F.col(name)
+    hits = F.array(*(F.when(F.contains(F.lower(value(name)), F.lit(needle.lower())), F.lit(i)) for i, name in enumerate(FIELDS)))
+    rows = docs.select("doc_id", F.explode(F.array_compact(hits)).alias("field_no"))
+    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("field_no").orderBy(F.desc("doc_id")))).where(F.col("r") <= CAPS["field"])
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy("field_no", F.desc("doc_id"))))  # 5,000 rows at most
     return ranked.groupBy("doc_id").agg(F.min("rank").alias("rank"))
 
 
-def text_tier(docs: DataFrame, words: list[str]) -> DataFrame:
+def text_tier(stored: Stored, words: list[str]) -> DataFrame:
     """(doc_id, rank, n_chunks, snippet): documents by the number of their matching chunks."""
-    top = best_chunks(chunks(docs), words).orderBy(F.desc("n_chunks"), "doc_id").limit(CAPS["text"])
-    ranked = F.row_number().over(Window.orderBy(F.desc("n_chunks"), "doc_id"))
-    return top.select("doc_id", ranked.alias("rank"), "n_chunks", F.substring("best", 1, 500).alias("snippet"))
+    return stored.words.tier(words, CAPS["text"])
 
 
 def vector_tier(vectors: DataFrame, seed: int) -> DataFrame:
@@ -222,36 +246,47 @@ def relationships(nodes: list[int], vectors: DataFrame, k: int = 10, most: int =
 
 
 def page(ranked: DataFrame, skip: int, take: int, ahead: int = 0) -> DataFrame:
-    """Rows of one page by final_rank, with rows ahead for the next one marked, and how many there are in all."""
-    total = ranked.agg(F.count("*").alias("total"))
-    rows = ranked.where((F.col("final_rank") > skip) & (F.col("final_rank") <= skip + take + ahead))
-    return rows.withColumn("ahead", F.col("final_rank") > skip + take).join(F.broadcast(total))
+    """Rows of one page by final_rank, with rows ahead for the next one marked, and how many there are in all (of those that a merge caps)."""
+    rows = ranked.withColumn("total", F.count("*").over(Window.partitionBy()))
+    rows = rows.where((F.col("final_rank") > skip) & (F.col("final_rank") <= skip + take + ahead))
+    return rows.withColumn("ahead", F.col("final_rank") > skip + take)
 
 
-def dispatched(docs: DataFrame, q: Query, skip: int = 0, take: int = 50, metadata: str | None = None) -> DataFrame:
+def dispatched(stored: Stored, q: Query, skip: int = 0, take: int = 50, metadata: str | None = None) -> DataFrame:
     """(doc_id) of a page: recent documents for a blank query, matches of the text as it stands if it is exact, else text search by score."""
     if not q.text.strip():
-        got, by = recent(docs.where(q.filters.condition()), skip + take).select("doc_id"), [F.desc("doc_id")]
+        got, by = recent(stored.documents.where(q.filters.condition()), skip + take).select("doc_id"), [F.desc("doc_id")]
     elif q.exact:
-        got, by = exact_search(docs, q, metadata), [F.desc("doc_id")]
+        got, by = exact_search(stored, q, metadata), [F.desc("doc_id")]
     else:
-        got, by = text_search(docs, q, skip + take, metadata), [F.desc("score"), F.asc("doc_id")]
+        got, by = text_search(stored, q, skip + take, metadata), [F.desc("score"), F.asc("doc_id")]
     return got.orderBy(*by).offset(skip).limit(take).select("doc_id")
 
 
-def matching_ids(docs: DataFrame, vectors: DataFrame, q: Query, seed: int) -> DataFrame:
+def hybrid(text: DataFrame, vectors: DataFrame, limit: int = 100) -> DataFrame:
+    """(doc_id, score, snippet, from_text): the best of two lists (doc_id, rank from 1, snippet) by reciprocal ranks.
+
+    A document counts once a list, at its best rank there; on a collision the text's row stands for both.
+    """
+    one = lambda t, no: t.where(F.col("rank") <= max(limit, 100)).groupBy("doc_id").agg(F.min("rank").alias("rank"), F.min_by("snippet", "rank").alias("snippet")).select("doc_id", F.lit(no).alias("list"), "rank", "snippet")
+    both = one(vectors, 0).unionAll(one(text, 1)).groupBy("doc_id").agg(F.round(F.sum(1 / (K + F.col("rank") + 0.0)), 9).alias("score"), F.max_by("snippet", "list").alias("snippet"), (F.max("list") == 1).alias("from_text"))
+    return both.orderBy(F.desc("score"), "doc_id").limit(limit)
+
+
+def matching_ids(stored: Stored, vectors: DataFrame, q: Query, seed: int) -> DataFrame:
     """(doc_id, final_rank): ids of the nearest vectors and of the best texts, fused."""
-    best = text_search(docs, q, CAPS["vector"])
+    best = text_search(stored, q, CAPS["vector"])
     text = best.select("doc_id", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"))
     return merged({3: text, 4: vector_tier(vectors, seed).select("doc_id", "rank")}).select("doc_id", "final_rank")
 
 
-def hydrated(ids: DataFrame, docs: DataFrame, words: list[str]) -> DataFrame:
-    """(pos, doc_id) to rows in that order, with the best chunk for a query and else the lines joined by blanks."""
-    mine = docs.join(F.broadcast(ids), "doc_id")
-    best = best_chunks(chunks(mine), words).select("doc_id", "best")
+def hydrated(ids: DataFrame, stored: Stored, words: list[str]) -> DataFrame:
+    """(pos, doc_id) to rows in that order, with the best chunk for a query and else the head of the text, its lines joined by blanks."""
+    mine = stored.documents.join(ids, "doc_id")
+    index = stored.words
+    best = index.with_text(index.counted(words).join(ids.select("doc_id"), "doc_id", "left_semi")).select("doc_id", "snippet")
     kind = F.when(F.col("file_name").endswith(".pdf"), "Pdf").when(F.col("file_name").endswith(".txt"), "Text").when(F.col("file_name").endswith(".msg"), "Email").otherwise("Image")
-    return mine.join(best, "doc_id", "left").select("pos", "doc_id", kind.alias("kind"), "file_name", "dataset", "names", "page_count", "deduced", F.substring(F.coalesce("best", F.replace("text", F.lit("\n"), F.lit(" "))), 1, 500).alias("snippet"))
+    return mine.join(best, "doc_id", "left").select("pos", "doc_id", kind.alias("kind"), "file_name", "dataset", "names", "page_count", "deduced", F.coalesce("snippet", F.replace("head", F.lit("\n"), F.lit(" "))).alias("snippet"))
 
 
 def neighbourhoods(parts: DataFrame, hits: DataFrame, reach: int = 1) -> DataFrame:
@@ -265,24 +300,66 @@ def neighbourhoods(parts: DataFrame, hits: DataFrame, reach: int = 1) -> DataFra
 SAMPLE = Query("the of", filters=Filters(("src1", "src2", "src3", "src4", "src5")))
 FILTER = Filters(datasets=("src1", "src2", "src3"), names=("SRC", "en"), extensions=("pdf", "CSV"), date_from="2000-01-05", date_to="2020-12-31", pages_from=1, pages_to=4)
 
+def _merged(s: SparkSession, d: str, *more: int) -> DataFrame:
+    """The tiers of one search fused: file names, fields and text, and of the others those asked for."""
+    stored = Stored(s, d)
+    tiers = {2: fields_tier(stored.documents, "en"), 3: text_tier(stored, ["of", "the"])}
+    if 1 in more:
+        names = stored.documents.where(F.contains(F.lower("file_name"), F.lit("7"))).orderBy(F.desc("doc_id")).limit(CAPS["filename"])
+        tiers[1] = names.select("doc_id", F.row_number().over(Window.orderBy(F.desc("doc_id"))).alias("rank"))
+    if 4 in more:
+        tiers[4] = vector_tier(s.read.parquet(f"{d}/embeddings.parquet"), 0)
+    if 5 in more:
+        tiers[5] = grammar_tier(documents(s, d)).select("doc_id", "rank", "snippet")
+    return merged(tiers)
+
+
+def _hits(s: SparkSession, d: str, words: list[str]) -> DataFrame:
+    return Stored(s, d).words.matched(words).select("doc_id", "ordinal", F.col("hits").cast("int").alias("similarity"))
+
+
+def _hybrid(s: SparkSession, d: str) -> DataFrame:
+    best = Stored(s, d).words.ranked(["of", "the"], 100)
+    text = best.select("doc_id", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "snippet")
+    return hybrid(text, vector_tier(s.read.parquet(f"{d}/embeddings.parquet"), 0))
+
+
+def _ids(s: SparkSession, d: str) -> DataFrame:
+    """Some documents in an order: the labelled ones of the lowest quality."""
+    top = s.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("q")).orderBy("q", F.desc("doc_id")).limit(200)
+    return top.select("doc_id", F.row_number().over(Window.orderBy("q", F.desc("doc_id"))).alias("pos"))
+
+
 QUERIES = {
     "search_filters": lambda s, d: documents(s, d).where(FILTER.condition()).select("doc_id", "file_name", "deduced", "page_count"),
-    "search_best_chunk": lambda s, d: best_chunks(chunks(documents(s, d)), ["of", "the"]).select("doc_id", "n_chunks", "hits", F.substring("best", 1, 500).alias("snippet")),
-    "search_text": lambda s, d: text_search(documents(s, d), SAMPLE, metadata="src1"),
-    "search_exact": lambda s, d: exact_search(documents(s, d), Query("of the"), "src1"),
-    "search_fields_tier": lambda s, d: fields_tier(documents(s, d), "en"),
-    "search_text_tier": lambda s, d: text_tier(documents(s, d), ["of", "the"]),
-    "search_merged": lambda s, d: merged({2: fields_tier(documents(s, d), "en"), 3: text_tier(documents(s, d), ["of", "the"]), 4: vector_tier(s.read.parquet(f"{d}/embeddings.parquet"), 0)}),
-    "search_page": lambda s, d: page(merged({2: fields_tier(documents(s, d), "en"), 3: text_tier(documents(s, d), ["of", "the"])}), 20, 30, 10).select("doc_id", "final_rank", "ahead", "total"),
+    "search_best_chunk": lambda s, d: Stored(s, d).words.with_text(Stored(s, d).words.counted(["of", "the"])).select("doc_id", "n_chunks", F.col("hits").cast("int").alias("hits"), "snippet"),
+    "search_text": lambda s, d: text_search(Stored(s, d), SAMPLE, metadata="src1"),
+    "search_ranked": lambda s, d: Stored(s, d).words.ranked(["of", "the", "and"]).select("doc_id", "score", "snippet"),
+    "search_phrase": lambda s, d: Stored(s, d).words.phrase(["of", "the"]).select("doc_id", "ordinal", F.size("places").alias("times"), F.get("places", F.lit(0)).alias("first")),
+    "search_hybrid": _hybrid,
+    "search_exact": lambda s, d: exact_search(Stored(s, d), Query("of the"), "src1"),
+    "search_fields_tier": lambda s, d: fields_tier(Stored(s, d).documents, "en"),
+    "search_text_tier": lambda s, d: text_tier(Stored(s, d), ["of", "the"]),
+    "search_merged": lambda s, d: _merged(s, d, 4),
+    "search_five_tiers": lambda s, d: _merged(s, d, 1, 4, 5),
+    "search_page": lambda s, d: page(_merged(s, d), 20, 30, 10).select("doc_id", "final_rank", "ahead", "total"),
     "search_recent": lambda s, d: recent(documents(s, d), 200).select("dataset", "doc_id"),
-    "search_blank_page": lambda s, d: dispatched(documents(s, d), Query(" "), 10, 20),
-    "search_exact_page": lambda s, d: dispatched(documents(s, d), Query("of the", True), 10, 20, "src1"),
-    "search_neighbours": lambda s, d: neighbourhoods(chunks(documents(s, d)), matched(chunks(documents(s, d)), ["of", "the", "and"]).select("doc_id", "ordinal", F.col("hits").alias("similarity"))),
-    "search_hydrated": lambda s, d: hydrated(s.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("q")).orderBy("q", F.desc("doc_id")).limit(200).select("doc_id", F.row_number().over(Window.orderBy("q", F.desc("doc_id"))).alias("pos")), documents(s, d), ["the"]).select("pos", "doc_id", "kind", "dataset", "snippet"),
+    "search_blank_page": lambda s, d: dispatched(Stored(s, d), Query(" "), 10, 20),
+    "search_exact_page": lambda s, d: dispatched(Stored(s, d), Query("of the", True), 10, 20, "src1"),
+    "search_neighbours": lambda s, d: neighbourhoods(Stored(s, d).words.table("chunks"), _hits(s, d, ["of", "the", "and"])),
+    "search_hydrated": lambda s, d: hydrated(_ids(s, d), Stored(s, d), ["the"]).select("pos", "doc_id", "kind", "dataset", "snippet"),
     "sentences_joined": lambda s, d: chunks(documents(s, d)).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "chunk"))), lambda x: x["chunk"]), " ").alias("joined"), F.max("ordinal").alias("last")),
+    "substring_scan": lambda s, d: Stored(s, d).texts.containing("tion th").select(F.col("id").alias("doc_id")),
+    "similar_file_names": lambda s, d: _file_names(s, d).similar("DOC00000042.csv", 0.5).select(F.col("id").alias("doc_id"), F.round("similarity", 6).alias("similarity")),
 }
 
-_D = r"""WITH d AS (SELECT doc_id, text, substring(text, 1, 60) AS title, lower(source || ' ' || lang) AS names, source AS dataset, lower(array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: len(w) > 4)[1:3], ' ')) AS terms,
+
+def _file_names(s: SparkSession, d: str) -> trigrams.Trigrams:
+    rows = lambda: documents(s, d).select(F.col("doc_id").alias("id"), F.col("file_name").alias("value"))
+    return trigrams.Trigrams(s, home.once(s, "file-names", f"{d}/documents.parquet", lambda path: trigrams.build(rows(), path)))
+
+
+_D = r"""WITH d AS (SELECT doc_id, text, substring(text, 1, 60) AS title, lower(source || ' ' || lang) AS names, [source, lang] AS names_raw, source AS dataset, lower(array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: len(w) > 4)[1:3], ' ')) AS terms,
   'DOC' || lpad(CAST(doc_id AS varchar), 8, '0') || '.' || CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'csv' WHEN 3 THEN 'mp4' ELSE 'txt' END AS file_name,
   CAST(ceil(n_chars / 2000.0) AS int) AS page_count, CASE WHEN doc_id % 7 <> 0 THEN CAST(DATE '2000-01-01' + CAST(doc_id % 9000 AS int) AS date) END AS deduced FROM documents),
 l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d),
@@ -294,7 +371,17 @@ f AS (SELECT doc_id, min(rank) AS rank FROM (SELECT doc_id, row_number() OVER (O
   UNION ALL SELECT 3, doc_id FROM d WHERE lower(dataset) LIKE '%en%' UNION ALL SELECT 4, doc_id FROM d WHERE lower(file_name) LIKE '%en%') x) y WHERE k <= 1000) z GROUP BY doc_id),
 t AS (SELECT doc_id, row_number() OVER (ORDER BY n_chunks DESC, doc_id) AS rank, n_chunks, substring(best, 1, 500) AS snippet FROM (SELECT * FROM b ORDER BY n_chunks DESC, doc_id LIMIT 5000) x),
 v AS (SELECT doc_id, row_number() OVER (ORDER BY dist, doc_id) AS rank, 'distance ' || format('{:.6f}', dist) AS snippet FROM (SELECT e.vec_id AS doc_id, round(list_cosine_distance(CAST(e.embedding AS double[]), CAST(p.embedding AS double[])), 9) AS dist FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) p WHERE e.embedding IS NOT NULL ORDER BY 2, 1 LIMIT 2000) x)"""
-_META = "lower(title) || ' ' || names || ' ' || terms || ' ' || lower(file_name) LIKE '%src1%'"
+_META = "(title ILIKE '%src1%' OR '[\"' || names_raw[1] || '\",\"' || names_raw[2] || '\"]' ILIKE '%src1%' OR file_name ILIKE '%src1%' OR dataset ILIKE '%src1%')"
+# Written from the rules: rarity, saturating counts, length, and the shortest stretch found by walking the places in order.
+_SCORES = """, z AS (SELECT doc_id, ordinal, chunk, list_filter(ws, lambda w: w <> '') AS ws FROM c), n AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM z),
+p AS (SELECT doc_id, ordinal, len(ws) AS length, u.i - 1 AS pl, ws[u.i] AS word FROM z, unnest(range(1, len(ws) + 1)) AS u(i) WHERE ws[u.i] IN ({words})),
+h AS (SELECT doc_id, ordinal FROM p GROUP BY 1, 2 HAVING count(DISTINCT word) = {m}),
+i AS (SELECT word, ln(1 + (any_value(n.n) - count(DISTINCT (doc_id, ordinal)) + 0.5) / (count(DISTINCT (doc_id, ordinal)) + 0.5)) AS idf FROM p, n GROUP BY word),
+g AS (SELECT p.doc_id, p.ordinal, p.word, count(*) * 2.2 / (count(*) + 1.2 * (0.25 + 0.75 * any_value(p.length) / any_value(n.mean))) * any_value(i.idf) AS gain FROM p JOIN h ON h.doc_id = p.doc_id AND h.ordinal = p.ordinal JOIN i ON i.word = p.word, n GROUP BY 1, 2, 3),
+s1 AS (SELECT doc_id, ordinal, sum(gain) AS gain FROM g GROUP BY 1, 2),
+e AS (SELECT p.doc_id, p.ordinal, p.pl, q.word, max(q.pl) AS last FROM p JOIN h ON h.doc_id = p.doc_id AND h.ordinal = p.ordinal JOIN p q ON q.doc_id = p.doc_id AND q.ordinal = p.ordinal AND q.pl <= p.pl GROUP BY 1, 2, 3, 4),
+k1 AS (SELECT doc_id, ordinal, min(width) AS width FROM (SELECT doc_id, ordinal, pl - min(last) + 1 AS width FROM e GROUP BY doc_id, ordinal, pl HAVING count(*) = {m}) x GROUP BY 1, 2),
+sc AS (SELECT s1.doc_id, s1.ordinal, round(gain * (1 + {m} / width) / 2, 6) AS score FROM s1 JOIN k1 ON k1.doc_id = s1.doc_id AND k1.ordinal = s1.ordinal)"""
 _MERGE = """SELECT doc_id, score, t2_rank, t3_rank{t4}, snippet, row_number() OVER (ORDER BY score DESC, doc_id) AS final_rank FROM (
 SELECT doc_id, round(sum(1 / (60 + rank + 1.0)), 9) AS score, max(CASE WHEN tier = 2 THEN rank END) AS t2_rank, max(CASE WHEN tier = 3 THEN rank END) AS t3_rank{m4}, first(snippet ORDER BY CASE tier WHEN 3 THEN 0 WHEN 4 THEN 1 ELSE 2 END) FILTER (snippet IS NOT NULL) AS snippet
 FROM (SELECT 2 AS tier, doc_id, rank, NULL AS snippet FROM f UNION ALL SELECT 3, doc_id, rank, snippet FROM t{u4}) x GROUP BY doc_id) y"""
@@ -303,7 +390,21 @@ _RECENT = "SELECT dataset, doc_id FROM (SELECT dataset, doc_id, row_number() OVE
 ORACLES = {
     "search_filters": _D + " SELECT doc_id, file_name, deduced, page_count FROM d WHERE dataset IN ('src1', 'src2', 'src3') AND names LIKE '%src%' AND (dataset LIKE '%en%' OR string_split(names, ' ')[2] LIKE '%en%') AND regexp_matches(file_name, '[.](pdf|csv)$', 'i') AND deduced BETWEEN DATE '2000-01-05' AND DATE '2020-12-31' AND coalesce(page_count, 0) BETWEEN 1 AND 4",
     "search_best_chunk": _D + " SELECT doc_id, n_chunks, hits, substring(best, 1, 500) AS snippet FROM b",
-    "search_text": _D + f", k AS (SELECT * FROM d WHERE dataset IN ('src1', 'src2', 'src3', 'src4', 'src5')), s AS (SELECT doc_id, max(score) AS score, max(best) AS best FROM (SELECT doc_id, CAST(hits AS double) AS score, best FROM b WHERE doc_id IN (SELECT doc_id FROM k) UNION ALL SELECT doc_id, 0.5, NULL FROM k WHERE {_META}) x GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 1000) SELECT s.doc_id, score, substring(coalesce(nullif(best, ''), text), 1, 500) AS snippet FROM s JOIN k ON k.doc_id = s.doc_id",
+    "search_text": _D + _SCORES.format(words="'of', 'the'", m=2) + f""", a AS (SELECT * FROM sc UNION ALL SELECT doc_id, ordinal, 0 FROM c WHERE chunk ILIKE '%the of%'), kd AS (SELECT * FROM d WHERE dataset IN ('src1', 'src2', 'src3', 'src4', 'src5')),
+best AS (SELECT a.doc_id, max(score) AS score, first(chunk ORDER BY score DESC, a.ordinal) AS best FROM a JOIN c ON c.doc_id = a.doc_id AND c.ordinal = a.ordinal WHERE a.doc_id IN (SELECT doc_id FROM kd) GROUP BY 1),
+both_ AS (SELECT doc_id, max(score) AS score, max(best) AS best FROM (SELECT * FROM best UNION ALL SELECT doc_id, 0.5, NULL FROM kd WHERE {_META}) x GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 1000)
+SELECT both_.doc_id, score, substring(coalesce(nullif(best, ''), text), 1, 500) AS snippet FROM both_ JOIN kd ON kd.doc_id = both_.doc_id""",
+    "search_ranked": _D + _SCORES.format(words="'of', 'the', 'and'", m=3) + " SELECT sc.doc_id, max(score) AS score, first(substring(chunk, 1, 500) ORDER BY score DESC, sc.ordinal) AS snippet FROM sc JOIN c ON c.doc_id = sc.doc_id AND c.ordinal = sc.ordinal GROUP BY 1",
+    "search_phrase": _D + ", z AS (SELECT doc_id, ordinal, list_filter(ws, lambda w: w <> '') AS ws FROM c) SELECT doc_id, ordinal, CAST(count(*) AS int) AS times, CAST(min(u.i) - 1 AS int) AS first FROM z, unnest(range(1, len(ws))) AS u(i) WHERE ws[u.i] = 'of' AND ws[u.i + 1] = 'the' GROUP BY 1, 2",
+    "search_hybrid": _D + _SCORES.format(words="'of', 'the'", m=2) + ", tb AS (SELECT sc.doc_id, max(score) AS score, first(substring(chunk, 1, 500) ORDER BY score DESC, sc.ordinal) AS snippet FROM sc JOIN c ON c.doc_id = sc.doc_id AND c.ordinal = sc.ordinal GROUP BY 1), tr AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, snippet FROM tb) SELECT coalesce(v.doc_id, x.doc_id) AS doc_id, round(coalesce(1 / (60.0 + v.rank), 0) + coalesce(1 / (60.0 + x.rank), 0), 9) AS score, coalesce(x.snippet, v.snippet) AS snippet, x.doc_id IS NOT NULL AS from_text FROM (SELECT * FROM v WHERE rank <= 100) v FULL JOIN (SELECT * FROM tr WHERE rank <= 100) x ON x.doc_id = v.doc_id ORDER BY score DESC, 1 LIMIT 100",
+    "search_five_tiers": _D + r""", f1 AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM (SELECT doc_id FROM d WHERE lower(file_name) LIKE '%7%' ORDER BY doc_id DESC LIMIT 2000) x),
+gr AS (SELECT doc_id, kind, snippet, confidence, instr(text, snippet) AS position FROM (SELECT doc_id, text, unnest([{'kind': 'mail', 'confidence': 0.9, 'snippet': regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+')}, {'kind': 'day', 'confidence': 0.8, 'snippet': regexp_extract(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')}, {'kind': 'year', 'confidence': 0.5, 'snippet': regexp_extract(text, '(?:19|20)[0-9]{2}')}], recursive := true) FROM documents) x WHERE snippet <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC) = 1),
+f5 AS (SELECT doc_id, row_number() OVER (ORDER BY confidence DESC, position, doc_id) AS rank, snippet FROM gr QUALIFY rank <= 5000),
+al AS (SELECT 1 AS tier, doc_id, rank, NULL AS snippet FROM f1 UNION ALL SELECT 2, doc_id, rank, NULL FROM f UNION ALL SELECT 3, doc_id, rank, snippet FROM t UNION ALL SELECT 4, doc_id, rank, snippet FROM v UNION ALL SELECT 5, doc_id, rank, snippet FROM f5)
+SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS final_rank FROM (SELECT doc_id, round(sum(1 / (60 + rank + 1.0)), 9) AS score, max(rank) FILTER (tier = 1) AS t1_rank, max(rank) FILTER (tier = 2) AS t2_rank, max(rank) FILTER (tier = 3) AS t3_rank, max(rank) FILTER (tier = 4) AS t4_rank, max(rank) FILTER (tier = 5) AS t5_rank,
+first(snippet ORDER BY CASE tier WHEN 3 THEN 0 WHEN 4 THEN 1 ELSE 2 END) FILTER (snippet IS NOT NULL) AS snippet FROM al GROUP BY doc_id) y""",
+    "substring_scan": "SELECT doc_id FROM documents WHERE text ILIKE '%tion th%'",
+    "similar_file_names": _D + ", fg AS (SELECT doc_id, list_distinct(list_transform(range(1, len(file_name) + 2), lambda i: ('  ' || lower(file_name) || ' ')[i : i + 2])) AS g FROM d), q AS (SELECT list_distinct(list_transform(range(1, 17), lambda i: '  doc00000042.csv '[i : i + 2])) AS g) SELECT doc_id, round(len(list_intersect(fg.g, q.g)) / len(list_distinct(list_concat(fg.g, q.g))), 6) AS similarity FROM fg, q WHERE len(list_intersect(fg.g, q.g)) / len(list_distinct(list_concat(fg.g, q.g))) >= 0.5",
     "search_exact": _D + f" SELECT doc_id FROM d WHERE lower(text) LIKE '%of the%' OR {_META}",
     "search_fields_tier": _D + " SELECT doc_id, rank FROM f",
     "search_text_tier": _D + " SELECT doc_id, rank, n_chunks, snippet FROM t",

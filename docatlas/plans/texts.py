@@ -44,6 +44,19 @@ _FILE = lambda: F.concat(F.lit("d."), F.get(F.array(*map(F.lit, ("pdf", "CBZ", "
 _NAME = lambda: F.concat(F.lit("DOC"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("."), F.get(F.array(*map(F.lit, ("pdf", "xlsx", "csv", "mp4", "txt"))), (F.col("doc_id") % 5).cast("int")))
 _VOLUME = lambda: F.concat(F.get(F.array(*map(F.lit, ("39015t", "32044", "ark+=13960=", "x+"))), (F.col("doc_id") % 4).cast("int")), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
 
+
+def _DATED():
+    """A note on each order that names its day, and often a later one, in one of nine forms."""
+    day, later = F.col("o_orderdate").cast("date"), F.date_add(F.col("o_orderdate").cast("date"), 40)
+    at = F.date_format
+    forms = (
+        F.concat(F.lit("on "), at(day, "MMMM d, yyyy")), F.concat(F.lit("on "), at(day, "d MMM yyyy"), F.lit(" and "), at(later, "MMM d, yyyy")), F.concat(at(day, "MMM dd yyyy"), F.lit(" or "), at(later, "d MMMM yyyy")),
+        F.concat(at(day, "dd/MM/yyyy"), F.lit(" x")), F.concat(at(day, "yyyy-MM-dd"), F.lit(". "), at(later, "M-d-yyyy")), F.concat(at(day, "d"), F.lit(" . "), at(day, "M"), F.lit(" . "), at(day, "yy")),
+        F.concat(F.lit("in "), at(day, "yyyy"), F.lit(" it")), F.concat(F.lit("30 Feb 1995, "), at(day, "yyyy-MM-dd")), F.lit("never"),
+    )
+    return F.get(F.array(*forms), F.pmod("o_orderkey", F.lit(9)).cast("int"))
+
+
 QUERIES = {
     "mime_decode": _of(lambda: cleaning.mime_decoded(F.replace("text", F.lit(" "), F.lit("=20"))).alias("bare")),
     "mime_cleanup": _of(lambda: cleaning.mime_cleaned(F.replace("text", F.lit(" t"), F.lit("=20=t"))).alias("bare")),
@@ -64,7 +77,7 @@ QUERIES = {
     "json_props": _of(lambda: F.get_json_object("props", "$.k").try_cast("long").alias("k"), name="events", key="event_id"),
     "bit_xor_checksum": lambda spark, d: _docs(spark, d).groupBy("source").agg(F.bit_xor(F.col("n_chars")).alias("sum")),
     "vocabulary_index": lambda spark, d: _docs(spark, d).select("doc_id", F.explode(F.split(F.lower("text"), r"[ \n]")).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")),
-    "date_deduce": _of(lambda: T.deduced_date(F.col("text")).alias("day"), name="conversations", key="conv_id"),
+    "date_deduce": _of(lambda: T.deduced_date(_DATED()).alias("day"), name="orders", key="o_orderkey"),
     "title_cascade": _of(lambda: T.title(F.col("text"), _NAME()).alias("title")),
     "junk_flags": _of(lambda: T.is_junk(F.col("text")).alias("junk")),
     "sentence_split": lambda spark, d: _docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("ordinal", "sentence")),
@@ -97,4 +110,13 @@ ORACLES = {
     "tumbling_twin": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(CAST(sum(CAST(value AS decimal(28, 8))) AS double), 4) AS total FROM events GROUP BY 1, 2",
     "session_window_twin": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events) a) b GROUP BY user_id, session",
     "title_cascade": "SELECT doc_id, CASE " + " ".join(f"WHEN strpos(lower(substring(text, 1, 2000)), '{k.lower()}') > 0 THEN '{v} - ' || f" for k, v in T.TITLE_LABELS) + " ELSE f END AS title FROM (SELECT *, 'DOC' || lpad(CAST(doc_id AS varchar), 8, '0') || '.' || CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'csv' WHEN 3 THEN 'mp4' ELSE 'txt' END AS f FROM documents) x",
+    "date_deduce": r"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS date) AS x, CAST(CAST(o_orderdate AS date) + 40 AS date) AS z FROM orders),
+t AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'on ' || strftime(x, '%B %-d, %Y') WHEN 1 THEN 'on ' || strftime(x, '%-d %b %Y') || ' and ' || strftime(z, '%b %-d, %Y') WHEN 2 THEN strftime(x, '%b %d %Y') || ' or ' || strftime(z, '%-d %B %Y')
+  WHEN 3 THEN strftime(x, '%d/%m/%Y x') WHEN 4 THEN strftime(x, '%Y-%m-%d') || '. ' || strftime(z, '%-m-%-d-%Y') WHEN 5 THEN strftime(x, '%-d . %-m . %y') WHEN 6 THEN strftime(x, 'in %Y it') WHEN 7 THEN '30 Feb 1995, ' || strftime(x, '%Y-%m-%d') ELSE 'never' END AS h FROM o),
+f AS (SELECT *, regexp_extract(h, '(?i)\b(January|February|March|April|May|June|July|August|September|October|November|December)\s+([0-9]{1,2}),?\s+([0-9]{4})\b', ['m', 'd', 'y']) AS a,
+  regexp_extract(h, '(?i)\b([0-9]{1,2})\s+((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*)\s+([0-9]{4})\b', ['d', 'm', 'y']) AS b, regexp_extract(h, '(?i)\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*)\s+([0-9]{1,2}),?\s+([0-9]{4})\b', ['m', 'd', 'y']) AS c,
+  regexp_extract(h, '\b([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})\b', ['m', 'd', 'y']) AS e, regexp_extract(h, '\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b') AS g, regexp_extract(h, '\b([0-9]{1,2})[^\w]{1,5}([0-9]{1,2})[^\w]{1,5}([0-9]{2,4})\b', ['u', 'v', 'w']) AS s, regexp_extract(h, '\b(?:19|20)[0-9]{2}\b') AS y FROM t),
+n AS (SELECT *, TRY_CAST(s.u AS int) AS u, TRY_CAST(s.v AS int) AS v, CASE WHEN TRY_CAST(s.w AS int) >= 100 THEN TRY_CAST(s.w AS int) WHEN TRY_CAST(s.w AS int) > 30 THEN TRY_CAST(s.w AS int) + 1900 ELSE TRY_CAST(s.w AS int) + 2000 END AS w FROM f)
+SELECT o_orderkey, CAST(coalesce(try_strptime(a.m || ' ' || a.d || ' ' || a.y, '%B %d %Y'), try_strptime(b.m || ' ' || b.d || ' ' || b.y, ['%B %d %Y', '%b %d %Y']), try_strptime(c.m || ' ' || c.d || ' ' || c.y, ['%B %d %Y', '%b %d %Y']),
+  try_strptime(e.m || '/' || e.d || '/' || e.y, '%m/%d/%Y'), try_strptime(g, '%Y-%m-%d'), try_strptime(lpad(CAST(w AS varchar), 4, '0') || '-' || CASE WHEN u > 12 AND v <= 12 THEN v || '-' || u ELSE u || '-' || v END, '%Y-%m-%d'), try_strptime(y, '%Y')) AS date) AS day FROM n""",
 }

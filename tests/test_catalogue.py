@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from docatlas.plans import analysis, catalogue, language, records, search, texts
+from docatlas.plans import analysis, catalogue, language, records, search, texts, vectors
 
 DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = catalogue.queries() | texts.QUERIES | search.QUERIES | analysis.QUERIES | language.QUERIES | records.QUERIES, catalogue.oracle_sql() | texts.ORACLES | search.ORACLES | analysis.ORACLES | language.ORACLES | records.ORACLES
+QUERIES, ORACLES = catalogue.queries() | texts.QUERIES | search.QUERIES | analysis.QUERIES | language.QUERIES | records.QUERIES | vectors.QUERIES, catalogue.oracle_sql() | texts.ORACLES | search.ORACLES | analysis.ORACLES | language.ORACLES | records.ORACLES | vectors.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def test_equals_plain_sql(spark, con, name):
 
 
 #: What the queries without SQL must give at least: a row for each row of what they read, or some rows.
-ROWS = {n: "documents" for n in ("title_cascade", "junk_flags", "mime_cleanup", "glue_removed", "abstracts")} | {"date_deduce": "conversations", "names_and_terms": "conversations", "clean_sentences": "conversations", "highlights": "benchmark"}
+ROWS = {n: "documents" for n in ("title_cascade", "junk_flags", "mime_cleanup", "glue_removed", "abstracts")} | {"names_and_terms": "conversations", "clean_sentences": "conversations", "highlights": "benchmark"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))

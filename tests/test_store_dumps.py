@@ -37,13 +37,6 @@ def test_patches(spark):
     assert [S.write_mode(*x) for x in ((5, 0, True), (50, 100, True), (5, 100, True), (5, 100, False))] == ["append", "ignore", "merge", "append"]
 
 
-def test_index_equals_search(spark):
-    docs = spark.createDataFrame([(1, "the cat of it\nthe dog"), (2, "of of the\nthe of\nnone"), (3, "the")], "doc_id long, text string")
-    parts = search.chunks(docs)
-    assert rows(S.posted(S.inverted_index(parts), ["of", "the"])) == [(1, 1, 2), (2, 2, 3)]
-    assert rows(search.best_chunks(parts, ["of", "the"]), "doc_id", "n_chunks", "hits") == [(1, 1, 2), (2, 2, 3)]
-
-
 def test_lists(spark):
     saved = spark.createDataFrame([("l1", 2, "b", 'say "x"'), ("l1", 1, "a", None), ("l2", 1, "c", "z")], "list_id string, pos int, type string, name string")
     assert [r.line for r in S.exported(saved, "l1").collect()] == ['"a",""', '"b","say ""x"""']
