@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docatlas.functions import prose, text as T
-from docatlas.operators import lexicon, merge, ranges
+from docatlas.indexes import home
+from docatlas.operators import fuzzy, ledger, lexicon, merge, ranges
+from docatlas.sources import keysets
 from docatlas.streaming import events as E
 
 from . import search
@@ -23,18 +27,38 @@ def tokens(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"[ \n]"), lambda w: w != "")).alias("ordinal", "word"))
 
 
+#: Parts over which a word's places are dealt out while the first ones are looked for.
+SALT = 16
+
+
 def occurrences(words: DataFrame, most: int = 1000) -> DataFrame:
-    """Vocabulary: count, first and last place of each word, and its first places, at most `most`."""
-    return words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "ordinal")).alias("first"), F.max(F.struct("doc_id", "ordinal")).alias("last"))
+    """Vocabulary: count, first and last place of each word, and its first places in order, at most `most`.
+
+    A frequent word is never sorted in one task: each task keeps `most` places of it, and so does each of SALT parts.
+    """
+    rows = words.select(F.lower("word").alias("word"), F.struct("doc_id", "ordinal").alias("place"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALT)))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("place"))
+    few = salted.withColumn("r", first("word", "salt")).where(F.col("r") <= most).withColumn("r", first("word")).where(F.col("r") <= most)
+    lists = few.groupBy("word").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    sums = rows.groupBy("word").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
+    return sums.join(lists, "word")
+
 
+def totals(words: DataFrame, known: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Of each document: tokens, content words, different ones, those a lexicon (word) knows and those it does not, their share in percent, sentences (doc_id, sentences), and content words a sentence.
 
-def totals(words: DataFrame, known: DataFrame) -> DataFrame:
-    """Of each document: tokens, content words, different ones, those a lexicon (word) knows, and their share in percent."""
-    bare = F.regexp_replace(F.lower("word"), r"^[^\p{L}]+|[^\p{L}]+$", "")
-    content = words.select("doc_id", "word", F.nullif(bare, F.lit("")).alias("bare"))
-    told = content.join(known.select(F.col("word").alias("bare")).distinct().withColumn("hit", F.lit(1)), "bare", "left")
-    sums = told.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count("bare").alias("content"), F.countDistinct("bare").alias("different"), F.count("hit").alias("defined"))
-    return sums.withColumn("coverage", F.round(F.when(F.col("content") > 0, 100.0 * F.col("defined") / F.col("content")), 6))
+    Words are counted by document first and looked up once each, so that a frequent word is one row of the look-up.
+    """
+    bare = F.nullif(F.regexp_replace(F.lower("word"), r"^[^\p{L}]+|[^\p{L}]+$", ""), F.lit(""))
+    counts = words.groupBy("doc_id", bare.alias("bare")).agg(F.count("*").alias("n"))
+    hit = counts.where("bare is not null").select("bare").distinct().join(known.select(F.col("word").alias("bare")).distinct(), "bare", "left_semi").withColumn("hit", F.lit(1))
+    salted = counts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(hit.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["bare", "salt"], "left")
+    content = F.when(F.col("bare").isNotNull(), F.col("n")).otherwise(0)
+    sums = salted.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.sum(content).alias("content"), F.count("bare").alias("different"), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("defined"))
+    sums = sums.join(sentences, "doc_id", "left").withColumn("undefined", F.col("content") - F.col("defined")).withColumn("sentences", F.coalesce("sentences", F.lit(0)).cast("long"))
+    share = lambda a, b, by=1.0: F.round(F.when(F.col(b) > 0, by * F.col(a) / F.col(b)), 6)
+    return sums.withColumn("coverage", share("defined", "content", 100.0)).withColumn("sentence_length", share("content", "sentences"))
 
 
 def sentence_stats(docs: DataFrame) -> DataFrame:
@@ -163,13 +187,54 @@ def _upserted(s: SparkSession, d: str) -> DataFrame:
     return merge.upsert(old, new, ["doc_id"], only=["quality"])
 
 
+def _fuzzy(s: SparkSession, d: str) -> DataFrame:
+    """Each 50th part asked for by its name without the third letter, and its type."""
+    part = _t(s, d, "part")
+    typed = F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 1 << 30), F.lit(" "), F.col("p_type"))
+    asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), typed.alias("text"))
+    return fuzzy.search(*fuzzy.index(part, "p_partkey", ["p_name", "p_type"]), asked, 5)
+
+
+def _stored(s: SparkSession, d: str, name: str) -> DataFrame:
+    """Documents in a store, with their lines as sentences, after a second commit that gives each third one two more lines."""
+    store = ledger.Ledger(s, f"{home.shared(s)}/ledger-{uuid.uuid4().hex}", "doc_key string, title string")
+    docs = _t(s, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("doc_key"), F.substring("text", 1, 60).alias("title"), F.split("text", "\n").alias("said"), F.ceil(F.col("n_chars") / 1000).cast("int").alias("p"))
+    for rows in (docs, docs.where("doc_id % 3 = 0").withColumn("said", F.concat("said", F.array(F.lit("one more"), F.lit("and another"))))):
+        store.write(documents=rows.select("doc_key", "title"), sentences=ledger.sentences(rows, F.col("said"), F.col("p")), pages=ledger.pages(rows, F.col("said"), F.col("p"), F.col("title")))
+    return store.read(name)
+
+
+def _keys(s: SparkSession, d: str) -> DataFrame:
+    """What a store knows of files that are asked for: by dataset and name, by the only one of a name, not at all."""
+    docs = _t(s, d, "documents").select("doc_id")
+    kept = docs.where("doc_id % 3 <> 0 or doc_id % 6 = 0").select(F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b").alias("dataset"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_name"), "doc_id")
+    known = kept.select("dataset", "file_name", F.concat_ws(":", "dataset", F.col("doc_id").cast("string")).alias("doc_key"))
+    asked = docs.select(F.concat(F.lit("/data/f"), F.col("doc_id").cast("string")).alias("file_path"), F.lit("a").alias("dataset"))
+    return ledger.found(known, asked).select(F.substring("file_path", 8, 30).cast("long").alias("doc_id"), F.col("doc_key").alias("known"))
+
+
+def _copied(s: SparkSession, d: str) -> DataFrame:
+    """Orders as texts, some without a key and some with a cell that is no number, copied by ranges of the key."""
+    o = _t(s, d, "orders")
+    said = o.select(F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey").cast("string")).alias("o_orderkey"), F.when(F.col("o_orderkey") % 7 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("o_custkey"), "o_orderpriority", F.col("o_orderkey").alias("at"))
+    path = f"{home.shared(s)}/copied-{uuid.uuid4().hex}"
+    schema = "o_orderkey long, o_custkey long, o_orderpriority string"
+    keysets.copied(s, lambda c: said.where(c).drop("at"), "at", schema, keysets.ranges(o.withColumnRenamed("o_orderkey", "at"), "at", 4), path, ["o_orderkey"])
+    return keysets.rows(s, path, schema)
+
+
 QUERIES = {
     "dedupe_ttl": lambda s, d: E.kept_within(_t(s, d, "events"), ["user_id", "event_type"]).select("event_id", "user_id"),
     "interval_overlap": _interval_overlap,
     "point_in_interval_anti": _points,
     "title_keyword": lambda s, d: search.documents(s, d).select("doc_id", T.title(F.col("text"), F.col("file_name")).alias("title")),
-    "vocabulary_places": lambda s, d: occurrences(tokens(s, d)).select("word", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.ordinal").alias("first_place"), F.col("last.doc_id").alias("last_doc"), F.col("last.ordinal").alias("last_place")),
-    "book_totals": lambda s, d: totals(tokens(s, d), _t(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))),
+    "vocabulary_places": lambda s, d: occurrences(tokens(s, d), 20).select("word", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.ordinal").alias("first_place"), F.col("last.doc_id").alias("last_doc"), F.col("last.ordinal").alias("last_place"), F.transform("places", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["ordinal"].cast("string"))).alias("places")),
+    "book_totals": lambda s, d: totals(tokens(s, d), _t(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")), _t(s, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))),
+    "fuzzy_catalogue": _fuzzy,
+    "store_sentences": lambda s, d: _stored(s, d, "sentences").select("doc_key", "ordinal", "page", "words"),
+    "store_pages": lambda s, d: _stored(s, d, "pages").select("doc_key", "page", "first", "last", F.length("html").cast("long").alias("html")),
+    "store_keys": _keys,
+    "copied_orders": _copied,
     "sentence_stats": lambda s, d: sentence_stats(_t(s, d, "documents")),
     "word_contexts": lambda s, d: contexts(_t(s, d, "benchmark"), "item_id"),
     "layout_formatting": lambda s, d: formatting(layout(s, d)),
@@ -199,13 +264,30 @@ QUERIES = {
 
 _TOK = r"t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS ordinal FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \n]'), lambda w: w <> '') AS ws FROM documents) x)"
 _GLYPHS = "g AS (SELECT l_orderkey AS page, l_linenumber AS no, l_quantity * 3 AS x, CAST(l_suppkey % 30 AS double) AS y, CAST(8 + l_partkey % 5 AS double) AS font, CAST(1 + l_partkey % 7 AS double) AS width FROM lineitem)"
+_BOOKS = "WITH v AS (SELECT CAST(doc_id AS varchar) AS k, substring(text, 1, 60) AS title, CAST(ceil(n_chars / 1000.0) AS int) AS p, list_concat(string_split(text, chr(10)), CASE WHEN doc_id % 3 = 0 THEN ['one more', 'and another'] ELSE [] END) AS ls FROM documents)"
+
 ORACLES = {
     "dedupe_ttl": "WITH RECURSIVE k AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2 UNION ALL SELECT k.user_id, k.event_type, min(e.ts) FROM k JOIN events e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts >= k.ts + INTERVAL 30 MINUTE GROUP BY 1, 2) SELECT min(e.event_id) AS event_id, e.user_id FROM events e JOIN k ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts = k.ts GROUP BY e.user_id, e.event_type, e.ts",
     "interval_overlap": "SELECT e.event_id, count(*) AS boxes, min(b.event_id) AS first_box FROM events e JOIN events b ON b.event_type = 'error' AND e.event_id % 50 = b.event_id % 50 AND e.value - 2 <= b.value + 5 AND e.value + 2 >= b.value GROUP BY e.event_id",
     "point_in_interval_anti": "SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'error' AND e.event_id % 20 = b.event_id % 20 AND e.value >= b.value - 2 AND e.value <= b.value + 2)",
     "title_keyword": search._D + " SELECT doc_id, CASE " + " ".join(f"WHEN strpos(lower(substring(text, 1, 2000)), '{k}') > 0 THEN '{v} - ' || file_name" for k, v in _TITLES) + " ELSE file_name END AS title FROM d",
-    "vocabulary_places": f"WITH {_TOK} SELECT lower(word) AS word, count(*) AS n, min(doc_id) AS first_doc, first(ordinal ORDER BY doc_id, ordinal) AS first_place, max(doc_id) AS last_doc, first(ordinal ORDER BY doc_id DESC, ordinal DESC) AS last_place FROM t GROUP BY 1",
-    "book_totals": rf"WITH {_TOK}, k AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\p{{L}}]+')) AS w FROM benchmark), b AS (SELECT doc_id, nullif(regexp_replace(lower(word), '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g'), '') AS bare FROM t) SELECT doc_id, count(*) AS tokens, count(bare) AS content, count(DISTINCT bare) AS different, count(k.w) AS defined, round(CASE WHEN count(bare) > 0 THEN 100.0 * count(k.w) / count(bare) END, 6) AS coverage FROM b LEFT JOIN k ON k.w = bare GROUP BY doc_id",
+    "vocabulary_places": f"WITH {_TOK} SELECT lower(word) AS word, count(*) AS n, min(doc_id) AS first_doc, first(ordinal ORDER BY doc_id, ordinal) AS first_place, max(doc_id) AS last_doc, first(ordinal ORDER BY doc_id DESC, ordinal DESC) AS last_place, list(doc_id || ':' || ordinal ORDER BY doc_id, ordinal)[1:20] AS places FROM t GROUP BY 1",
+    "book_totals": rf"""WITH {_TOK}, k AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\p{{L}}]+')) AS w FROM benchmark), b AS (SELECT doc_id, nullif(regexp_replace(lower(word), '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g'), '') AS bare FROM t),
+x AS (SELECT doc_id, count(*) AS tokens, count(bare) AS content, count(DISTINCT bare) AS different, count(k.w) AS defined FROM b LEFT JOIN k ON k.w = bare GROUP BY doc_id),
+y AS (SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([!?])', '\1' || chr(1), 'g'), '[.](\s|<|$)', '.' || chr(1) || '\1', 'g'), chr(1)), lambda z: trim(z, ' ' || chr(9) || chr(13) || chr(10))), lambda z: z <> '')) AS sentences FROM documents)
+SELECT x.*, content - defined AS undefined, sentences, round(CASE WHEN content > 0 THEN 100.0 * defined / content END, 6) AS coverage, round(CASE WHEN sentences > 0 THEN content / sentences END, 6) AS sentence_length FROM x JOIN y ON y.doc_id = x.doc_id""",
+    "fuzzy_catalogue": r"""WITH q AS (SELECT p_partkey AS query_id, list_filter(string_split_regex(lower(substring(p_name, 1, 2) || substring(p_name, 4) || ' ' || p_type), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM part WHERE p_partkey % 50 = 0),
+a AS (SELECT DISTINCT query_id, unnest(ws) AS asked FROM q),
+f AS (SELECT p_partkey AS key, 'p_name' AS field, unnest(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS word FROM part UNION ALL SELECT p_partkey, 'p_type', unnest(list_filter(string_split_regex(lower(p_type), '[^\p{L}\p{N}]+'), lambda w: w <> '')) FROM part),
+n AS (SELECT asked, word, 1 - levenshtein(asked, word) / length(asked) AS worth FROM (SELECT DISTINCT asked FROM a) x, (SELECT DISTINCT word FROM f) y WHERE levenshtein(asked, word) <= CASE WHEN length(asked) <= 2 THEN 0 WHEN length(asked) <= 5 THEN 1 ELSE 2 END),
+h AS (SELECT query_id, key, field, a.asked, max(worth) AS worth FROM a JOIN n ON n.asked = a.asked JOIN f ON f.word = n.word GROUP BY ALL),
+s AS (SELECT query_id, key, field, round(sum(worth), 6) AS score FROM h GROUP BY ALL),
+b AS (SELECT query_id, key, first(field ORDER BY score DESC, field) AS field, max(score) AS score FROM s GROUP BY 1, 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, key, field, score FROM b QUALIFY rank <= 5""",
+    "store_sentences": _BOOKS + " SELECT k AS doc_key, i AS ordinal, CAST(CASE WHEN p > 0 THEN least((i - 1) // greatest(1, len(ls) // p) + 1, p) ELSE 1 END AS int) AS page, len(list_filter(string_split(ls[i], ' '), lambda w: w <> '')) AS words FROM v, unnest(range(1, len(ls) + 1)) AS u(i) WHERE trim(ls[i], ' ') <> ''",
+    "store_pages": _BOOKS + " SELECT k AS doc_key, CAST(g AS int) AS page, CAST((g - 1) * greatest(1, len(ls) // p) + 1 AS int) AS first, CAST(least(g * greatest(1, len(ls) // p), len(ls)) AS int) AS last, CASE WHEN g = 1 THEN length(title) END AS html FROM v, unnest(range(1, p + 1)) AS w(g)",
+    "store_keys": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 6 <> 0 THEN NULL ELSE concat(CASE doc_id % 3 WHEN 0 THEN 'a' ELSE 'b' END, ':', doc_id) END AS known FROM documents",
+    "copied_orders": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 11 <> 0",
     "sentence_stats": r"WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ordinal FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) x), w AS (SELECT *, list_filter(list_transform(list_filter(string_split(line, ' '), lambda w: w <> ''), lambda w: regexp_replace(w, '[^\p{L}]+', '', 'g')), lambda w: w <> '') AS ws FROM l WHERE line <> '') SELECT doc_id, ordinal, CASE right(line, 1) WHEN '?' THEN 'question' WHEN '!' THEN 'exclamation' WHEN '.' THEN 'statement' ELSE 'fragment' END AS kind, len(list_filter(string_split(line, ' '), lambda w: w <> '')) AS tokens, len(ws) AS content, round(len(array_to_string(ws, '')) / nullif(len(ws), 0), 6) AS mean_length FROM w",
     "word_contexts": "SELECT item_id, i - 1 AS ordinal, ws[i] AS word, array_to_string(ws[greatest(1, i - 5) : i + 5], ' ') AS context FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark) x, unnest(range(1, len(ws) + 1)) AS u(i)",
     "layout_formatting": f"WITH {_GLYPHS}, p AS (SELECT *, lag(y) OVER w AS py, lag(x + width) OVER w AS px FROM g WINDOW w AS (PARTITION BY page ORDER BY no, x, y, font, width)) SELECT page, no, CASE WHEN py IS NULL THEN 'start' WHEN abs(y - py) > 1.4 * font THEN 'paragraph' WHEN abs(y - py) > 0.5 * font THEN 'line' WHEN x - px > 0.2 * font THEN 'space' ELSE 'none' END AS before FROM p",
