@@ -2,7 +2,8 @@
 
 The heads of an item's lists tell documents whose scores give a lower bound of its k-th. No document can be among the best whose postings all lie
 below an equal share of that bound, so each list is read down to there; sums of what was read bound the scores from below and
-above, and the documents that can still be among the best are looked up in all lists.
+above, and the documents that can still be among the best are looked up in all lists. Where those are too many, as long items
+make the shares small, lists are read down to a part of the share first, what was read before left out.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from . import common
 BEST, HEAD, SMALL, VOCABULARY = 10, 100, 200_000, 400_000
 #: Documents, as a multiple of the results, whose whole scores give the lower bound: those of the largest sums over the heads.
 TRIED = 10
+#: By how much a further round, where too many documents can still be among the best, reads deeper.
+DEEPER = 4
 #: Parts over which a row of a larger table of the items' side is dealt out.
 SALT = 16
 #: Every byte as it counts: A-Z in lower case, what belongs to no term a blank.
@@ -123,9 +126,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
     with common.Scratch(spark) as scratch:
         q = wanted(items)
         lists, n = index(docs, q, scratch)
-        df = lists.groupBy("term").agg(F.count("*").alias("df"))
+        df = lists.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("top"))
         weight = F.floor(1000 * F.log(F.lit(2.0 * n + 2) / (2 * F.col("df") + 1)))
-        q = scratch.written(q.join(df, "term").select("item_id", "term", "lists", (weight * F.col("times")).cast("long").alias("w")), "ranked-weights")
+        q = scratch.written(q.join(df, "term").select("item_id", "term", "lists", "top", (weight * F.col("times")).cast("long").alias("w")), "ranked-weights")
         rows = q.count()
         gain = (F.col("w") * F.col("impact")).alias("gain")
 
@@ -134,17 +137,29 @@ def search(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
         tried = first.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("low"), "uid"))).where(F.col("r") <= TRIED * k)
         tried = scratch.written(_scores(lists, q, scratch.written(tried.select("item_id", "uid"), "ranked-tried"), rows), "ranked-bounds").withColumnRenamed("score", "low")
         bounds = scratch.written(q.select("item_id", "lists").distinct().join(_kth(tried, k, "floor"), "item_id", "left").selectExpr("item_id", "coalesce(floor, 0) div lists as cut"), "ranked-floors")
-        cuts = scratch.written(q.join(bounds, "item_id").withColumn("least", F.ceil(F.col("cut") / F.greatest(F.col("w"), F.lit(1))) - 1), "ranked-cuts")
-
-        # A list is read down to its lowest cut of any item before its items are joined.
-        lowest = cuts.groupBy("term").agg(F.min("least").alias("lowest"))
-        read = _beside(lists, lowest, ["term"], rows).where("impact >= lowest").drop("lowest")
-        read = _beside(read, cuts, ["term"], rows).where((F.col("w") * F.col("impact") >= F.col("cut")) & (F.col("w") * F.col("impact") > 0))
-        sums = scratch.written(read.groupBy("item_id", "uid").agg(F.sum(gain).alias("low"), (F.first("cut") * (F.first("lists") - F.count("*"))).alias("more")), "ranked-sums")
-        known = sums.select("item_id", "uid", "low").unionByName(tried.select("item_id", "uid", "low")).groupBy("item_id", "uid").agg(F.max("low").alias("low"))
-        second = _kth(known, k, "floor")
-        open_ = scratch.written(sums.join(second, "item_id").where("low + more >= floor").select("item_id", "uid"), "ranked-open")
-
+        cuts, round_, known = bounds, 0, tried.select("item_id", "uid", "low")
+        while True:
+            # What a list can add that was not read: less than the cut, and no more than its head has.
+            now = q.join(cuts, "item_id").withColumn("unread", F.least("cut", F.col("w") * F.col("top")))
+            now = now.withColumn("least", F.ceil(F.col("cut") / F.greatest(F.col("w"), F.lit(1))) - 1)
+            now = scratch.written(now.join(now.groupBy("item_id").agg(F.sum("unread").alias("all")), "item_id"), f"ranked-cuts{round_}")
+            # A list is read down to its lowest cut of any item before its items are joined; what lies above the last cut was read.
+            lowest = now.groupBy("term").agg(F.min("least").alias("lowest"))
+            read = _beside(lists, lowest, ["term"], rows).where("impact >= lowest").drop("lowest")
+            read = _beside(read, now, ["term"], rows).where((F.col("w") * F.col("impact") >= F.col("cut")) & (F.col("w") * F.col("impact") > 0))
+            read = read if round_ == 0 else read.where(F.col("w") * F.col("impact") < F.col("above"))
+            more = read.groupBy("item_id", "uid").agg(F.sum(gain).alias("low"), F.count("*").alias("n"))
+            if round_:  # only of what is still open
+                more = open_.join(more.withColumnsRenamed({"low": "gained", "n": "seen"}), ["item_id", "uid"], "left").select("item_id", "uid", (F.col("low") + F.coalesce("gained", F.lit(0))).alias("low"), (F.col("n") + F.coalesce("seen", F.lit(0))).alias("n"))
+            sums = scratch.written(more, f"ranked-sums{round_}")
+            sure = sums.select("item_id", "uid", "low").unionByName(known).groupBy("item_id", "uid").agg(F.max("low").alias("low"))
+            floors = _kth(sure, k, "floor").join(now.select("item_id", "cut", "all").distinct(), "item_id")
+            open_ = scratch.written(sums.join(floors, "item_id").where("low + all - n * cut >= floor").select("item_id", "uid", "low", "n"), f"ranked-open{round_}")
+            if open_.count() <= SMALL or not cuts.agg(F.max("cut")).first()[0]:
+                break
+            cuts, round_ = scratch.written(cuts.selectExpr("item_id", f"cut div {DEEPER} as cut", "cut as above"), f"ranked-floors{round_}"), round_ + 1
+
+        open_ = open_.select("item_id", "uid")
         exact = _scores(lists, q, open_, rows)
         rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "uid"))
         best = exact.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k)
