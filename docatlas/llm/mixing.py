@@ -1,12 +1,13 @@
 """Mixing to target weights with soft membership, in SQL functions only.
 
 A classifier learned from labelled documents gives each document a posterior over domains. Nonnegative rates of
-documents then bring the expected tokens of each domain to its target: those nearest to 1 that do, by projected
-Newton steps whose sums over all documents Spark takes.
+documents then bring the expected tokens of each domain to its target, by projected gradient steps of least squares whose
+sums over all documents Spark takes.
 """
 
 from __future__ import annotations
 
+import json
 import warnings
 
 import numpy as np
@@ -21,9 +22,11 @@ MAX_ROWS = 20_000
 MARKERS, LEAST, GRADES, STEM = 200, 4, (1.5, 4.0), 5
 #: Ridge on standardised features, and the log-odds of a domain of which no row is labelled.
 RIDGE, UNSEEN = 1e-2, -14.0
-#: Steps at most, the largest relative error of a domain's tokens that ends them, and the pull of rates to 1: it damps steps, and
-#: decides where no rates meet all targets.
-STEPS, CLOSE, PULL = 24, 1e-3, 1e-4
+#: Steps at most, the largest relative error of a domain's tokens that ends them, the least change of tokens that counts as a step, and
+#: the share of a domain's tokens by which its weight in the squares is bounded.
+STEPS, CLOSE, STILL, BOUND = 200, 1e-3, 1e-7, 1e-7
+#: Steps after which the rates so far are written, so that a step does not repeat all before it.
+WRITTEN = 25
 TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
 #: What is counted of a text's shape, by the word.
 SHAPES = {"capitals": "[A-Z]{2,}", "marks": r"[#$%&*@^~<>{}\[\]\\=+_`!|]+", "digits": "[0-9]+"}
@@ -137,35 +140,35 @@ def posteriors(docs: DataFrame, model: tuple, names: list[str], *more: str) -> D
     return x.select(*more, "tokens", F.transform("e", lambda v: v / total).alias("p"))
 
 
+def _after(steps: list[tuple[list[float], float]], begun: bool = True) -> Column:
+    """(r, y) of a row after steps (level, momentum) from the columns r and y, or from 1 and 1: r becomes y less p . level, 0 at least, and y goes on in the direction that r took."""
+    start = F.struct(F.col("r").alias("r"), F.col("y").alias("y")) if begun else F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    if not steps:
+        return start
+    told = F.from_json(F.lit(json.dumps([{"l": list(level), "b": beta} for level, beta in steps])), "array<struct<l:array<double>,b:double>>")
+
+    def step(s: Column, x: Column) -> Column:
+        r = F.greatest(F.lit(0.0), s["y"] - F.aggregate(F.zip_with("p", x["l"], lambda a, c: a * c), F.lit(0.0), lambda a, v: a + v))
+        return F.struct(r.alias("r"), (r + x["b"] * (r - s["r"])).alias("y"))
+
+    return F.aggregate(told, start, step)
+
+
 def rates(soft: DataFrame, weights: list[float], budget: float | None = None) -> tuple[Column, list[float], list[float]]:
     """The rate of each row of soft (tokens, p) as a column, the domain tokens it gives and the targets.
 
-    budget: tokens wanted in all; by default those at which the domain of the largest target is used just once.
-    The nonnegative rates nearest to 1 that meet the targets are max(0, 1 + level . p), with levels that minimise a
-    convex function of as many variables as domains; its slope and curvature are sums over all rows. Where the steps
-    do not close on the targets, the rates are those of least squares with PULL, and a warning tells what they give.
+    budget: tokens wanted in all; by default those at which the domain of the largest target is used just once. From
+    rates of 1, gradient steps of the least squares between domain tokens and targets, each projected to rates of at least 0,
+    with momentum that begins anew where it leads away. The squares are weighted by the inverse of the domains'
+    second moments, for which a step of 1 is safe. A step needs the domain tokens of the rates so far, which are sums over all
+    rows. Where the targets are out of reach, the rates are those of least squares, and a warning tells what they give.
     """
     k = len(weights)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     p = [F.get("p", F.lit(i)) for i in range(k)]
-
-    def rate(level: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), F.lit(1.0) + sum(x * float(v) for x, v in zip(p, level, strict=True)))
-
-    def took(level: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Half the tokens times squared rates, domain tokens and curvature at a level."""
-        rows = soft.select("tokens", "p", rate(level).alias("r"))
-        n, live = F.col("tokens") * F.col("r"), F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
-        row = rows.agg(F.sum(n * F.col("r") / 2), *(F.sum(n * x) for x in p), *(F.sum(live * p[i] * p[j]) for i, j in pairs)).first()
-        half, *sums = [float(x or 0.0) for x in row]
-        curve = np.zeros((k, k))
-        for (i, j), x in zip(pairs, sums[k:], strict=True):
-            curve[i, j] = curve[j, i] = x
-        return half, np.array(sums[:k]), curve
-
-    start = took(np.zeros(k))
-    have = start[1]
-    total = float(have.sum()) or 1.0
+    one = soft.select("tokens", "p").withColumns({"r": F.lit(1.0), "y": F.lit(1.0)})
+    sums = [float(x or 0.0) for x in one.agg(*(F.sum(F.col("tokens") * x) for x in p), *(F.sum(F.col("tokens") * p[i] * p[j]) for i, j in pairs)).first()]
+    have, total = np.array(sums[:k]), float(sum(sums[:k])) or 1.0
     if not have.any():
         return F.lit(1.0), have.tolist(), [0.0] * k
     scale = sum(weights)
@@ -173,36 +176,41 @@ def rates(soft: DataFrame, weights: list[float], budget: float | None = None) ->
         w, h = max(zip(weights, have.tolist(), strict=True))
         budget = h / (w / scale) if w > 0 and h > 0 else total
     target = np.array([w / scale * budget for w in weights])
-    damp = PULL * np.maximum(have, 1e-6 * total)
+    moments = np.zeros((k, k))
+    for (i, j), x in zip(pairs, sums[k:], strict=True):
+        moments[i, j] = moments[j, i] = x
+    metric = np.linalg.inv(moments + BOUND * total * np.eye(k))
 
     def off(now: np.ndarray) -> float:
         return float((abs(now - target) / np.maximum(target, 1e-3 * total)).max())
 
-    def height(half: float, level: np.ndarray, pull: np.ndarray) -> float:
-        return half - level @ target + (pull * level**2).sum() / 2
-
-    def solved(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Newton steps, damped more after one that did not lead down."""
-        level, (half, now, curve), more = np.zeros(k), start, 1.0
-        for _ in range(STEPS):
-            slope = target - now - pull * level
-            if off(now) <= CLOSE or (abs(slope) <= 1e-9 * total).all():
-                break
-            step = np.linalg.solve(curve + np.diag(np.maximum(pull, more * damp)), slope)
-            tried = level + step
-            got = took(tried)
-            if height(got[0], tried, pull) <= height(half, level, pull):
-                level, (half, now, curve), more = tried, got, max(1.0, more / 100)
+    now = ahead = have
+    steps: list[tuple[list[float], float]] = []
+    momentum, still = 1.0, 0
+    with common.Scratch(soft.sparkSession) as scratch:
+        rows, done = one, 0
+        while off(now) > CLOSE and len(steps) < STEPS and still < 3:
+            level = (metric @ (ahead - target)).tolist()
+            at = rows.select("tokens", "p", _after(steps[done:]).alias("s")).select("tokens", "p", "s.r", "s.y")
+            r = F.greatest(F.lit(0.0), F.col("y") - sum((x * v for x, v in zip(p, level, strict=True)), F.lit(0.0)))
+            at = at.withColumn("next", r)
+            turn = F.sum(F.col("tokens") * (F.col("y") - F.col("next")) * (F.col("next") - F.col("r")))
+            got = [float(x or 0.0) for x in at.agg(*(F.sum(F.col("tokens") * x * F.col("next")) for x in p), turn).first()]
+            new = np.array(got[:k])
+            if got[k] > 0:  # momentum leads away
+                momentum, beta = 1.0, 0.0
             else:
-                more *= 30
-        return level, now
-
-    level, now = solved(np.zeros(k))
+                more = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
+                momentum, beta = more, (momentum - 1) / more
+            still = still + 1 if abs(new - now).max() <= STILL * total else 0
+            ahead, now = new + beta * (new - now), new
+            steps.append((level, beta))
+            if len(steps) - done >= WRITTEN:
+                rows = scratch.written(rows.select("tokens", "p", _after(steps[done:]).alias("s")).select("tokens", "p", "s.r", "s.y"), "mixing-rates")
+                done = len(steps)
     if off(now) > CLOSE:
-        level, now = solved(damp)
-        if off(now) > CLOSE:
-            warnings.warn(f"mixing: rates give {now.tolist()} tokens of the domains, targets are {target.tolist()}", stacklevel=2)
-    return rate(level), now.tolist(), target.tolist()
+        warnings.warn(f"mixing: rates give {now.tolist()} tokens of the domains, targets are {target.tolist()}", stacklevel=2)
+    return _after(steps, False)["r"], now.tolist(), target.tolist()
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, keep: str | None = None) -> DataFrame:

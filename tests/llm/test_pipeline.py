@@ -60,5 +60,10 @@ def test_repeated_rows_and_an_empty_table(spark, tmp_path):
     docs = pa.table({"doc_id": pa.array([1, 1, None, 2], pa.int64()), "text": [A, A, A, A + " with quite a few other words after it all in one more line"], "lang": ["en"] * 4, "n_chars": pa.array([1, 1, 1, 1], pa.int32())})
     folder = tables(tmp_path / "t", docs, LABELS)
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == {1, 2}
+    whole = common.table(spark, folder, "documents")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, whole, folder).collect()) == [1, 2]
+    again = whole.withColumn("text", corpus_pipeline.F.concat(corpus_pipeline.F.lit("token: abcdefghijklmno "), "text"))
+    masked = corpus_pipeline.secret_scan(spark, again, folder).collect()
+    assert len(masked) == 4 and all(r.text.startswith("[SECRET] ") for r in masked)  # a row without an id as well
     folder = tables(tmp_path / "e", docs.slice(0, 0), LABELS.slice(0, 0))
     assert corpus_pipeline.run(spark, folder).count() == 0

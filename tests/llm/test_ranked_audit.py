@@ -67,7 +67,7 @@ def test_search_equals_a_full_scan(spark, docs, k):
 
 
 def test_search_without_broadcasts_and_in_passes(spark, docs, monkeypatch):
-    for name, v in (("SMALL", 0), ("VOCABULARY", 10), ("HEAD", 1)):
+    for name, v in (("SMALL", 0), ("VOCABULARY", 60), ("HEAD", 1)):
         monkeypatch.setattr(ranked, name, v)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert found(ranked.search(docs, items)) == brute_search(ROWS, ITEMS)
