@@ -21,18 +21,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies, once where its row repeats; rows without an id have no place in a group and go."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    """Keeps the first document of each group of near copies, one row of it where its row repeats; rows without an id have no place in a group and go."""
+    kept = minhash.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
     own = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("id"))
-    return own.join(kept.hint("shuffle_hash"), "id", "left_semi").select("own.*")
+    got = common.written(own.join(kept.hint("shuffle_hash"), "id"), "pipeline-kept")
+    return got.where("n = 1").select("own.*").unionByName(got.where("n > 1").dropDuplicates(["id"]).select("own.*"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks the secrets found in a document's text; n_chars follows where there is such a column."""
-    hits = secrets.scan(docs).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
+    """Masks the secrets found in a document's text; n_chars follows where there is such a column. Findings come back by document and text, so that copies of a text are in many tasks."""
+    hits = secrets.scan(docs).where(F.size("findings") > 0).select(F.col("doc_id").alias("id"), "blob", "findings").dropDuplicates(["id", "blob"])
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.struct(*docs.columns).alias("own"), F.unhex(F.sha2(whole, 256)).alias("blob"))
-    got = own.join(hits, "blob", "left")
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(whole, 256)).alias("blob"))
+    got = own.join(hits, own["id"].eqNullSafe(hits["id"]) & (own["blob"] == hits["blob"]), "left").select("own", "findings")
     clean = secrets.redacted(F.col("own.text").cast("string"), F.col("findings"))
     own = F.col("own").withField("text", F.when(F.col("findings").isNull(), F.col("own.text")).otherwise(clean.cast(docs.schema["text"].dataType)))
     if "n_chars" in docs.columns:
