@@ -93,7 +93,7 @@ class Vectors:
     def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Numbers, centres, rows and least cosines to the centre of the cells, CELLS at most."""
         got = self.spark.read.schema("cell int, centre array<float>, rows long, near double").parquet(f"{self.path}/cells").orderBy("cell").collect()
-        return np.array([r.cell for r in got], int), np.array([r.centre for r in got], np.float32).astype(np.float64).reshape(len(got), -1), np.array([r.rows for r in got], float), np.array([r.near for r in got])
+        return np.array([r.cell for r in got], int), np.array([r.centre for r in got], np.float32).astype(np.float64).reshape(len(got), len(got[0].centre) if got else 0), np.array([r.rows for r in got], float), np.array([r.near for r in got])
 
     @property
     def rows(self) -> DataFrame:
@@ -191,6 +191,19 @@ class Vectors:
             return asked.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("chunk"), F.lit(0.0).alias("distance")).where("false")
         return out
 
+    def calibrated(self, queries: DataFrame, k: int, recall: float = 0.95) -> int:
+        """The fewest probes with which these queries (BLOCK of them at most) find a share `recall` of their k nearest, told by an exact search."""
+        some = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("q")).orderBy("query_id").limit(BLOCK)
+        near = self.nearest(some.select("query_id", F.col("q").alias("embedding")), k).join(self.rows.select("cell", "doc_id", "chunk"), ["doc_id", "chunk"])
+        hits = near.join(some, "query_id").select("query_id", "q", "cell").collect()
+        if not hits:
+            return 1
+        place = {int(n): i for i, n in enumerate(self.cells[0])}
+        q = np.array([r.q for r in hits], np.float64)
+        order = np.argsort(np.argsort(-(q / np.linalg.norm(q, axis=1, keepdims=True)) @ self.cells[1].T, 1), 1)
+        needed = np.sort(order[np.arange(len(hits)), [place[r.cell] for r in hits]])
+        return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
     def share(self, queries: np.ndarray, probes: int) -> float:
         """Which share of all rows the unit queries read on average, with so many probes."""
         return float((self.probed(queries, probes) @ self.cells[2]).mean() / self.cells[2].sum())

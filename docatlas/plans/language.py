@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docatlas.functions import dsl, layout, prose, splitting, text as T
-from docatlas.operators import lexicon, store
+from docatlas.operators import lexicon, store, wordsplit
 
 from . import analysis, search
 
@@ -65,6 +65,24 @@ def _redactions(s: SparkSession, d: str) -> DataFrame:
     return layout.redactions(analysis.layout(s, d).withColumn("text", F.lit("abc")).dropDuplicates(["page", "no"]))
 
 
+def _known(s: SparkSession, d: str) -> DataFrame:
+    """The words of parts' names and types, with how often they occur."""
+    return _t(s, d, "part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), r"[^a-z]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def _apart(s: SparkSession, d: str) -> DataFrame:
+    """Types of parts and the last words of their names, run together and taken apart again."""
+    run = F.regexp_replace(F.concat("p_type", F.element_at(F.split("p_name", " "), -1)), "[^A-Za-z]", "")
+    return wordsplit.taken_apart(_t(s, d, "part").select(run.alias("word")), _known(s, d)).select("word", F.array_join("parts", " ").alias("parts"))
+
+
+def _rejoined(s: SparkSession, d: str) -> DataFrame:
+    """Names of parts with a blank after the second letter of each word."""
+    cut = F.filter(F.split(F.regexp_replace(F.lower("p_name"), r"\b([a-z]{2})([a-z]{2,})", "$1 $2"), "[^a-z]+"), lambda w: w != "")
+    rows = _t(s, d, "part").select(F.col("p_partkey").alias("line"), F.posexplode(cut).alias("at", "word"))
+    return wordsplit.rejoined(rows, _known(s, d)).select(F.col("line").alias("p_partkey"), "at", "upto", "word")
+
+
 QUERIES = {
     "word_web": _web,
     "dictionary_senses": lambda s, d: _entries(s, d).select("headword", "sense_id", "text"),
@@ -83,12 +101,21 @@ QUERIES = {
     "clean_sentences": lambda s, d: _t(s, d, "conversations").select("conv_id", "turn", prose.clean_sentences(T.sentences(F.col("text"))).alias("sentences")),
     "abstracts": lambda s, d: _t(s, d, "documents").select("doc_id", prose.abstract(F.col("text")).alias("abstract")),
     "highlights": lambda s, d: _t(s, d, "benchmark").select("item_id", prose.highlighted(F.col("text"), "the of").alias("shown")),
-    "html_sentences": lambda s, d: _t(s, d, "pages").select("page_id", F.posexplode(splitting.html_sentences_udf(F.col("html"))).alias("ordinal", "sentence")),
+    "html_sentences": lambda s, d: _t(s, d, "pages").select("page_id", F.posexplode(splitting.html_sentences(F.col("html"))).alias("ordinal", "sentence")),
     "redactions": _redactions,
+    "words_apart": _apart,
+    "words_rejoined": _rejoined,
 }
 
 _ENTRY = "e AS (SELECT 'part' || p_partkey AS headword, u.sense_id, u.text FROM part, unnest([{'sense_id': '1', 'text': p_name}, {'sense_id': '1:a', 'text': p_type}, {'sense_id': '1:b', 'text': p_brand}, {'sense_id': '2', 'text': 'of type ' || p_type}]) AS t(u))"
 ORACLES = {
+    "html_sentences": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<\s*(br|/p|/h|/div|/li|/tr|/bl|/ar|/se)[^>]*>', chr(1), 'g'), '<[^>]*>', chr(2), 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(h, '([.?!])([\s\x01\x02]|$)', '\1' || chr(1) || '\2', 'g') AS h FROM a),
+c AS (SELECT page_id, string_split(replace(regexp_replace(h, '(^|[^\p{L}\p{N}])Abstract([^\p{L}\p{N}]|$)', '\1' || chr(1) || 'Abstract' || chr(1) || '\2', 'g'), chr(2), ''), chr(1)) AS ss FROM b),
+e AS (SELECT page_id, list_filter(list_transform(ss, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: x <> '') AS ss FROM c)
+SELECT page_id, u.i - 1 AS ordinal, ss[u.i] AS sentence FROM e, unnest(range(1, len(ss) + 1)) AS u(i)""",
+    "words_apart": "SELECT DISTINCT regexp_replace(p_type || string_split(p_name, ' ')[-1], '[^A-Za-z]', '', 'g') AS word, array_to_string(list_filter(string_split_regex(p_type || ' ' || string_split(p_name, ' ')[-1], '[^A-Za-z]+'), lambda w: w <> ''), ' ') AS parts FROM part",
+    "words_rejoined": "WITH w AS (SELECT p_partkey, u.i, ws[u.i] AS word FROM (SELECT p_partkey, list_filter(string_split_regex(lower(p_name), '[^a-z]+'), lambda w: w <> '') AS ws FROM part) x, unnest(range(1, len(ws) + 1)) AS u(i)), c AS (SELECT *, CAST(i - 1 + coalesce(sum(CASE WHEN length(word) >= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS int) AS pl FROM w) SELECT p_partkey, pl AS \"at\", pl + 1 AS upto, word FROM c WHERE length(word) >= 4",
     "word_web": "WITH w AS (SELECT item_id * 1000000 + i - 1 AS place, ws[i] AS word FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark) x, unnest(range(1, len(ws) + 1)) AS u(i) WHERE ws[i] <> '') SELECT lower(word) AS key, min(place) AS word_id, first(word ORDER BY CASE WHEN word = lower(word) THEN 0 WHEN word = upper(left(word, 1)) || lower(word[2:]) THEN 1 ELSE 2 END, place) AS shown FROM w GROUP BY 1",
     "dictionary_senses": f"WITH {_ENTRY} SELECT headword, sense_id, text FROM e",
     "dictionary_prefix": f"WITH {_ENTRY} SELECT headword, sense_id FROM e WHERE headword LIKE 'part1%'",

@@ -102,7 +102,7 @@ def test_phrases(index):
 
 def test_queries_read_folders_of_their_words_only(index):
     plan = index.counted(["the"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [folder" in plan and "PushedFilters" in plan and "chunk#" not in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*folder", plan) and "PushedFilters" in plan and "chunk#" not in plan
     one = index.of("postings", ["the"]).select(F.input_file_name()).distinct().count()
     assert one < index.table("postings").select(F.input_file_name()).distinct().count()
 

@@ -1,7 +1,11 @@
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from docatlas.functions import splitting as S, text as T
+from docatlas.operators import wordsplit
 from docatlas.operators import lexicon as L
 
 
@@ -97,10 +101,13 @@ def test_notes(spark):
     assert [r.valid for r in L.valid_notes(notes, docs).orderBy("doc_id", F.desc("valid"), "start").collect()] == [True, False, False, False]
 
 
-def test_html_sentences():
-    assert S.html_sentences("<p>One two.<b>Three</b> four? 3.5 of it</p><div>Abstract Five<br/>six") == ["One two.", "Three four?", "3.5 of it", "Abstract", "Five", "six"]
-    assert [len(s.split()) for s in S.html_sentences("w " * 2500)] == [1000, 1000, 500]
-    assert S.html_sentences("") == []
+def test_html_sentences(spark):
+    said = ["<p>One two.<b>Three</b> four? 3.5 of it</p><div>Abstract Five<br/>six", "w " * 2500, "", None, "<p title='Abstract'>x Abstracts x'Abstract 'Abstract'</p>! y?! <i>z.</i>w.<", "a,b " * 499 + "one two. end", "<<p>q</P >r</heading>s\u0001t"]
+    got = [r.s for r in spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string").orderBy("i").select(S.html_sentences(F.col("t")).alias("s")).collect()]
+    assert got[0] == ["One two.", "Three four?", "3.5 of it", "Abstract", "Five", "six"]
+    assert [len(s.split()) for s in got[1]] == [1000, 1000, 500] and got[2] == [] and got[3] is None
+    assert got[4] == ["x Abstracts x'Abstract '", "Abstract", "'", "!", "y?!", "z.", "w.", "<"]
+    assert [len(re.findall("[a-z]+", x)) for x in got[5]] == [1000, 1] and got[6] == ["q", "r", "s t"]
 
 
 def test_marks():
@@ -112,18 +119,45 @@ def test_addresses():
     assert S.merged_addresses(["Short one.", "Short two."]) == ["Short one.", "Short two."]
 
 
-KNOWN = frozenset("the quick brown fox jumps over house mouse light in inside side a".split())
-
-
-@pytest.mark.parametrize("said,want", [("thequickbrownfox", "the quick brown fox"), ("light house", "light house"), ("QuickBrown", "Quick Brown"), ("ho use, mouse", "house, mouse"), ("xyzzy inside", "xyzzy inside")])
-def test_word_splits(said, want):
-    assert S.split_text(said, KNOWN) == want
-
-
-def test_udfs(spark):
-    df = spark.createDataFrame([("<p>A b.</p>C",), (None,)], "t string")
-    assert [r.s for r in df.select(S.html_sentences_udf(F.col("t")).alias("s")).collect()] == [["A b.", "C"], None]
-    assert spark.createDataFrame([("thefox",)], "t string").select(S.split_text_udf(F.col("t"), ["the", "fox"]).alias("s")).first().s == "the fox"
+KNOWN = {"the": 50, "quick": 3, "brown": 3, "fox": 2, "jumps": 1, "over": 9, "house": 4, "mouse": 2, "light": 2, "in": 30, "inside": 2, "side": 5, "a": 40, "b": 9, "éclair": 1}
+
+
+def cheapest(word):
+    """The cheapest known parts, trying every way."""
+    total = sum(KNOWN.values())
+    price = {w: math.log(total / n) + wordsplit.PART_COST for w, n in KNOWN.items() if len(w) > 1 or w in "ai"}
+    low, best = word.lower(), [(0.0, [])] + [None] * len(word)
+    for e in range(1, len(low) + 1):
+        ways = [(best[s][0] + price[low[s:e]], [*best[s][1], word[s:e]]) for s in range(e) if best[s] and low[s:e] in price]
+        best[e] = min(ways) if ways else None
+    return best[-1] and best[-1][1]
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_words_are_taken_apart(spark, monkeypatch, small):
+    monkeypatch.setattr(wordsplit, "SMALL", small)
+    said = ["thequickbrownfox", "QuickBrown", "xyzzyinside", "inside", "theb", "ahouse", "insidehouse", "INSIDEMOUSE", "theéclair", "the1fox", "", "x", "thethethe", "thequickbrownfox"]
+    known = spark.createDataFrame([(w.title() if w == "fox" else w, n) for w, n in KNOWN.items()], "word string, n long")
+    got = {r.word: r.parts for r in wordsplit.taken_apart(spark.createDataFrame([(w,) for w in said], "word string"), known).collect()}
+    want = {w: cheapest(w) for w in said if w.isalpha() and w.lower() not in KNOWN and len(w) > 1}
+    assert got == {w: p for w, p in want.items() if p and len(p) > 1}
+    assert got["insidehouse"] == ["inside", "house"] and got["INSIDEMOUSE"] == ["INSIDE", "MOUSE"]
+
+
+def test_words_are_rejoined(spark):
+    lines = ["ho use the mo use", "light house in si de", "ju m ps ov er", "in side", "zz yy", "qui ck qui ck"]
+    tokens = [(i, j, w) for i, x in enumerate(lines) for j, w in enumerate(x.split())]
+    known = spark.createDataFrame([(w, n) for w, n in KNOWN.items()], "word string, n long")
+    want = []
+    for i, x in enumerate(lines):
+        ws, at = x.split(), 0
+        while at < len(ws):
+            upto = next((e for e in range(at, min(len(ws), at + 9)) if "".join(ws[at : e + 1]) in KNOWN), None) if ws[at] not in KNOWN else None
+            if upto is not None:
+                want.append((i, at, upto, "".join(ws[at : upto + 1])))
+            at = at + 1 if upto is None else upto + 1
+    got = sorted(tuple(r) for r in wordsplit.rejoined(spark.createDataFrame(tokens, "line int, at int, word string"), known).collect())
+    assert got == want and (2, 0, 2, "jumps") in got and (5, 2, 3, "quick") in got
 
 
 def test_trigrams_and_kinds(spark):
