@@ -110,7 +110,7 @@ QUERIES = {
 _ENTRY = "e AS (SELECT 'part' || p_partkey AS headword, u.sense_id, u.text FROM part, unnest([{'sense_id': '1', 'text': p_name}, {'sense_id': '1:a', 'text': p_type}, {'sense_id': '1:b', 'text': p_brand}, {'sense_id': '2', 'text': 'of type ' || p_type}]) AS t(u))"
 ORACLES = {
     "html_sentences": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<\s*(br|/p|/h|/div|/li|/tr|/bl|/ar|/se)[^>]*>', chr(1), 'g'), '<[^>]*>', chr(2), 'g') AS h FROM pages),
-b AS (SELECT page_id, regexp_replace(h, '([.?!])([\s\x01\x02]|$)', '\1' || chr(1) || '\2', 'g') AS h FROM a),
+b AS (SELECT page_id, regexp_replace(h, '([.?!])([\s\x01\x02<]|$)', '\1' || chr(1) || '\2', 'g') AS h FROM a),
 c AS (SELECT page_id, string_split(replace(regexp_replace(h, '(^|[^\p{L}\p{N}])Abstract([^\p{L}\p{N}]|$)', '\1' || chr(1) || 'Abstract' || chr(1) || '\2', 'g'), chr(2), ''), chr(1)) AS ss FROM b),
 e AS (SELECT page_id, list_filter(list_transform(ss, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: x <> '') AS ss FROM c)
 SELECT page_id, u.i - 1 AS ordinal, ss[u.i] AS sentence FROM e, unnest(range(1, len(ss) + 1)) AS u(i)""",
