@@ -1,4 +1,4 @@
-"""Readers of sheets and dumps: rows as lines, escaped CSV, records that were broken apart, parts of tables, schemas, archives, pages of a table."""
+"""Readers of sheets and dumps: rows as lines, parts of tables, schemas, archives, pages of a table. Quoted dumps are read in `splits`."""
 
 from __future__ import annotations
 
@@ -48,57 +48,6 @@ def row_lines(rows: DataFrame) -> DataFrame:
     return rows.join(sheets, "path").select(*rows.columns[:-1], F.concat(F.lit("["), at, F.lit("] "), "line").alias("line"))
 
 
-def _field(raw: Column) -> Column:
-    r"""What a field of a dump says: quotes off, "" and backslash escapes read, a bare \N null."""
-    quoted = raw.rlike(r'(?s)^".*"$')
-    body = F.when(quoted, F.substring(raw, 2, F.length(raw) - 2)).otherwise(raw)
-    safe = F.replace(body, F.lit("\\\\"), F.lit("\ue000"))
-    for said, meant in (('\\"', '"'), ('""', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        safe = F.replace(safe, F.lit(said), F.lit(meant))
-    return F.when(~quoted & (raw == "\\N"), F.lit(None)).otherwise(F.replace(safe, F.lit("\ue000"), F.lit("\\")))
-
-
-# Fixed value: one field of a dump, quoted with "" and backslash escapes, or bare.
-_FIELD = r'(?:"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"|[^,"\r\n]*+)'
-
-
-def unbalanced(line: Column) -> Column:
-    """Whether a quote is left open in a line, escaped and doubled ones aside."""
-    bare = F.replace(F.replace(line, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
-    return (F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))) % 2 == 1
-
-
-def repaired(lines: DataFrame) -> DataFrame:
-    """(path, no, line) to records (path, no, record): lines that an open quote or base64 runs on into are joined, left-over ends of JSON dropped.
-
-    A record begins where the quotes before it in its file are even; counts run over one file at a time.
-    """
-    w = Window.partitionBy("path").orderBy("no")
-    odd = F.when(unbalanced(F.col("line")), 1).otherwise(0)
-    open_before = F.coalesce(F.sum(odd).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
-    goes_on = F.col("line").rlike("^[A-Za-z0-9+/=]{30,}") & ~F.contains("line", F.lit(","))
-    rows = lines.withColumn("first", ~(open_before | goes_on))
-    rows = rows.withColumn("record_no", F.sum(F.when(F.col("first"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = rows.groupBy("path", "record_no").agg(F.min("no").alias("no"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n").alias("record"))
-    orphan = (F.size(F.split("record", ",")) <= 3) & F.col("record").rlike(r'^\s*(?:[\]}]|"[^"]*"\s*:)|[\]}]\s*"?\s*$')
-    return joined.where((F.col("record_no") > 0) & ~orphan).select("path", "no", "record")
-
-
-def dump(spark: SparkSession, path: str, columns: list[str], header: bool = False) -> tuple[DataFrame, DataFrame]:
-    r"""Rows of a quoted dump and the records that do not have as many fields: both come back, nothing is lost in silence.
-
-    Fields are quoted with "" and backslash escapes and may span lines; \N is null; gzip goes by the extension. A file is
-    read by one task, as quotes can span any line.
-    """
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
-    record = rf'((?:{_FIELD})(?:,(?:{_FIELD}))*)(?:\r\n|\n|\r|\z)'
-    records = raw.select("path", F.posexplode(F.regexp_extract_all("value", F.lit(rf"(?s)(?<=^|\n|\r)(?!\z){record}"), F.lit(1))).alias("no", "record")).where("record <> ''")
-    records = records.where("no > 0") if header else records
-    fields = records.select("path", "no", "record", F.regexp_extract_all(F.concat(F.lit(","), "record"), F.lit(rf"(?s),({_FIELD})"), F.lit(1)).alias("f"))
-    good = fields.where(F.size("f") == len(columns)).select(*(_field(F.col("f")[i]).alias(c) for i, c in enumerate(columns)))
-    return good, fields.where(F.size("f") != len(columns)).select("path", "no", "record")
-
-
 def separators(line: Column) -> Column:
     """Fields by their separators, a quote or digit before a comma; -1 where a letter follows a quoted one, as then the row is broken."""
     return F.when(line.rlike('",[A-Za-z]'), -1).otherwise(1 + F.regexp_count(line, F.lit('(?:"|[0-9]),')))
@@ -137,18 +86,21 @@ def columns_of(ddl: str) -> list[str]:
     return [m[1] for m in names if m and m[1].upper() not in ("PRIMARY", "UNIQUE", "KEY", "INDEX", "CONSTRAINT", "FOREIGN", "FULLTEXT", "CHECK")]
 
 
-def tsv_with_json(spark: SparkSession, path: str, columns: list[str], json_schema: str) -> DataFrame:
-    """Lines of tab-separated fields of which the last is JSON, read into `data`; a line of fewer fields is left out, broken JSON is null."""
+def tsv_with_json(spark: SparkSession, path: str, columns: list[str], json_schema: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of tab-separated fields of which the last is JSON, read into `data`, broken JSON being null; and the lines of fewer fields."""
     f = F.split("value", "\t", len(columns) + 1)
-    rows = spark.read.text(path).where(F.size(f) == len(columns) + 1)
-    return rows.select(*(F.nullif(F.trim(f[i]), F.lit("")).alias(c) for i, c in enumerate(columns)), F.from_json(f[len(columns)], json_schema).alias("data"))
+    lines = spark.read.text(path)
+    rows = lines.where(F.size(f) == len(columns) + 1)
+    return rows.select(*(F.nullif(F.trim(f[i]), F.lit("")).alias(c) for i, c in enumerate(columns)), F.from_json(f[len(columns)], json_schema).alias("data")), lines.where(F.size(f) <= len(columns))
 
 
-def offset_index(spark: SparkSession, path: str) -> DataFrame:
-    """(aacid, primary_id, md5, offset, length) of an index; a digest that is none is null, a row without place is left out."""
+def offset_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(aacid, primary_id, md5, offset, length) of an index, a digest that is none being null; and the rows without a place, as they are."""
     raw = spark.read.csv(path, schema="aacid string, primary_id string, md5 string, offset string, length string")
     md5 = F.when(F.col("md5").rlike("^[0-9a-fA-F]{32}$"), F.lower("md5"))
-    return raw.select("aacid", "primary_id", md5.alias("md5"), F.col("offset").try_cast("long").alias("offset"), F.col("length").try_cast("long").alias("length")).where("offset is not null and length is not null")
+    placed = F.col("offset").try_cast("long").isNotNull() & F.col("length").try_cast("long").isNotNull()
+    rows = raw.where(placed).select("aacid", "primary_id", md5.alias("md5"), F.col("offset").try_cast("long").alias("offset"), F.col("length").try_cast("long").alias("length"))
+    return rows, raw.where(~placed)
 
 
 def after_key(df: DataFrame, key: str, last: int | None, n: int) -> DataFrame:

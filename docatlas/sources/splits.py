@@ -158,6 +158,8 @@ def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _FIELD = re.compile(rb'(?:^|,)(?:"((?:[^"\\]|\\.|"")*)"(?=,|\Z)|([^,]*))', re.S)
+#: What is left of JSON that was broken over lines: it begins with a closing bracket or a key, or ends with a bracket.
+_JSON_REST = re.compile(rb'^\s*(?:[\]}]|"[^"]*"\s*:)|[\]}]\s*"?\s*$')
 _SAID = {b'\\"': b'"', b'""': b'"', b"\\\\": b"\\", b"\\n": b"\n", b"\\r": b"\r", b"\\t": b"\t"}
 _ESCAPE = re.compile(rb'\\["\\nrt]|""')
 
@@ -170,7 +172,8 @@ def fields(record: bytes) -> list[bytes | None]:
 def dump(spark: SparkSession, path: str, columns: list[str], start: str | None = None, joins: bool = False, numbers: int = 0, header: bool = False) -> tuple[DataFrame, DataFrame]:
     r"""(path, offset, <columns>) of the sound records of files, and (path, offset, record, reason) of the others: nothing is lost in silence.
 
-    A sound record has as many fields as columns, and digits alone in the first `numbers`. Fields come as text; bytes that are
+    A sound record has as many fields as columns, and digits alone in the first `numbers`; of the others, those of up to three
+    fields that look like it are told to be fragments of JSON. Fields come as text; bytes that are
     no UTF-8 become replacement characters there. With a header, the first record of a file is left out.
     """
     rows = records(spark, path, start, joins)
@@ -182,7 +185,8 @@ def dump(spark: SparkSession, path: str, columns: list[str], start: str | None =
             got = []
             for r in b.column("record").to_pylist():
                 f = fields(r)
-                bad = f"{len(f)} fields, not {width}" if len(f) != width else next((f"no number in field {i + 1}" for i in range(numbers) if not (f[i] or b"").strip().isdigit()), None)
+                rest = len(f) <= 3 < width and _JSON_REST.search(r)
+                bad = "a fragment of JSON" if rest else f"{len(f)} fields, not {width}" if len(f) != width else next((f"no number in field {i + 1}" for i in range(numbers) if not (f[i] or b"").strip().isdigit()), None)
                 if bad is None and b'"' in r and _left(r, False):
                     bad = "a quote is open"
                 got.append(([None if x is None else x.decode("utf-8", "replace") for x in f] if bad is None else None, bad))

@@ -98,6 +98,14 @@ def test_fields_and_rejects(spark, tmp_path, small_splits):
     assert sorted((bytes(r.record), r.offset, r.reason) for r in bad.collect()) == [(b"broken,row", body.index(b"broken"), "2 fields, not 3")] * 2
 
 
+def test_broken_records_are_joined_or_told(spark, tmp_path, small_splits):
+    lines = ['1,"open', 'still, open",x,y', "2,b,x," + "y" * 3, "A" * 40, '3,"fine",x,y', '"tail": 1}', "4,x"]
+    (tmp_path / "r.csv").write_text("\n".join(lines))
+    good, bad = S.dump(spark, str(tmp_path), list("abcd"), joins=True)
+    assert sorted((r.a, r.b, r.d) for r in good.collect()) == [("1", "open\nstill, open", "y"), ("2", "b", "yyy\n" + "A" * 40), ("3", "fine", "y")]
+    assert sorted((bytes(r.record), r.reason) for r in bad.collect()) == [(b'"tail": 1}', "a fragment of JSON"), (b"4,x", "2 fields, not 4")]
+
+
 def test_empty_files(spark, tmp_path):
     (tmp_path / "e.csv").write_bytes(b"")
     (tmp_path / "n.csv").write_bytes(b"\n\n\r\n")

@@ -77,19 +77,7 @@ def test_priority_of_sentences(spark):
     assert [one(a("r"), a("l"), a("s")), one(a(), a("l"), a("s")), one(F.lit(None).cast("array<string>"), a(), a("s")), one(a(), a(), a())] == [["r"], ["l"], ["s"], []]
 
 
-def test_dumps(spark, tmp_path):
-    (tmp_path / "d.csv").write_text('1,"say ""so"" now",\\N\n2,"two\nlines","a\\"b\\tc"\nbroken,row\n3,,"x\\\\n"\n')
-    good, bad = D.dump(spark, str(tmp_path / "d.csv"), ["a", "b", "c"])
-    assert rows(good) == [("1", 'say "so" now', None), ("2", "two\nlines", 'a"b\tc'), ("3", "", "x\\n")]
-    assert rows(bad, "record") == [("broken,row",)]
-    headed, _ = D.dump(spark, str(tmp_path / "d.csv"), ["a", "b", "c"], header=True)
-    assert headed.count() == 2
-
-
-def test_repair(spark):
-    lines = ['1,"open', 'still, open"', "A" * 40, '2,"fine"', '"tail": 1}', "3,x"]
-    got = D.repaired(spark.createDataFrame([("p", i, s) for i, s in enumerate(lines)], "path string, no int, line string"))
-    assert [r.record for r in got.orderBy("no").collect()] == ['1,"open\nstill, open"\n' + "A" * 40, '2,"fine"', "3,x"]
+def test_separators(spark):
     one = lambda s: spark.range(1).select(D.separators(F.lit(s)).alias("x")).first().x
     assert one('"a","b",3,"c"') == 4 and one('"a",b') == -1
 
@@ -127,9 +115,11 @@ def test_archives_and_indexes(spark, tmp_path):
             z.writestr(n, t)
     assert rows(D.zip_pages(spark, str(tmp_path / "v.zip")), "page", "text") == [(1, "one"), (2, "two"), (3, "c")]
     (tmp_path / "i.csv").write_text(f"a1,p1,{'A' * 32},10,20\na2,p2,nope,1,2\na3,p3,,x,2\n")
-    assert rows(D.offset_index(spark, str(tmp_path / "i.csv")), "aacid", "md5", "offset") == [("a1", "a" * 32, 10), ("a2", None, 1)]
+    found, lost = D.offset_index(spark, str(tmp_path / "i.csv"))
+    assert rows(found, "aacid", "md5", "offset") == [("a1", "a" * 32, 10), ("a2", None, 1)] and rows(lost, "aacid", "offset") == [("a3", "x")]
     (tmp_path / "t.tsv").write_text('k1\t\t{"n": 5}\nshort\nk2\tv\t{bad\n')
-    got = D.tsv_with_json(spark, str(tmp_path / "t.tsv"), ["k", "v"], "n int")
+    got, short = D.tsv_with_json(spark, str(tmp_path / "t.tsv"), ["k", "v"], "n int")
+    assert rows(short) == [("short",)]
     assert [(r.k, r.v, r.data and r.data.n) for r in got.orderBy("k").collect()] == [("k1", None, 5), ("k2", "v", None)]
     listing = spark.createDataFrame([("d", f"{i:04d}", 10) for i in range(1001)] + [("e", "1", 7)], "folder string, path string, length long")
     assert rows(D.inventory(listing)) == [("d", 1001, 10010, True), ("e", 1, 7, False)]
