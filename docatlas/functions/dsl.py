@@ -39,6 +39,17 @@ def rendered(words: Column) -> Column:
     return F.array_join(F.transform(words, lambda w, i: F.concat(F.when((i == 0) | _HAS(w["flags"], "ns"), "").otherwise(" "), shown(w))), "")
 
 
+def marked_up(words: Column) -> Column:
+    """Parsed words as marked-up text: as rendered(), but tags and raw words stand as they are between their quotes and marks."""
+
+    def one(w: Column, i: Column) -> Column:
+        space = F.when((i == 0) | _HAS(w["flags"], "ns"), "").otherwise(" ")
+        bare = F.when(_HAS(w["flags"], "r"), w["text"]).when(_HAS(w["flags"], "U"), F.upper(w["text"])).when(_HAS(w["flags"], "u"), F.concat(F.upper(F.left(w["text"], F.lit(1))), F.substring(w["text"], 2, 1 << 30))).otherwise(w["text"])
+        return F.concat(space, F.when(_HAS(w["flags"], "qo"), '"').otherwise(""), bare, w["mark"], F.when(_HAS(w["flags"], "qc"), '"').otherwise(""))
+
+    return F.array_join(F.transform(words, one), "")
+
+
 def for_embedding(words: Column) -> Column:
     """Text of parsed words without tags and raw tokens, as plain words."""
     kept = F.filter(words, lambda w: ~_HAS(w["flags"], "r") & ~w["text"].startswith("<"))

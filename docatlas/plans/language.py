@@ -83,7 +83,16 @@ def _rejoined(s: SparkSession, d: str) -> DataFrame:
     return wordsplit.rejoined(rows, _known(s, d)).select(F.col("line").alias("p_partkey"), "at", "upto", "word")
 
 
+def _coded(s: SparkSession, d: str) -> DataFrame:
+    """The words of each item with codes by their place: case, quotes, marks, no space before, raw."""
+    code = lambda w, i: F.get(F.array(*map(F.lit, ("", ".u", ".qoe", ".cqc", ".ns", ".xqcns", ".ruqo"))), i % 7)
+    words = F.filter(F.split("text", r"\s+"), lambda w: w.rlike(r"^\p{L}+$"))
+    return _t(s, d, "benchmark").select("item_id", F.transform(words, lambda w, i: F.concat(w, code(w, i))).alias("tokens"))
+
+
 QUERIES = {
+    "codes_marked_up": lambda s, d: _coded(s, d).select("item_id", dsl.marked_up(dsl.parsed(F.col("tokens"))).alias("shown")),
+    "codes_round_trip": lambda s, d: _coded(s, d).select("item_id", dsl.marked_up(F.transform(dsl.parsed(F.col("tokens")), lambda w: F.get(dsl.parsed(F.array(dsl.compiled(w))), F.lit(0)))).alias("shown")),
     "word_web": _web,
     "dictionary_senses": lambda s, d: _entries(s, d).select("headword", "sense_id", "text"),
     "dictionary_prefix": lambda s, d: lexicon.prefixed(_entries(s, d), "PART1").select("headword", "sense_id"),
@@ -108,7 +117,12 @@ QUERIES = {
 }
 
 _ENTRY = "e AS (SELECT 'part' || p_partkey AS headword, u.sense_id, u.text FROM part, unnest([{'sense_id': '1', 'text': p_name}, {'sense_id': '1:a', 'text': p_type}, {'sense_id': '1:b', 'text': p_brand}, {'sense_id': '2', 'text': 'of type ' || p_type}]) AS t(u))"
+_SHOWN = r"""WITH w AS (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda w: regexp_full_match(w, '\p{L}+')) AS ws FROM benchmark)
+SELECT item_id, array_to_string(list_transform(ws, lambda w, i: CASE WHEN i = 1 OR (i - 1) % 7 IN (4, 5) THEN '' ELSE ' ' END || CASE WHEN (i - 1) % 7 IN (2, 6) THEN '"' ELSE '' END || CASE (i - 1) % 7 WHEN 1 THEN upper(w[1]) || w[2:] ELSE w END
+  || CASE (i - 1) % 7 WHEN 2 THEN '.' WHEN 3 THEN ',' WHEN 5 THEN '!' ELSE '' END || CASE WHEN (i - 1) % 7 IN (3, 5) THEN '"' ELSE '' END), '') AS shown FROM w"""
 ORACLES = {
+    "codes_marked_up": _SHOWN,
+    "codes_round_trip": _SHOWN,
     "html_sentences": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<\s*(br|/p|/h|/div|/li|/tr|/bl|/ar|/se)[^>]*>', chr(1), 'g'), '<[^>]*>', chr(2), 'g') AS h FROM pages),
 b AS (SELECT page_id, regexp_replace(h, '([.?!])([\s\x01\x02<]|$)', '\1' || chr(1) || '\2', 'g') AS h FROM a),
 c AS (SELECT page_id, string_split(replace(regexp_replace(h, '(^|[^\p{L}\p{N}])Abstract([^\p{L}\p{N}]|$)', '\1' || chr(1) || 'Abstract' || chr(1) || '\2', 'g'), chr(2), ''), chr(1)) AS ss FROM b),
