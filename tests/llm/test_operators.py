@@ -453,28 +453,6 @@ def test_mixing_of_overlapping_domains(spark):
     assert max(abs(a / b - 1) for a, b in zip(got, target, strict=True)) <= mixing.CLOSE
 
 
-def plain_least_squares(tokens, p, target, steps=20_000):
-    """Rates of at least 0 that bring p . (tokens * rates) to the target, by many small plain steps on each domain's share."""
-    r = np.ones(len(tokens))
-    scale = (p * tokens[:, None]).sum(0)
-    for _ in range(steps):
-        r = np.maximum(0, r - 0.4 * (p @ (((p * (tokens * r)[:, None]).sum(0) - target) / scale)))
-    return (p * (tokens * r)[:, None]).sum(0)
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_mixing_equals_a_plain_solver(spark, seed):
-    g = np.random.default_rng(seed)
-    z = g.normal(0, 1, (80, 3))
-    z[np.arange(80), g.choice(3, 80, p=[0.7, 0.2, 0.1])] += 2.5
-    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-    tokens = g.integers(1, 400, 80)
-    soft = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p, strict=True)], "tokens long, p array<double>")
-    rate, now, target = mixing.rates(soft, [0.8, 0.15, 0.05])
-    assert np.allclose(plain_least_squares(tokens.astype(float), p, np.array(target)), now, rtol=0.02, atol=0.002 * sum(now))
-    assert min(r.rate for r in soft.withColumn("rate", rate).collect()) >= 0
-
-
 def test_mixing_tells_of_targets_out_of_reach(spark):
     soft = spark.createDataFrame([(10, [0.5, 0.5])] * 20, "tokens long, p array<double>")
     with pytest.warns(UserWarning, match="mixing"):
