@@ -61,10 +61,18 @@ def search(postings: DataFrame, left: DataFrame, questions: DataFrame, k: int =
     share of its letters that an edit takes. Equal scores rank by key; the first field by name tells which. A question without
     words finds nothing.
     """
-    q = questions.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("asked"))
-    told = near(left, q.select(F.col("asked").alias("word"))).withColumn("worth", 1 - F.col("distance") / F.length("asked"))
-    hits = q.join(told, "asked").join(postings, "word").groupBy("query_id", "key", "field", "asked").agg(F.max("worth").alias("worth"))
-    fields = hits.groupBy("query_id", "key", "field").agg(F.round(F.sum("worth"), 6).alias("score"))
-    best = fields.groupBy("query_id", "key").agg(F.min(F.struct((-F.col("score")).alias("s"), "field")).alias("b")).select("query_id", "key", "b.field", (-F.col("b.s")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "key", "field", "score")
+    # Questions of the same words are asked once, rows of the same words in the same fields are scored once: of each such class the first k keys can be among the best.
+    q = questions.select("query_id", F.array_sort(F.array_distinct(words(F.col("text")))).alias("asking")).where(F.size("asking") > 0)
+    held = postings.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("field", "word"))).alias("held"))
+    few = held.withColumn("n", F.row_number().over(Window.partitionBy("held").orderBy("key"))).where(F.col("n") <= k)
+    keys = few.withColumn("first", F.min("key").over(Window.partitionBy("held")))
+    firsts = keys.where("n = 1").select("first", F.explode("held").alias("h")).select("first", "h.field", "h.word")
+    asked = q.select("asking").distinct().select("asking", F.explode("asking").alias("asked"))
+    told = near(left, asked.select(F.col("asked").alias("word"))).withColumn("worth", 1 - F.col("distance") / F.length("asked"))
+    hits = asked.join(told, "asked").join(firsts, "word").groupBy("asking", "first", "field", "asked").agg(F.max("worth").alias("worth"))
+    fields = hits.groupBy("asking", "first", "field").agg(F.round(F.sum("worth"), 6).alias("score"))
+    best = fields.groupBy("asking", "first").agg(F.min(F.struct((-F.col("score")).alias("s"), "field")).alias("b")).select("asking", "first", "b.field", (-F.col("b.s")).alias("score"))
+    rank = lambda by: F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), by))
+    classes = best.withColumn("rank", rank("first")).where(F.col("rank") <= k).drop("rank")
+    rows = classes.join(keys.select("first", "key"), "first").withColumn("rank", rank("key")).where(F.col("rank") <= k)
+    return q.join(rows, "asking").select("query_id", "rank", "key", "field", "score")

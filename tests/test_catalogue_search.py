@@ -40,6 +40,21 @@ def test_best_field_counts(spark):
     assert got == [("q", 1, 2, "title", round(1 + 1 - 1 / 7, 6)), ("q", 2, 1, "title", 1.75)]
 
 
+def shuffled(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_equal_questions_and_rows_are_matched_once(spark):
+    rows = spark.createDataFrame([(i, f"red bolt{i % 3 * 'x'}", "steel") for i in range(900)], "id long, title string, type string")
+    asked = rows.where("id % 3 = 0").selectExpr("id as query_id", "'redd bolt steel' as text")
+    before = shuffled(spark)
+    got = fuzzy.search(*fuzzy.index(rows, "id", ["title", "type"]), asked, 5).orderBy("query_id", "rank").collect()
+    assert shuffled(spark) - before < 30_000  # 270,000 pairs of a question and a row
+    assert [tuple(r) for r in got] == [(q, n + 1, 3 * n, "title", 1.75) for q in range(0, 900, 3) for n in range(5)]
+
+
 def test_a_copy_goes_on_where_it_stopped(spark, tmp_path):
     rows = [(str(i), "x" if i % 9 == 0 else str(i), f"n{i}") for i in range(200)] + [(None, "1", "keyless"), ("7x", "2", "odd"), ("50", "5", "again")]
     df = spark.createDataFrame(rows, "id string, v string, name string").withColumn("k", F.col("id").try_cast("long"))
