@@ -29,7 +29,7 @@ def compiled(word: Column) -> Column:
 
 def shown(word: Column) -> Column:
     """A word as a reader sees it, without the space before it."""
-    cased = F.when(_HAS(word["flags"], "U"), F.upper(word["text"])).when(_HAS(word["flags"], "u"), F.concat(F.upper(F.left(word["text"], F.lit(1))), F.substring(word["text"], 2, 1 << 30))).otherwise(word["text"])
+    cased = F.when(_HAS(word["flags"], "U"), T.capitals(word["text"])).when(_HAS(word["flags"], "u"), F.concat(T.capitals(F.left(word["text"], F.lit(1))), F.substring(word["text"], 2, 1 << 30))).otherwise(word["text"])
     quote = lambda k: F.when(_HAS(word["flags"], k), '"').otherwise("")
     return F.when(_HAS(word["flags"], "r"), word["text"]).otherwise(F.concat(quote("qo"), cased, word["mark"], quote("qc")))
 
@@ -44,7 +44,7 @@ def marked_up(words: Column) -> Column:
 
     def one(w: Column, i: Column) -> Column:
         space = F.when((i == 0) | _HAS(w["flags"], "ns"), "").otherwise(" ")
-        bare = F.when(_HAS(w["flags"], "r"), w["text"]).when(_HAS(w["flags"], "U"), F.upper(w["text"])).when(_HAS(w["flags"], "u"), F.concat(F.upper(F.left(w["text"], F.lit(1))), F.substring(w["text"], 2, 1 << 30))).otherwise(w["text"])
+        bare = F.when(_HAS(w["flags"], "r"), w["text"]).when(_HAS(w["flags"], "U"), T.capitals(w["text"])).when(_HAS(w["flags"], "u"), F.concat(T.capitals(F.left(w["text"], F.lit(1))), F.substring(w["text"], 2, 1 << 30))).otherwise(w["text"])
         return F.concat(space, F.when(_HAS(w["flags"], "qo"), '"').otherwise(""), bare, w["mark"], F.when(_HAS(w["flags"], "qc"), '"').otherwise(""))
 
     return F.array_join(F.transform(words, one), "")

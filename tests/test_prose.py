@@ -106,3 +106,13 @@ def test_windows_of_tokens(spark):
 @pytest.mark.parametrize("said,want", [("7 . 4 . 1999", "1999-07-04"), ("7 . 4 . 99", "1999-07-04"), ("25--12--2003", "2003-12-25")])
 def test_scrappy_dates(spark, said, want):
     assert str(one(spark, T.deduced_date(lit(said)))) == want
+
+
+@pytest.mark.parametrize("said,want", [("straße", "STRAẞE"), ("ßa", "ẞA"), ("ŉΐﬁx", "ŉΐﬁX"), ("ᾳé", "ᾼÉ"), ("", ""), (None, None)])
+def test_capitals_are_one_letter_each(spark, said, want):
+    assert one(spark, T.capitals(lit(said))) == want
+
+
+def test_codes_of_case_keep_a_sharp_s_one_letter(spark):
+    words = F.array(lit("ßch.u"), lit("groß.U"))
+    assert one(spark, dsl.marked_up(dsl.parsed(words))) == one(spark, dsl.rendered(dsl.parsed(words))) == "ẞch GROẞ"
