@@ -77,9 +77,19 @@ def contexts(docs: DataFrame, key: str, reach: int = 5) -> DataFrame:
     return docs.select(key, F.explode(places).alias("x")).select(key, "x.*")
 
 
+def _glyphs(lines: DataFrame, *more) -> DataFrame:
+    return lines.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("no"), (F.col("l_quantity") * 3).alias("x"), (F.col("l_suppkey") % 30).cast("double").alias("y"), (8 + F.col("l_partkey") % 5).cast("double").alias("font"), (1 + F.col("l_partkey") % 7).cast("double").alias("width"), *more)
+
+
 def layout(s: SparkSession, d: str) -> DataFrame:
     """Tokens on pages: order lines as glyphs with place, width and size of font."""
-    return _t(s, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("no"), (F.col("l_quantity") * 3).alias("x"), (F.col("l_suppkey") % 30).cast("double").alias("y"), (8 + F.col("l_partkey") % 5).cast("double").alias("font"), (1 + F.col("l_partkey") % 7).cast("double").alias("width"))
+    return _glyphs(_t(s, d, "lineitem"))
+
+
+def glyphs(s: SparkSession, d: str) -> DataFrame:
+    """layout() with one token a place of a page: the first row of the table as it stands, by file and row, however it is read."""
+    rows = _glyphs(_t(s, d, "lineitem"), F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
+    return rows.groupBy("page", "no").agg(F.min_by(F.struct("x", "y", "font", "width"), "at").alias("t")).select("page", "no", "t.*")
 
 
 def formatting(glyphs: DataFrame) -> DataFrame:

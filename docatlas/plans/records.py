@@ -27,7 +27,7 @@ def _file() -> Column:
 
 def _fragments(s: SparkSession, d: str) -> DataFrame:
     """Order lines as fragments on pages, their own size of font as height."""
-    return analysis.layout(s, d).dropDuplicates(["page", "no"]).select("page", "no", F.concat(F.lit("w"), F.col("no").cast("string")).alias("text"), "x", "y", "width", F.col("font").alias("height"))
+    return analysis.glyphs(s, d).select("page", "no", F.concat(F.lit("w"), F.col("no").cast("string")).alias("text"), "x", "y", "width", F.col("font").alias("height"))
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docatlas.functions import identifiers as I, layout as L
 from docatlas.operators import schema
-from docatlas.plans import search
+from docatlas.plans import analysis, search
 from docatlas.sources import dumps as D
 
 
@@ -23,6 +23,18 @@ def test_reading_order(spark):
     assert sorted(map(tuple, L.page_texts(made).collect())) == [(1, "left rightclosebelow"), (2, "next")]
 
 
+def test_a_place_taken_twice_keeps_the_first_row_of_the_table(spark, tmp_path):
+    schema = "l_orderkey long, l_linenumber int, l_quantity double, l_suppkey long, l_partkey long"
+    path = tmp_path / "lineitem.parquet"
+    path.mkdir()
+    more = [(100 + i, 1, float(i % 50), i, i) for i in range(5000)]  # Spark reads larger files first
+    for no, rows in enumerate([[(1, 1, 1.0, 1, 1), (1, 1, 2.0, 2, 2)], [(1, 1, 3.0, 3, 3), (1, 2, 4.0, 4, 4), *more], [(1, 2, 5.0, 5, 5)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{no}")
+        next((tmp_path / str(no)).glob("part-*.parquet")).rename(path / f"part-{no}.parquet")
+    got = analysis.glyphs(spark, str(tmp_path)).where("page = 1").orderBy("no").select("no", "x", "y", "font", "width").collect()
+    assert [tuple(r) for r in got] == [(1, 3.0, 1.0, 9.0, 2.0), (2, 12.0, 4.0, 12.0, 5.0)]
+
+
 def test_richer(spark):
     rows = [("a b", "a b c"), ("a\r\nb", "long-word here"), (None, "x"), ("x", None), ("x", " ")]
     assert [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(L.richer(F.col("a"), F.col("b"))).collect()] == ["a b c", "a\r\nb", "x", "x", "x"]
