@@ -89,6 +89,33 @@ def test_parts_of_low_bounds_are_not_read(spark, tmp_path, monkeypatch):
     assert [r.doc_id for r in ix.ranked(["gnu"], 1).collect()] == [0]
 
 
+def test_no_task_gathers_a_word_over_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "PART", 4)
+    rows = spark.createDataFrame([(d, 0, f"the w{d}") for d in range(200)], "doc_id long, ordinal int, chunk string")
+    inverted.build(rows, f"file://{tmp_path}/w")
+    files = inverted.Index(spark, f"file://{tmp_path}/w").of("postings", ["the"]).groupBy(F.input_file_name()).agg(F.sum("postings").alias("n")).collect()
+    assert sum(r.n for r in files) == 200 and len(files) >= 10 and max(r.n for r in files) <= 50
+
+
+def test_rows_of_postings_are_cut_between_documents(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([r for r in LINES if r[2]], "doc_id long, ordinal int, chunk string")
+    inverted.build(rows, f"file://{tmp_path}/w")
+    whole = inverted.Index(spark, f"file://{tmp_path}/w")
+    chunks = whole.table("chunks").select("part", "doc_id", "ordinal", F.filter(inverted.words_of(F.col("chunk")), lambda w: w != "").alias("words")).orderBy("part", "doc_id", "ordinal").toArrow()
+    monkeypatch.setattr(inverted, "WORDS", 50)
+    got = [r for b in inverted.gathered(iter(chunks.to_batches(max_chunksize=3)), 5.0) for r in b.to_pylist() if r["word"] == "the"]
+    want = whole.of("postings", ["the"]).collect()
+    assert len(got) > 3 and sum(r["docs"] for r in got) == sum(r.docs for r in want) and max(r["most"] for r in got) == max(r.most for r in want)
+    assert sorted((x["doc_id"], x["ordinal"], x["gaps"]) for r in got for x in r["held"]) == sorted((x.doc_id, x.ordinal, x.gaps) for r in want for x in r.held)
+
+
+def test_a_very_long_chunk_is_scored(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, "the of " * 60_000)], "doc_id long, ordinal int, chunk string")
+    inverted.build(rows, f"file://{tmp_path}/w")
+    ix = inverted.Index(spark, f"file://{tmp_path}/w")
+    assert len(ix.ranked(["the", "of"]).collect()) == 1 and [len(r.places) for r in ix.phrase(["the", "of"]).collect()] == [60_000]
+
+
 def test_phrases(index):
     for words in (["the", "of"], ["cat"], ["ant", "ant", "bee"], ["the", "zebra"], []):
         want = {}
