@@ -152,6 +152,22 @@ def names(spark, tmp_path_factory):
     return trigrams.Trigrams(spark, path)
 
 
+def test_pieces_of_a_part_give_the_same_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trigrams, "PIECE", 40)
+    trigrams.build(spark.createDataFrame(NAMES, "id long, value string"), f"file://{tmp_path}/n")
+    cut = trigrams.Trigrams(spark, f"file://{tmp_path}/n")
+    assert cut._of("lists", ["  a"]).select("piece").distinct().count() > 3
+    for needle in ("abc", "needle", "b_b", "second of"):
+        assert sorted(map(tuple, cut.containing(needle).collect()), key=repr) == sorted(((i, v) for i, v in NAMES if like(needle, v)), key=repr)
+
+
+def test_no_task_gathers_a_trigram_over_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trigrams, "PART", 10)
+    trigrams.build(spark.createDataFrame([(i, f"abc {i}") for i in range(200)], "id long, value string"), f"file://{tmp_path}/n")
+    files = trigrams.Trigrams(spark, f"file://{tmp_path}/n")._of("lists", ["abc"]).groupBy(F.input_file_name()).agg(F.sum(F.size("ids")).alias("n")).collect()
+    assert sum(r.n for r in files) == 200 and len(files) > 4 and max(r.n for r in files) < 100, files
+
+
 def like(needle, value):
     pattern = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in needle)
     return value is not None and re.search(pattern, value, re.I | re.S) is not None
