@@ -87,3 +87,18 @@ def test_title_cascade_is_registered(spark, tmp_path):
 @pytest.mark.parametrize("said,junk", [("\x01\x02~^\x03|<\x04 ab" * 4, True), ("~^|" * 9 + "~^", False), ("~^|<" * 5 + "abcdefghijklmnopqrst" + "1.", False), ("Grüße, 'quoted' [text] (of) letters & signs #1 @2 $3", False)])
 def test_junk_of_binary_noise(spark, said, junk):
     assert one(spark, T.is_junk(F.lit(said))) is junk
+
+
+def test_chunkers_hold_few_rows_in_python(spark):
+    for made in (chunks.sliding_udf(F.col("t")), chunks.with_dots_udf(F.split("t", "x"))):
+        plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(made)._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_a_dominant_character_is_found_however_it_is_spread(spark):
+    said = ["ab" * 3 + "aac" * 40, "aab" * 40, "aaabb" * 20, "aaaabb" * 20, "baa" * 33 + "a", "ab" * 60]
+    want = []
+    for t in said:
+        want.append(max(map(t.count, set(t))) > 0.6 * len(t))
+    spread = [r.j for r in spark.createDataFrame([(i, t.translate({97: "z", 98: "y", 99: "x"})) for i, t in enumerate(said)], "i int, t string").orderBy("i").select(T.is_junk(F.col("t")).alias("j")).collect()]
+    assert spread == want
