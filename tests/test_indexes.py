@@ -268,3 +268,8 @@ def test_hybrid_takes_the_best_rank_and_the_text_on_collision(spark):
     vectors = spark.createDataFrame([(2, 1, "v2"), (3, 2, "v3"), (3, 3, "v3b"), (2, 9, "v2b")], "doc_id long, rank int, snippet string")
     got = {r.doc_id: (r.score, r.snippet, r.from_text) for r in search.hybrid(text, vectors).collect()}
     assert got == {1: (round(1 / 61, 9), "t1", True), 2: (round(1 / 62 + 1 / 61, 9), "t2", True), 3: (round(1 / 62, 9), "v3", False)}
+
+
+def test_six_digits_are_rounded_from_the_exact_value(spark):
+    got = spark.createDataFrame([(0.8650395,), (0.5,), (None,)], "x double").select(search.six_digits(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got] == ["0.865039", "0.500000", None]
