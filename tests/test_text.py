@@ -22,6 +22,11 @@ def test_dates(spark, said, day):
     assert one(spark, T.deduced_date(F.lit(said))) == (day and datetime.date.fromisoformat(day))
 
 
+def test_a_text_is_told_once_for_all_forms_of_dates(spark):
+    rows = spark.range(3).select(T.deduced_date(F.concat(F.lit("on "), F.col("id").cast("string"))).alias("day"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("substring(") == 1
+
+
 @pytest.mark.parametrize("said,junk", [("short", False), ("aaaaaaaaaaaaaaaa", True), ("0x11 0x22 0x33 and more", True), ("A plain sentence about a plain matter, no more.", False), (None, False)])
 def test_junk(spark, said, junk):
     assert one(spark, T.is_junk(F.lit(said).cast("string"))) is junk
