@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docatlas.functions import prose, text as T
 from docatlas.indexes import home
-from docatlas.operators import fuzzy, ledger, lexicon, merge, ranges
+from docatlas.operators import fuzzy, ledger, lexicon, merge, ranges, wordlists
 from docatlas.sources import keysets
 from docatlas.streaming import events as E
 
@@ -27,22 +27,16 @@ def tokens(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"[ \n]"), lambda w: w != "")).alias("ordinal", "word"))
 
 
-#: Parts over which a word's places are dealt out while the first ones are looked for.
+#: Parts over which a word is dealt out in a look-up.
 SALT = 16
 
 
 def occurrences(words: DataFrame, most: int = 1000) -> DataFrame:
-    """Vocabulary: count, first and last place of each word, and its first places in order, at most `most`.
+    """Vocabulary: count, first and last place of each word (doc_id, ordinal, word), and its first places in order, at most `most`.
 
-    A frequent word is never sorted in one task: each task keeps `most` places of it, and so does each of SALT parts.
+    A frequent word is never sorted in one task: of each batch of rows only its count and `most` places of it go on.
     """
-    rows = words.select(F.lower("word").alias("word"), F.struct("doc_id", "ordinal").alias("place"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALT)))
-    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("place"))
-    few = salted.withColumn("r", first("word", "salt")).where(F.col("r") <= most).withColumn("r", first("word")).where(F.col("r") <= most)
-    lists = few.groupBy("word").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    sums = rows.groupBy("word").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
-    return sums.join(lists, "word")
+    return wordlists.merged(wordlists.placed(words, most), most)
 
 
 def totals(words: DataFrame, known: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -238,7 +232,7 @@ QUERIES = {
     "interval_overlap": _interval_overlap,
     "point_in_interval_anti": _points,
     "title_keyword": lambda s, d: search.documents(s, d).select("doc_id", T.title(F.col("text"), F.col("file_name")).alias("title")),
-    "vocabulary_places": lambda s, d: occurrences(tokens(s, d), 20).select("word", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.ordinal").alias("first_place"), F.col("last.doc_id").alias("last_doc"), F.col("last.ordinal").alias("last_place"), F.transform("places", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["ordinal"].cast("string"))).alias("places")),
+    "vocabulary_places": lambda s, d: wordlists.merged(wordlists.places(_t(s, d, "documents"), 20), 20).select("word", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.ordinal").alias("first_place"), F.col("last.doc_id").alias("last_doc"), F.col("last.ordinal").alias("last_place"), F.transform("places", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["ordinal"].cast("string"))).alias("places")),
     "book_totals": lambda s, d: totals(tokens(s, d), _t(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")), _t(s, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))),
     "fuzzy_catalogue": _fuzzy,
     "store_sentences": lambda s, d: _stored(s, d, "sentences").select("doc_key", "ordinal", "page", "words"),
