@@ -227,6 +227,13 @@ def _copied(s: SparkSession, d: str) -> DataFrame:
     return keysets.rows(s, path, schema)
 
 
+def _lemma_hits(s: SparkSession, d: str) -> DataFrame:
+    """How many words of each document a lexicon knows, by their letters. Words are looked up by lists, so that a frequent one is few rows."""
+    letters = _t(s, d, "documents").select("doc_id", F.regexp_replace("text", r"[^\p{L} \n]+", "").alias("text"))
+    known = _t(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).distinct().withColumn("concept", F.xxhash64("word"))
+    return lexicon.looked_up(wordlists.lists(letters), known).where("concept is not null").select(F.inline("held")).groupBy("doc_id").agg(F.sum("n").alias("n"))
+
+
 QUERIES = {
     "dedupe_ttl": lambda s, d: E.kept_within(_t(s, d, "events"), ["user_id", "event_type"]).select("event_id", "user_id"),
     "interval_overlap": _interval_overlap,
@@ -245,7 +252,7 @@ QUERIES = {
     "layout_width": lambda s, d: local_width(layout(s, d)),
     "annotated_words": lambda s, d: covered(tokens(s, d), _t(s, d, "labels").select("doc_id", (F.col("doc_id") % 40).cast("int").alias("start"), F.lit(4).alias("size"))).select("doc_id", "ordinal", "word"),
     "book_scan": lambda s, d: scanned(_t(s, d, "pages"), "page_id").groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.countDistinct("sentence").alias("sentences")),
-    "lemma_hits": lambda s, d: lexicon.looked_up(tokens(s, d).select("doc_id", F.regexp_replace("word", r"[^\p{L}]", "").alias("word")).where("word <> ''"), _t(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).distinct().withColumn("concept", F.xxhash64("word"))).where("concept is not null").groupBy("doc_id").agg(F.count("*").alias("n")),
+    "lemma_hits": _lemma_hits,
     "table_sync": lambda s, d: sync_status([("labels", _t(s, d, "documents"), "doc_id", _t(s, d, "labels"), "doc_id"), ("embeddings", _t(s, d, "documents"), "doc_id", _t(s, d, "embeddings"), "vec_id")]),
     "library_stats": _library,
     "work_queue": _queue,

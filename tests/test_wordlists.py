@@ -62,6 +62,14 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_words_are_looked_up_by_lists(spark, folder):
+    got = analysis.QUERIES["lemma_hits"](spark, folder)
+    assert "MapInArrow" in plan(got)
+    letters = lambda t: ["".join(c for c in w if c.isalpha()) for w in words(t)]
+    want = {i: sum(w.lower() in ("the", "dog", "a", "cat") for w in letters(t)) for i, t in ROWS if i >= 100}
+    assert {r.doc_id: r.n for r in got.where("doc_id >= 100").collect()} == {i: n for i, n in want.items() if n}
+
+
 @pytest.mark.parametrize("query", ["vocabulary_places"])
 def test_words_are_not_shuffled_one_by_one(spark, folder, query):
     assert "posexplode" not in plan(analysis.QUERIES[query](spark, folder))
