@@ -24,7 +24,11 @@ def _t(s: SparkSession, d: str, name: str) -> DataFrame:
 
 def tokens(s: SparkSession, d: str) -> DataFrame:
     """(doc_id, ordinal, word) of every whole text, by blanks."""
-    return _t(s, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"[ \n]"), lambda w: w != "")).alias("ordinal", "word"))
+    return _tokens(_t(s, d, "documents"))
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(F.filter(F.split("text", r"[ \n]"), lambda w: w != "")).alias("ordinal", "word"))
 
 
 #: Parts over which a word is dealt out in a look-up.
@@ -50,9 +54,27 @@ def totals(words: DataFrame, known: DataFrame, sentences: DataFrame) -> DataFram
     salted = counts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(hit.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["bare", "salt"], "left")
     content = F.when(F.col("bare").isNotNull(), F.col("n")).otherwise(0)
     sums = salted.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.sum(content).alias("content"), F.count("bare").alias("different"), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("defined"))
-    sums = sums.join(sentences, "doc_id", "left").withColumn("undefined", F.col("content") - F.col("defined")).withColumn("sentences", F.coalesce("sentences", F.lit(0)).cast("long"))
+    return _shares(sums.join(sentences, "doc_id", "left"))
+
+
+def _shares(sums: DataFrame) -> DataFrame:
+    told = sums.withColumn("undefined", F.col("content") - F.col("defined")).withColumn("sentences", F.coalesce("sentences", F.lit(0)).cast("long"))
     share = lambda a, b, by=1.0: F.round(F.when(F.col(b) > 0, by * F.col(a) / F.col(b)), 6)
-    return sums.withColumn("coverage", share("defined", "content", 100.0)).withColumn("sentence_length", share("content", "sentences"))
+    return told.withColumn("coverage", share("defined", "content", 100.0)).withColumn("sentence_length", share("content", "sentences"))
+
+
+def totals_of_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """totals() of whole texts (doc_id, text), each counted in its row; only lists of words are shuffled, for the look-up. A table that repeats ids takes the way of totals()."""
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return totals(_tokens(docs), known, docs.select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences")))
+    edges = r"(?<![^ \n])[^\p{L} \n]+|(?<=\p{L})[^\p{L} \n]++(?![^ \n])"  # of each word what stands before its first or after its last letter
+    bare = docs.select("doc_id", "text", F.regexp_replace(F.lower("text"), edges, "").alias("bare"))
+    count = lambda c: F.regexp_count(c, F.lit(r"[^ \n]+")).cast("long")
+    different = F.size(F.array_remove(F.array_distinct(F.split("bare", r"[ \n]")), "")).cast("long")
+    sums = bare.select("doc_id", count("text").alias("tokens"), count("bare").alias("content"), different.alias("different"), F.size(T.sentences(F.col("text"))).alias("sentences")).where("tokens > 0")
+    hits = wordlists.lists(bare.select("doc_id", F.col("bare").alias("text"))).join(known.select("word").distinct(), "word", "left_semi")
+    defined = hits.select(F.inline("held")).groupBy("doc_id").agg(F.sum("n").alias("defined"))
+    return _shares(sums.join(defined, "doc_id", "left").select("doc_id", "tokens", "content", "different", F.coalesce("defined", F.lit(0)).cast("long").alias("defined"), "sentences"))
 
 
 def sentence_stats(docs: DataFrame) -> DataFrame:
@@ -240,7 +262,7 @@ QUERIES = {
     "point_in_interval_anti": _points,
     "title_keyword": lambda s, d: search.documents(s, d).select("doc_id", T.title(F.col("text"), F.col("file_name")).alias("title")),
     "vocabulary_places": lambda s, d: wordlists.merged(wordlists.places(_t(s, d, "documents"), 20), 20).select("word", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.ordinal").alias("first_place"), F.col("last.doc_id").alias("last_doc"), F.col("last.ordinal").alias("last_place"), F.transform("places", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["ordinal"].cast("string"))).alias("places")),
-    "book_totals": lambda s, d: totals(tokens(s, d), _t(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")), _t(s, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))),
+    "book_totals": lambda s, d: totals_of_texts(_t(s, d, "documents"), _t(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))),
     "fuzzy_catalogue": _fuzzy,
     "store_sentences": lambda s, d: _stored(s, d, "sentences").select("doc_key", "ordinal", "page", "words"),
     "store_pages": lambda s, d: _stored(s, d, "pages").select("doc_key", "page", "first", "last", F.length("html").cast("long").alias("html")),

@@ -50,6 +50,16 @@ def test_places_of_repeated_ids(spark):
     assert got == {"a": (4, [(1, 0), (1, 1), (1, 2)]), "b": (3, [(0, 0), (1, 0), (1, 1)])}
 
 
+@pytest.mark.parametrize("more", [[], [(0, "again the cat"), (3, "x")]])
+def test_totals_of_texts_equal_totals_of_words(spark, docs, more):
+    docs = docs.unionAll(spark.createDataFrame(more, docs.schema))
+    known = spark.createDataFrame([("the",), ("the",), ("dog",), ("über",)], "word string")
+    sentences = docs.select("doc_id", F.size(analysis.T.sentences(F.col("text"))).alias("sentences"))
+    one, two = analysis.totals_of_texts(docs, known), analysis.totals(analysis._tokens(docs), known, sentences)
+    assert one.dtypes == two.dtypes
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 @pytest.fixture(scope="module")
 def folder(spark, docs, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("books"))
@@ -70,6 +80,6 @@ def test_words_are_looked_up_by_lists(spark, folder):
     assert {r.doc_id: r.n for r in got.where("doc_id >= 100").collect()} == {i: n for i, n in want.items() if n}
 
 
-@pytest.mark.parametrize("query", ["vocabulary_places"])
+@pytest.mark.parametrize("query", ["vocabulary_places", "book_totals"])
 def test_words_are_not_shuffled_one_by_one(spark, folder, query):
     assert "posexplode" not in plan(analysis.QUERIES[query](spark, folder))
