@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Vectors from which centres are learned (by hash), cells at most, rounds of learning, folders, queries of a pass.
+#: Vectors from which centres are learned (by hash), cells at most, rounds of learning, folders, queries to calibrate by.
 SAMPLE, CELLS, ROUNDS, FOLDERS, BLOCK = 20_000, 4096, 12, 64, 256
+#: Queries of a pass, and cosines that a task holds at once.
+ASKED, HELD = 4096, 2_000_000
 #: What floating point may lose in a cosine.
 SLACK = 1e-6
 
@@ -129,20 +131,17 @@ class Vectors:
                 codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.int8).reshape(len(cell), -1)
                 for n in np.unique(cell):
                     at, j = np.flatnonzero(cell == n), place[int(n)]
-                    x = centre[j] + codes[at] * scale[at, None]
-                    for i in np.flatnonzero(reads[:, j]):
-                        about = x @ q[i]
-                        low, high = about - lost[at], about + lost[at]
-                        floor = least[i]
-                        order = np.argsort(-low)
-                        if by_document:
-                            _, first = np.unique(docs[at][order], return_index=True)
-                            order = order[np.sort(first)]
-                        if len(order) >= k:
-                            floor = max(floor, low[order[k - 1]])
-                        keep = np.flatnonzero(high >= floor)
-                        m = len(keep)
-                        cols = [np.full(m, i, np.int32), np.full(m, n, np.int32), docs[at][keep], chunk[at][keep], low[keep], high[keep]]
+                    at = at[np.argsort(docs[at], kind="stable")]
+                    x, first = centre[j] + codes[at] * scale[at, None], np.flatnonzero(np.r_[True, docs[at][1:] != docs[at][:-1]])
+                    asking = np.flatnonzero(reads[:, j])
+                    for some in np.array_split(asking, -(-len(asking) * len(at) // HELD)) if len(asking) else ():
+                        about = q[some] @ x.T
+                        low, floor = about - lost[at], least[some]
+                        sure = np.maximum.reduceat(low, first, axis=1) if by_document else low
+                        if sure.shape[1] >= k:
+                            floor = np.maximum(floor, np.partition(sure, sure.shape[1] - k, axis=1)[:, -k])
+                        i, keep = np.nonzero(about + lost[at] >= floor[:, None])
+                        cols = [some[i].astype(np.int32), np.full(len(i), n, np.int32), docs[at][keep], chunk[at][keep], low[i, keep], about[i, keep] + lost[at][keep]]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query", "cell", "doc_id", "chunk", "low", "high"])
 
         return rows.select("cell", "doc_id", "chunk", "code", "scale", "lost").mapInArrow(run, "query int, cell int, doc_id long, chunk int, low double, high double")
@@ -158,13 +157,13 @@ class Vectors:
 
         With `probes` that many cells are read; without, as many as the exact answer needs. only: a table (doc_id) of the
         documents that count. Queries that are null, zero or of another length find nothing; they are taken in
-        blocks of BLOCK. Equal distances rank by doc_id and chunk.
+        blocks of ASKED. Equal distances rank by doc_id and chunk.
         """
         out = None
         asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("q")).orderBy("query_id")
-        numbers, blocks = self.cells[0], -(-asked.count() // BLOCK)
+        numbers, blocks = self.cells[0], -(-asked.count() // ASKED)
         for block in range(blocks):
-            some = [r for r in asked.offset(block * BLOCK).limit(BLOCK).collect() if len(numbers) and len(r.q) == self.cells[1].shape[1] and 0 < sum((x or 0) * (x or 0) for x in r.q) < float("inf")]
+            some = [r for r in asked.offset(block * ASKED).limit(ASKED).collect() if len(numbers) and len(r.q) == self.cells[1].shape[1] and 0 < sum((x or 0) * (x or 0) for x in r.q) < float("inf")]
             if not some:
                 continue
             q = np.array([r.q for r in some], np.float64)

@@ -145,6 +145,19 @@ def test_nearest_is_exact_without_probes(spark, clustered, by_document):
         assert [(d, c) for _, _, d, c in sorted(got[i])] == [(d, c) for _, d, c in want]
 
 
+@pytest.mark.parametrize("by_document", [False, True])
+def test_many_queries_are_asked_at_once(spark, clustered, monkeypatch, by_document):
+    ix, kept = clustered
+    scans, scanned = [], V.Vectors._scanned
+    monkeypatch.setattr(V.Vectors, "_scanned", lambda self, q, *more: scans.append(len(q)) or scanned(self, q, *more))
+    rows = [(i, kept[i * 4][2]) for i in range(300)]
+    got = {}
+    for r in ix.nearest(asked(spark, rows), 7, by_document=by_document).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.chunk))
+    assert scans == [300, 300]
+    assert all([x[1:] for x in sorted(got[i])] == [(d, c) for _, d, c in exact(kept, v, 7, by_document)] for i, v in rows)
+
+
 def test_exact_search_leaves_cells_unread(clustered):
     ix, kept = clustered
     q = np.array([kept[4][2]], float)
