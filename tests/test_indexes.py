@@ -97,6 +97,13 @@ def test_no_task_gathers_a_word_over_parts(spark, tmp_path, monkeypatch):
     assert sum(r.n for r in files) == 200 and len(files) >= 10 and max(r.n for r in files) <= 50
 
 
+def test_parts_are_dealt_evenly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "PART", 4)
+    inverted.build(spark.createDataFrame([(i, 0, "the cat") for i in range(160)], "doc_id long, ordinal int, chunk string"), f"file://{tmp_path}/w", 160)
+    files = inverted.Index(spark, f"file://{tmp_path}/w").of("postings", ["the"]).groupBy(F.input_file_name()).agg(F.countDistinct("part").alias("parts")).collect()
+    assert max(r.parts for r in files) <= inverted.GATHERED
+
+
 def test_rows_of_postings_are_cut_between_documents(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([r for r in LINES if r[2]], "doc_id long, ordinal int, chunk string")
     inverted.build(rows, f"file://{tmp_path}/w")
