@@ -104,6 +104,27 @@ def test_parts_are_dealt_evenly(spark, tmp_path, monkeypatch):
     assert max(r.parts for r in files) <= inverted.GATHERED
 
 
+def test_texts_and_words_are_dealt_evenly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "PART", 4)
+    monkeypatch.setattr(inverted, "LEXICON", 8)
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(160)]
+    inverted.build(spark.createDataFrame([(i, 0, f"the {w}") for i, w in enumerate(names)], "doc_id long, ordinal int, chunk string"), f"file://{tmp_path}/w", 160)
+    ix = inverted.Index(spark, f"file://{tmp_path}/w")
+    files = ix.table("chunks").groupBy(F.input_file_name()).agg(F.countDistinct("part").alias("parts"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in files) == 160 and max(r.parts for r in files) <= inverted.GATHERED
+    files = ix.table("words").groupBy(F.input_file_name(), "folder").agg(F.count("*").alias("n")).groupBy("folder").agg(F.count("*").alias("files"), F.sum("n").alias("n")).collect()
+    assert sum(r.n for r in files) == 161 and 1 < max(r.files for r in files) <= 5
+    assert sorted((r.word, r.postings, r.docs) for r in ix.of("words", ["the", *names]).collect()) == sorted([("the", 160, 160), *((w, 1, 1) for w in names)])
+
+
+def test_text_of_few_rows_comes_without_shuffling_the_others(spark, index):
+    found = index.counted(["the"]).unionByName(spark.createDataFrame([(99, None, 0, 0, None)], "doc_id long, part int, n_chunks long, hits long, ordinal int"))
+    got, want = (sorted(map(tuple, index.with_text(found, few=f).collect())) for f in (True, False))
+    assert got == want and len(got) == len(plain_counts(["the"])) + 1
+    for rows in (index.ranked(["the", "of"], 3), index.tier(["the", "of"], 3)):
+        assert re.search(r"BroadcastHashJoin \[part#.*LeftSemi, BuildRight", rows._jdf.queryExecution().executedPlan().toString())
+
+
 def test_rows_of_postings_are_cut_between_documents(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([r for r in LINES if r[2]], "doc_id long, ordinal int, chunk string")
     inverted.build(rows, f"file://{tmp_path}/w")
