@@ -125,6 +125,13 @@ def test_text_of_few_rows_comes_without_shuffling_the_others(spark, index):
         assert re.search(r"BroadcastHashJoin \[part#.*LeftSemi, BuildRight", rows._jdf.queryExecution().executedPlan().toString())
 
 
+def test_counts_of_some_documents_shuffle_no_others(spark, index):
+    rows = index.counted(["the"], docs=spark.createDataFrame([(d,) for d in (-5, 3, 70, 73, 1000, None)], "doc_id long"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan and plan.rindex("Exchange hashpartitioning(part") < plan.index("LeftSemi")
+    assert {r.doc_id: (r.n_chunks, r.hits, r.ordinal) for r in rows.collect()} == {d: v for d, v in plain_counts(["the"]).items() if d in (-5, 3, 70, 73)}
+
+
 def test_rows_of_postings_are_cut_between_documents(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([r for r in LINES if r[2]], "doc_id long, ordinal int, chunk string")
     inverted.build(rows, f"file://{tmp_path}/w")
