@@ -83,3 +83,14 @@ def test_links(spark):
     assert got == [(1, 1, 6), (1, 2, 2)]
     with pytest.raises(ValueError, match="at most"):
         search.relationships(list(range(201)), vectors)
+
+
+def test_a_merged_search_fuses_all_five_tiers(spark, tmp_path):
+    docs = [(1, "mail ab@cd.de", "de", "src1", 13), (2, "short", "en", "src1", 5), (3, "of the", "de", "src1", 6), (7, "plain", "de", "src1", 5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = search.QUERIES["search_merged"](spark, str(tmp_path)).orderBy("final_rank").collect()
+    told = [(r.doc_id, next(i for i in range(1, 6) if r[f"t{i}_rank"]), r.score, r.snippet) for r in rows]
+    first, second = round(1 / 62, 9), round(1 / 63, 9)
+    assert told == [(0, 4, first, "distance 0.000000"), (1, 5, first, "ab@cd.de"), (2, 2, first, None), (3, 3, first, "of the"), (7, 1, first, None), (4, 4, second, "distance 1.000000")]
+    assert all(sum(r[f"t{i}_rank"] is not None for i in range(1, 6)) == 1 for r in rows)
